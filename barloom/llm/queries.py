@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import exact_dedup, mixing
+from barloom.llm import decontaminate, exact_dedup, mixing, secrets_scan
 from barloom.llm.common import read
 
 
@@ -18,12 +18,24 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.report(read(spark, sf_dir, "documents"))
+
+
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op6_mixing": op6_mixing,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_decontamination": op8_decontamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_exact_dedup": exact_dedup.ORACLE,
     "op6_mixing": mixing.ORACLE,
+    "op7_secret_scan": secrets_scan.ORACLE,
+    "op8_decontamination": decontaminate.ORACLE,
 }
