@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, exact_dedup, mixing, secrets_scan
+from barloom.llm import decontaminate, exact_dedup, mixing, secrets_scan, substring_dedup
 from barloom.llm.common import read
 
 
@@ -26,11 +26,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontamination": op8_decontamination,
+    "op10_substring_dedup": op10_substring_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -38,4 +43,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
     "op7_secret_scan": secrets_scan.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
+    "op10_substring_dedup": substring_dedup.ORACLE,
 }
