@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, exact_dedup, mixing, ngram_join, secrets_scan, substring_dedup
+from barloom.llm import decontaminate, exact_dedup, mixing, ngram_join, secrets_scan, substring_dedup, token_output
 from barloom.llm.common import read
 
 
@@ -18,6 +18,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(read(spark, sf_dir, "documents"))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.report(read(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op3_ngram_join": op3_ngram_join,
+    "op5_token_output": op5_token_output,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontamination": op8_decontamination,
