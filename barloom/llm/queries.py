@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barloom.llm import decontaminate, exact_dedup, html_extract, mixing, ngram_join, secrets_scan, substring_dedup, token_output
+from barloom.llm import (
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    license_scan,
+    mixing,
+    ngram_join,
+    quality,
+    secrets_scan,
+    substring_dedup,
+    token_output,
+)
 from barloom.llm.common import read
 
 
@@ -22,6 +33,10 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(read(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.report(read(spark, sf_dir, "documents"))
 
@@ -38,6 +53,10 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.report(read(spark, sf_dir, "documents"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read(spark, sf_dir, "documents"))
 
@@ -46,10 +65,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
     "op3_ngram_join": op3_ngram_join,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_token_output": op5_token_output,
     "op6_mixing": op6_mixing,
     "op7_secret_scan": op7_secret_scan,
     "op8_decontamination": op8_decontamination,
+    "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
@@ -58,5 +79,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_mixing": mixing.ORACLE,
     "op7_secret_scan": secrets_scan.ORACLE,
     "op8_decontamination": decontaminate.ORACLE,
+    "op9_license_scan": license_scan.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
 }
