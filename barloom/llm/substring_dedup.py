@@ -23,6 +23,8 @@ from barloom.llm.hashing import U64, column_bytes, hash_windows, hash_words, pac
 LEVELS = (7, 13)
 #: Of the filter level: bits over the logarithm of the corpus's windows, so that 1 in 2 ** SPARE survives by chance.
 SPARE = 8
+#: Text bytes of a block of documents, and text bytes whose windows meet in one hash range: what a task holds at once.
+BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
 LAST = np.iinfo(np.int64).max
 
 UP = "level int, bucket int, block int, n int, keys binary, more binary"
@@ -205,10 +207,11 @@ def remove_repeats(
             raise ValueError("each level's windows must be covered by two windows of the level before")
     spark = docs.sparkSession
     parts = partitions(spark)
-    blocks, buckets = blocks or 4 * parts, buckets or parts
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     bits = min(64, max(24, math.ceil(math.log2(size / 2 + 2)) + SPARE))
+    blocks = blocks or max(parts, -(-size // BLOCK_BYTES))
+    buckets = buckets or max(-(-parts // 2), -(-size // BUCKET_BYTES))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).repartition(parts, "block")
     last = len(levels) - 1
     back: DataFrame | None = None
