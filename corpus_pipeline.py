@@ -35,11 +35,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Documents without words give the mix nothing and stay once.
     """
-    taken = mixing.mix(docs).select(F.col("doc_id").alias("mix_id"), "size", "taken")
+    taken = mixing.mix(docs).select(F.col("doc_id").alias("__id"), "size", "taken")
     copies = F.when(F.col("size") == 0, 1).otherwise(F.ceil(F.col("taken") / F.greatest(F.lit(1), F.col("size")))).cast("int")
-    taken = taken.groupBy("mix_id").agg(F.max(copies).alias("copies"))
-    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["mix_id"])).where("copies > 0")
-    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "copies")).alias("copy_number")).drop("copy_number")
+    taken = taken.groupBy("__id").agg(F.max(copies).alias("__copies"))
+    both = docs.join(taken, docs["doc_id"].eqNullSafe(taken["__id"])).where("__copies > 0")
+    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), "__copies")).alias("__copy")).drop("__copy")
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
