@@ -114,23 +114,46 @@ def breadth(df: DataFrame) -> DataFrame:
     return df.withColumn("cum_ad", F.sum("net").over(upto(day)))
 
 
-def ema_columns(df: DataFrame, columns: list[str], spans: list[int]) -> DataFrame:
+def ema_columns(df: DataFrame, columns: list[str], spans: list[int], block: int = 4096) -> DataFrame:
     """Exponential means of timestamp-level columns, alpha = 2 / (span + 1), seeded with the first value, across days.
 
-    One row per timestamp: the recursion runs in a fold over the ordered values, a table as long as the calendar.
+    The recursion is linear: blocks of timestamps are folded from 0 in parallel, and what a block carries into the next
+    is a second fold over one row per block.
     """
-    rows = df.groupBy().agg(F.array_sort(F.collect_list(F.struct("ts", *columns))).alias("rows"))
-    out = []
-    for c in columns:
-        for w in spans:
-            alpha = 2.0 / (w + 1)
-
-            def step(acc: Column, x: Column, c: str = c, alpha: float = alpha) -> Column:
-                now = F.when(F.size(acc) == 0, x[c]).otherwise(alpha * x[c] + (1 - alpha) * F.element_at(acc, -1))
-                return F.concat(acc, F.array(now))
+    keep = {f"{c}_ema_{w}": (c, 2.0 / (w + 1)) for c in columns for w in spans}
+    rows = df.select("ts", *columns, (F.row_number().over(TS()) - 1).alias("i")).withColumn("block", F.floor(F.col("i") / block))
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i").reset_index(drop=True)
+        out = pdf[["ts", "block"]].assign(k=range(len(pdf)))
+        for name, (c, alpha) in keep.items():
+            now, values = 0.0, []
+            for x in pdf[c]:
+                now = alpha * x + (1 - alpha) * now
+                values.append(now)
+            out[name] = values
+        return out
 
-            out.append(F.aggregate("rows", F.array().cast("array<double>"), lambda a, x, s=None, step=step: step(a, x)).alias(f"{c}_ema_{w}"))
-    return rows.select(F.arrays_zip(F.transform("rows", lambda x: x.ts).alias("ts"), *out).alias("z")).select(F.inline("z"))
+    kind = df.schema["ts"].dataType.simpleString()
+    doubles = ", ".join(f"{n} double" for n in keep)
+    local = rows.groupBy("block").applyInPandas(fold, f"ts {kind}, block long, k long, {doubles}")
+    ends = local.groupBy("block").agg((F.max("k") + 1).alias("m"), *[F.max_by(n, "k").alias(n) for n in keep])
+    firsts = rows.where("i = 0").select(*[F.col(c).alias(f"first_{c}") for c in columns])
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block").reset_index(drop=True)
+        out = pdf[["block"]].copy()
+        for name, (c, alpha) in keep.items():
+            now, values = pdf[f"first_{c}"].iloc[0], []
+            for end, m in zip(pdf[name], pdf["m"], strict=True):
+                values.append(now)
+                now = end + (1 - alpha) ** m * now
+            out[f"in_{name}"] = values
+        return out
+
+    into = ends.crossJoin(firsts).groupBy().applyInPandas(carry, "block long, " + ", ".join(f"in_{n} double" for n in keep))
+    done = local.join(into, "block")
+    return done.select("ts", *[(F.col(n) + F.pow(F.lit(1 - a), F.col("k") + 1) * F.col(f"in_{n}")).alias(n) for n, (_, a) in keep.items()])
 
 
 def new_extremes(bars: DataFrame, days: int = 20) -> DataFrame:

@@ -70,10 +70,11 @@ def predictions(spark, d):
     df = market.cross_section(labelled_h(spark, d), ["log_return"])
     p = sigmoid(F.col("cs_log_return_zscore"))
     df = df.select(
-        "ticker", "ts", "close", "next_close", "label", F.col("next_log_return").alias("ret"), F.round(p, 9).alias("p"),
+        "ticker", "ts", "close", (F.col("close") * F.exp(F.col("next_log_return") * 0.01)).alias("next_close"),  # moves of a hundredth
+        "label", F.col("next_log_return").alias("ret"), F.round(p, 9).alias("p"),
         F.round(1e-3 * F.col("cs_log_return_zscore"), 9).alias("mu"), F.round(F.greatest("rolling_volatility", F.lit(1e-4)), 9).alias("sigma"),
     ).withColumns({"p_up": F.col("p"), "p_down": 1 - F.col("p"), "log_scale": F.ln(F.expm1("sigma")), "score": F.col("mu") / F.col("sigma")})
-    return backtest.numbered(df)
+    return backtest.numbered(df).persist()  # the backtests read it several times
 
 
 @query
