@@ -73,7 +73,7 @@ class Block:
         entry = np.empty(len(key), np.int64)
         entry[order] = np.cumsum(new) - 1
         first = np.flatnonzero(new)
-        last = np.append(first[1:], len(key)) - 1
+        last = np.append(first[1:], len(key))[: len(first)] - 1
         rows = self.row[at][order]
         width = U64(self.bits if k < len(self.levels) - 1 else 64)
         bucket = bucket_of(key[first], width, self.buckets)
