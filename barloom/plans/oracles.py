@@ -161,7 +161,7 @@ STEPS = {
     "fdays": "SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT ts::DATE AS day FROM bars)",
     "fold": """SELECT fold, split, a.day AS first_day, b.day AS last_day FROM (
         SELECT fold, unnest([{'split': 'train', 'a': s, 'b': s + 9}, {'split': 'val', 'a': s + 10, 'b': s + 12}, {'split': 'test', 'a': s + 13, 'b': s + 15}], recursive := true)
-        FROM (SELECT fold, fold * 3 AS s FROM range(4) t(fold) WHERE fold * 3 <= (SELECT max(n) FROM fdays) - 16)) f JOIN fdays a ON a.i = f.a JOIN fdays b ON b.i = f.b""",
+        FROM (SELECT fold, fold * 4 AS s FROM range(100) t(fold) WHERE fold * 4 <= (SELECT max(n) FROM fdays) - 16)) f JOIN fdays a ON a.i = f.a JOIN fdays b ON b.i = f.b""",
     "frow": "SELECT fold, split, bars.* FROM bars JOIN fold ON bars.ts::DATE BETWEEN first_day AND last_day",
     "reg": f"""SELECT ts, ret, vol, lag_mean, CASE WHEN stddev_pop(ret) OVER () > 1e-12 THEN (ret - avg(ret) OVER ()) / stddev_pop(ret) OVER () ELSE 0 END AS z_return,
         CASE WHEN stddev_pop(vol) OVER () > 1e-12 THEN (vol - avg(vol) OVER ()) / stddev_pop(vol) OVER () ELSE 0 END AS z_vol,
@@ -268,7 +268,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM (SELECT ticker, ts, lag(ts) OVER (PARTITION BY ticker ORDER BY ts) AS prev_ts FROM bars)) WHERE prev_ts IS NOT NULL AND (gap <> 3600 OR nd)"""),
     "sortedness": with_steps("SELECT ticker, count(*) FILTER (back) = 0 AS ordered FROM (SELECT ticker, lag(ts) OVER (PARTITION BY ticker ORDER BY row_no) > ts AS back FROM faulty) GROUP BY ticker"),
     "split_adjust": out("""(SELECT ticker, ts, open / f AS open, high / f AS high, low / f AS low, close / f AS close, volume * f AS volume FROM (SELECT b.*, coalesce((SELECT exp(sum(ln(factor)))
-        FROM (VALUES ('0', TIMESTAMP '1996-01-02', 2.0::DOUBLE), ('0', TIMESTAMP '1997-06-01', 3.0), ('1', TIMESTAMP '1995-03-15', 0.5)) a(tk, at, factor) WHERE a.tk = b.ticker AND a.at > b.ts), 1) AS f FROM bars_r b))""", BAR),
+        FROM (VALUES ('0', TIMESTAMP '1996-01-02', 2.0::DOUBLE), ('0', TIMESTAMP '1997-06-01', 3.0), ('1', TIMESTAMP '1995-03-15', 0.5)) a(tk, moment, factor) WHERE a.tk = b.ticker AND a.moment > b.ts), 1) AS f FROM bars_r b))""", BAR),
     "base_features": out("feat", "ticker t:ts " + doubles(("log_return", "candle_range", "candle_body", "upper_wick", "lower_wick", "short_term_momentum", "rolling_volatility", "relative_volume"))),
     "volume_features": out("feat", "ticker t:ts " + doubles(("volume_change", "volume_zscore", "relative_volume_long"))),
     "market_features": out("feat", "ticker t:ts " + doubles(("gap_return", "intrabar_return", "close_position", "range_expansion"))),
@@ -323,7 +323,7 @@ ORACLE_SQL: dict[str, str] = {
         (2 * prec * recall / (prec + recall) + 2 * npv * specificity / (npv + specificity)) / 2 AS macro_f1, (tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn)) AS mcc
         FROM (SELECT *, (tp + tn) / (tp + fp + tn + fn) AS accuracy, tp / (tp + fp) AS prec, tp / (tp + fn) AS recall, tn / (tn + fp) AS specificity, tn / (tn + fn) AS npv FROM (SELECT count(*) FILTER (p >= 0.5 AND label = 1) AS tp, count(*) FILTER (p >= 0.5 AND label = 0) AS fp,
         count(*) FILTER (p < 0.5 AND label = 0) AS tn, count(*) FILTER (p < 0.5 AND label = 1) AS fn, avg(pow(p - label, 2)) AS brier FROM pred)))""", "i:tp i:fp i:tn i:fn " + doubles("brier accuracy prec recall specificity balanced_accuracy f1_pos f1_neg macro_f1 mcc".split())),
-    "metrics_auc": out("(SELECT (sum(rk) FILTER (label = 1) - P * (P + 1) / 2) / (P * (n - P)) AS auc FROM (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS rk, sum(label) OVER ()::DOUBLE AS P, count(*) OVER () AS n FROM pred) GROUP BY P, n)", "d:auc"),
+    "metrics_auc": out("(SELECT (sum(rk) FILTER (label = 1) - npos * (npos + 1) / 2) / (npos * (n - npos)) AS auc FROM (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS rk, sum(label) OVER ()::DOUBLE AS npos, count(*) OVER () AS n FROM pred) GROUP BY npos, n)", "d:auc"),
     "metrics_ap": out("(SELECT avg(tp / rn) AS average_precision FROM (SELECT label, row_number() OVER (ORDER BY p DESC, row_id) AS rn, sum(label) OVER (ORDER BY p DESC, row_id ROWS UNBOUNDED PRECEDING) AS tp FROM pred) WHERE label = 1)", "d:average_precision"),
     "metrics_ece": out("(SELECT sum(n * abs(acc - conf)) / sum(n) AS ece FROM (SELECT least(floor(p * 10), 9) AS bin, count(*) AS n, avg(label) AS acc, avg(p) AS conf FROM pred GROUP BY 1))", "d:ece"),
     "metrics_returns": out(f"""(SELECT avg(0.5 * (ln({TWO_PI}::DOUBLE) + 2 * ln(s) + z * z)) AS gaussian_nll, avg(-({math.lgamma(2.0) - math.lgamma(1.5) - 0.5 * math.log(3 * math.pi)!r}::DOUBLE - ln(s) - 2 * ln(1 + z * z / 3))) AS student_t_nll,
