@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.llm import rans
-from barloom.llm.common import fresh_path, stage, text_of
+from barloom.llm.common import fresh_path, partitions, stage, text_of
 
 MAGIC = b"BLRANS01"
 END_ID = 2
@@ -232,7 +232,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                     [pa.array(keys, pa.int64()), pa.array(starts + row["start"]), pa.array(lengths.astype(np.int64)), pa.array(crc, pa.int64())], schema=out
                 )
 
-    files = manifest.select("path", "start").repartitionByRange("path")
+    # a row of the manifest stands for a whole file: with a stated count the few bytes aren't merged into one task
+    files = manifest.select("path", "start").repartitionByRange(partitions(manifest.sparkSession), "path")
     return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
