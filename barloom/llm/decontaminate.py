@@ -8,6 +8,7 @@ bound is searched slice by slice, and the spans found by the slices are merged p
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -100,7 +101,8 @@ def scan(text: bytes, found: list[WuManber]) -> tuple[int, list[dict[str, int]],
     return len(words), spans, sorted(items)
 
 
-_ENGINES: dict[int, list[WuManber]] = {}
+#: The engines of the slice that a worker searched last, by the slice's content.
+_ENGINES: dict[str, list[WuManber]] = {}
 
 FOUND = "n_words long, spans array<struct<s:int,e:int>>, item_ids array<bigint>"
 _ARROW = [
@@ -113,9 +115,12 @@ _ARROW = [
 def _search(rows: DataFrame, slice_: list[tuple[int, bytes]], size: int) -> DataFrame:
     """rows: payload (a struct that is passed on) and text."""
     shared = rows.sparkSession.sparkContext.broadcast(slice_)
+    digest = hashlib.sha256(str(size).encode())
+    for item, text in sorted(slice_):
+        digest.update(b"%d %d " % (item, len(text)) + text)
+    key = digest.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((id(shared), len(shared.value)))
         if key not in _ENGINES:
             _ENGINES.clear()
             _ENGINES[key] = engines(shared.value, size)

@@ -7,8 +7,10 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -336,6 +338,32 @@ def test_decontamination(spark, rows, odd, empty):
     assert decontaminate.decontaminated(odd, table).columns == odd.columns
 
 
+class OneAddress:
+    """Rows of a session whose broadcasts all get one address in a reused worker, as freed ones may."""
+
+    schema = {"payload": SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))}
+
+    def __init__(self) -> None:
+        self.shared = SimpleNamespace()
+        self.sparkSession = SimpleNamespace(sparkContext=SimpleNamespace(broadcast=self.broadcast))
+
+    def broadcast(self, value):
+        self.shared.value = value
+        return self.shared
+
+    def mapInArrow(self, run, schema):  # noqa: N802
+        return run
+
+
+def test_decontamination_by_benchmarks_of_equal_size():
+    passages = [" ".join(f"p{k}w{i}" for i in range(15)) for k in range(3)]
+    batch, rows = pa.RecordBatch.from_pydict({"payload": [0, 1, 2], "text": passages}), OneAddress()
+    for k, p in enumerate(passages):
+        run = decontaminate._search(rows, [(7, p.encode())], 13)
+        (found,) = run(iter([batch]))
+        assert found.column("item_ids").to_pylist() == [[7] if i == k else [] for i in range(3)]
+
+
 @given(st.lists(st.text(alphabet="ab ", min_size=1, max_size=14), min_size=1, max_size=6), st.text(alphabet="ab ", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_wu_manber(patterns, text):
