@@ -1,13 +1,17 @@
 """License scans by Dice coefficient over word bigrams, in DataFrame operations only.
 
-A document's segments (lines and paragraphs) are normalised and compared to licence templates. A segment of a bigrams
-can only reach the threshold t with templates of between a * t / (2 - t) and a * (2 - t) / t bigrams; segments outside
-all templates' bounds are never cut into bigrams. Segments meet templates through the bigrams they share, so that only
-pairs with something in common are counted. Templates are a fixed list: their bigrams are a broadcast of fixed size.
+A document's segments (lines and paragraphs) are normalised and compared to licence templates. A segment that reaches
+the threshold t with a template of b bigrams holds at least b * t / (2 - t) of them; words that no such choice avoids
+are looked for first, and documents and segments without any of them are never cut into bigrams. A segment of a
+distinct bigrams can only reach t with templates of between a * t / (2 - t) and a * (2 - t) / t bigrams. Segments meet
+templates through the bigrams they share, so that only pairs with something in common are counted. Templates are a fixed list: their bigrams are a broadcast of fixed size.
 """
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -61,6 +65,11 @@ TEMPLATES = (
 
 #: Words after normalising: runs of letters of any language and digits.
 SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of more than one line.
+WRAPPED = rf"[^{SEPARATORS[1:-2]}]{SEPARATORS[:-1]}*\n{SEPARATORS[:-1]}*[^{SEPARATORS[1:-2]}]"
+
+
+_LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def words_of(segment: Column) -> Column:
@@ -80,38 +89,65 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     return table.select("template", "license", F.size("g").alias("t_size"), F.explode("g").alias("bigram"))
 
 
+def key_words(templates: tuple[tuple[str, str], ...], threshold: float) -> list[str]:
+    """Words of which every segment that reaches the threshold has at least one; long ones first, as they are rarer."""
+    left = []
+    for _, text in templates:
+        w = [x for x in re.split(SEPARATORS, text.translate(_LOWER)) if x]
+        pairs = set(zip(w, w[1:], strict=False))
+        # with c bigrams in common the Dice is at most 2c / (c + b), that of a segment of these c alone
+        need = next((c for c in range(1, len(pairs) + 1) if 2 * c >= (threshold - 1e-9) * (c + len(pairs))), len(pairs) + 1)
+        left.append((pairs, need))
+    chosen: list[str] = []
+    while left := [(pairs, need) for pairs, need in left if len(pairs) >= need]:
+        score: Counter[str] = Counter()
+        for pairs, need in left:
+            for word, n in Counter(x for pair in pairs for x in set(pair)).items():
+                score[word] += min(n, len(pairs) - need + 1) * len(word) ** 2
+        chosen.append(max(score, key=lambda x: (score[x], x)))
+        left = [({p for p in pairs if chosen[-1] not in p}, need) for pairs, need in left]
+    return chosen
+
+
 def license_matches(
     docs: DataFrame, threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """One row per segment that reaches the threshold with a template: id, h, segment, template, license, dice.
 
-    segment is the place among the document's lines (from 0), then its paragraphs. h is the text's hash, which tells
+    segment is the place among the document's lines (from 0), then its paragraphs; the whole of
+    a text with words on several lines and no blank line is segment -1. h is the text's hash, which tells
     rows with one identifier apart; repeated rows give their matches once. Null texts have one empty segment.
     """
     table = template_table(docs.sparkSession, templates)
     least, most = threshold / (2 - threshold), (2 - threshold) / threshold
     bounds = table.agg(F.min("t_size").alias("a"), F.max("t_size").alias("b")).first()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("t")).withColumn("h", F.xxhash64("t"))
-    lines = F.split("t", "\n")
-    paragraphs = F.when(F.col("t").rlike("\n[ \t\r]*\n"), F.split("t", "\n[ \t\r]*\n")).otherwise(F.array().cast("array<string>"))
-    cut = rows.select("id", "h", F.posexplode(F.concat(lines, paragraphs)).alias("segment", "s"))
-    # a segment needs at least two words and at most the largest template's bound; both hold of its spaces and bytes
-    cut = cut.where((F.length("s") >= 3) & (F.length("s") - F.length(F.translate("s", " \t", "")) <= int(bounds["b"] * most) + 8))
+    other = f"[^{SEPARATORS[1:-2]}]"
+    keyed = f"(?<!{other})(?i:{'|'.join(key_words(templates, threshold))})(?!{other})"
+    lines, blank = F.split("t", "\n"), F.col("t").rlike("\n[ \t\r]*\n")
+    paragraphs = F.when(blank, F.split("t", "\n[ \t\r]*\n"))
+    paragraphs = paragraphs.when(F.col("t").rlike(WRAPPED), F.array("t")).otherwise(F.array().cast("array<string>"))
+    cut = rows.where(F.col("t").rlike(keyed)).select("id", "h", F.when(~blank, F.size(lines)).alias("whole"), F.posexplode(F.concat(lines, paragraphs)).alias("segment", "s"))
+    cut = cut.withColumn("segment", F.when(F.col("segment") == F.col("whole"), -1).otherwise(F.col("segment")))
+    cut = cut.where(F.col("s").rlike(keyed))
     cut = cut.select("id", "h", "segment", bigrams_of(words_of(F.col("s"))).alias("g")).withColumn("s_size", F.size("g"))
     cut = cut.where(F.col("s_size").between(int(bounds["a"] * least), int(bounds["b"] * most) + 1))
     met = cut.select("id", "h", "segment", "s_size", F.explode("g").alias("bigram")).join(F.broadcast(table), "bigram")
-    met = met.where((F.col("t_size") >= F.col("s_size") * least) & (F.col("t_size") <= F.col("s_size") * most))
+    met = met.where((F.col("t_size") >= F.col("s_size") * least - 1e-6) & (F.col("t_size") <= F.col("s_size") * most + 1e-6))  # 0.8 itself is in
     met = met.groupBy("id", "h", "segment", "template", "license", "s_size", "t_size").agg(F.size(F.collect_set("bigram")).alias("common"))
     dice = F.col("common") * 2.0 / (F.col("s_size") + F.col("t_size"))
     return met.select("id", "h", "segment", "template", "license", dice.alias("dice")).where(F.col("dice") >= threshold)
 
 
 def report(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id_col, license (of its best match, null if none), dice (0 if none), n_segments (matched)."""
+    """One row per document: id_col, license (of its best match, null if none), dice (0 if none), n_segments (matched).
+
+    A whole text that matches isn't counted beside lines of it that do.
+    """
     best = Window.partitionBy("id", "h", "segment").orderBy(F.col("dice").desc(), "license", "template")
     found = license_matches(docs, threshold, id_col=id_col, text_col=text_col).withColumn("rn", F.row_number().over(best)).where("rn = 1")
     found = found.groupBy(F.col("id").alias("f_id"), F.col("h").alias("f_h")).agg(
-        F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("top"), F.count(F.lit(1)).alias("n_segments")
+        F.min(F.struct((-F.col("dice")).alias("d"), "license")).alias("top"), F.greatest(F.lit(1), F.count_if(F.col("segment") >= 0)).alias("n_segments")
     )
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text_col)).alias("h"))
     return rows.join(found, rows["id"].eqNullSafe(found["f_id"]) & (rows["h"] == found["f_h"]), "left").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 from types import SimpleNamespace
@@ -386,6 +387,31 @@ def test_license_scan(spark, odd, empty):
     assert license_scan.report(odd).count() == odd.count()
 
 
+def best_dice(text: str) -> float:
+    pairs = lambda t: set(zip(w := re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.translate(FOLD)), w[1:]))
+    segments = [pairs(s) for s in [*text.split("\n"), *re.split("\n[ \t\r]*\n", text)]]
+    return max(2 * len(s & t) / (len(s) + len(t)) if s else 0 for s in segments for t in (pairs(x) for _, x in license_scan.TEMPLATES))
+
+
+def test_license_scan_of_indented_padded_wrapped_and_repeated_notices(spark):
+    mit = license_scan.TEMPLATES[3][1]
+    texts = ["\n".join(" " * 8 + x for x in textwrap.wrap(mit, 64)), "intro\n\n" + "\n".join(" " * 8 + x for x in textwrap.wrap(mit, 64)) + "\n\nend"]
+    texts += ["Licensed under" + " " * 200 + "the ISC License.", "\r\n".join(textwrap.wrap(mit, 40)), "Released under the MIT License. " * 60, "Released\nunder the\nMIT License."]
+    texts += [f"{mit}\n", "Licensed\nunder nothing at all", f"one line\n{'\t' * 150}{mit}\nanother line"]
+    r = random.Random(9)
+    for _, t in license_scan.TEMPLATES * 12:  # words left out or put in, about the threshold
+        w = t.split()
+        for _ in range(r.randrange(1, 2 + len(w) // 4)):
+            k = r.randrange(len(w))
+            w[k : k + r.randrange(2)] = [r.choice(["", "other", "license"])]
+        texts.append(r.choice([" ", "\n", "   "]).join(w))
+    got = by_id(license_scan.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")), "dice", "n_segments")
+    wanted = [x if (x := best_dice(t)) >= license_scan.THRESHOLD else 0.0 for t in texts]
+    assert [got[i][0] for i in range(len(texts))] == pytest.approx(wanted, abs=1e-6)
+    assert [w > 0 for w in wanted[:9]] == [True] * 7 + [False, True] and {w > 0 for w in wanted[9:]} == {True, False}
+    assert got[6] == (1.0, 1)
+
+
 def repeats(rows) -> dict:
     words = {i: SPACE.findall(t or "") for i, t, *_ in rows}
     first: dict[tuple, int] = {}
