@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -45,7 +46,8 @@ class Encoder:
     """Ids of whole texts by the tokenizers library, which sees each distinct piece of text once per memory.
 
     The byte-level split never joins a word with what follows the next single space or line feed, so a text whose
-    white space is single spaces and line feeds between words is cut there. Any other text is tokenised whole.
+    white space is single spaces and line feeds between words is cut there. Any other text is tokenised whole, and so
+    is one that holds an added token's string, which the library turns into that token's id.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,7 +55,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # a string with white space could also arise where pieces are put together: then nothing is cut
+        self.uncut = re.compile("" if any(re.search(r"\s", t) for t in added) else "|".join(map(re.escape, added)) or r"(?!)")
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.size = max(vocabulary.values()) + 1
         self.length = np.zeros(self.size, np.int64)  # byte-level tokens have a character for each byte
@@ -83,7 +87,7 @@ class Encoder:
         for text in texts:
             words = text.split()
             n = len(words)
-            plain = n and text.count(" ") + text.count("\n") == n - 1 and len(text) == sum(map(len, words)) + n - 1
+            plain = n and text.count(" ") + text.count("\n") == n - 1 and len(text) == sum(map(len, words)) + n - 1 and not self.uncut.search(text)
             cut.append(text.replace("\n", " \n").split(" ") if plain else None)
         wanted = set().union(*(p[1:] for p in cut if p))
         missing = [p for p in wanted if p not in self.known]

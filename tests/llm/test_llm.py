@@ -206,6 +206,21 @@ def test_token_output(docs, rows, odd, empty):
     assert token_output.report(odd).count() == odd.count()
 
 
+def test_token_output_of_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_output.tokenizer_path())
+    (token,) = (x.content for x in t.get_added_tokens_decoder().values())
+    texts = [f"Hello {token} world", token, f"a {token}b\nc{token}{token}", f"  {token}\t", token[:-1] + " " + token[1:], "Hello world", f"Hello world {token}"]
+    at, expected = 0, {}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        expected[i] = (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
+    got = token_output.report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert by_id(got, "start", "n_tokens", "ids_crc32") == expected
+
+
 @given(st.lists(st.text(alphabet="ab \n\t.'1é日 ", max_size=30), max_size=8))
 @settings(max_examples=60, deadline=None)
 def test_pieces_are_encoded_as_whole_texts(texts):
