@@ -256,9 +256,8 @@ def sector_map(spark, d):
 
 
 def filings(spark, d):
-    """Purchase events of every seventh user as filings of the click and error tickers, with an item and a kind."""
-    e = table(spark, d, "events").where("event_type = 'purchase' and user_id % 7 = 0")
-    return e.select(
+    """All events as filings of the click and error tickers, with an item and a kind."""
+    return table(spark, d, "events").select(
         F.when(F.col("user_id") % 2 == 0, "click").otherwise("error").alias("ticker"), F.col("ts").alias("event_ts"), "event_id",
         F.when(F.col("event_id") % 3 == 0, "2.02").otherwise("8.01").alias("item"),
         F.element_at(F.array(*map(F.lit, ("cpi", "nfp", "gdp", "fomc_statement"))), (F.col("event_id") % 4 + 1).cast("int")).alias("event_type"),
@@ -276,7 +275,7 @@ def event_snap(spark, d):
 
 @query
 def macro_flags(spark, d):
-    return shown(calendar.macro_flags(bars_h(spark, d).select("ticker", "ts"), filings(spark, d).where("event_id % 5 = 0")))
+    return shown(calendar.macro_flags(bars_h(spark, d).select("ticker", "ts"), filings(spark, d)))
 
 
 @query
