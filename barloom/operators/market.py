@@ -185,6 +185,9 @@ def _correlations(block: np.ndarray) -> tuple[float, ...]:
         c = (z.T @ z / len(z))[np.triu_indices(n, 1)]
         return c.mean(), c.std(), z.mean(axis=1).var() / n
 
+    block = block[:, block.std(axis=0) > 1e-12]  # tickers without movement count nowhere
+    if block.shape[1] < 2:
+        return (0.0,) * 5
     mean, spread, mode = pack(block)
     resid = block - block.mean(axis=1, keepdims=True)
     whole = block.var(axis=0).sum()

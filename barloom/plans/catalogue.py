@@ -240,7 +240,9 @@ def new_high_low(spark, d):
 
 @query
 def realized_correlation(spark, d):
-    return shown(market.realized_correlation(_daily_returns(spark, d), 20), "ts", "avg_corr", "corr_dispersion", "market_mode_share", "common_factor_share")
+    df = _daily_returns(spark, d)
+    short, long = (market.realized_correlation(df, n).withColumnsRenamed({c: f"{c}_{n}b" for c in market.CORRELATION}) for n in (78, 390))
+    return shown(short.join(long, "ts"))
 
 
 @query
@@ -551,9 +553,9 @@ def strategies(spark, d):
 
 @query
 def bootstrap_rc(spark, d):
-    return shown(stats.reality_check(strategies(spark, d), 40))
+    return shown(stats.reality_check(strategies(spark, d), 500))
 
 
 @query
 def bootstrap_spa(spark, d):
-    return shown(stats.spa_test(strategies(spark, d), 40))
+    return shown(stats.spa_test(strategies(spark, d), 500))
