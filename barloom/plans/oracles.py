@@ -145,7 +145,7 @@ STEPS = {
     **{f"ex_{int(c * 100)}": executed(confident(c)) for c in (0.55, 0.6, 0.65, 0.7)},
     "ix": "SELECT ts, row_number() OVER (ORDER BY ts) - 1 AS bar FROM (SELECT DISTINCT ts FROM bars)",
     "filed": """SELECT CASE WHEN user_id % 2 = 0 THEN 'click' ELSE 'error' END AS ticker, ts AS event_ts, event_id, CASE WHEN event_id % 3 = 0 THEN '2.02' ELSE '8.01' END AS item,
-        ['cpi', 'nfp', 'gdp', 'fomc_statement'][event_id % 4 + 1] AS event_type FROM events WHERE event_type = 'purchase' AND user_id % 7 = 0""",
+        ['cpi', 'nfp', 'gdp', 'fomc_statement'][event_id % 4 + 1] AS event_type FROM events""",
     "days": "SELECT DISTINCT ts::DATE AS day FROM bars WHERE ts::TIME >= TIME '09:30:00'",
     "anchored": """SELECT *, CASE WHEN event_ts::TIME < TIME '09:30:00' THEN event_ts::DATE + INTERVAL 570 MINUTE WHEN event_ts::TIME >= TIME '16:00:00' THEN event_ts::DATE + INTERVAL 1 DAY + INTERVAL 570 MINUTE ELSE event_ts END AS at FROM filed""",
     "snap": """SELECT a.event_id, a.ticker, a.event_ts, a.item, a.event_type, min(b.ts) AS bar_ts FROM anchored a JOIN (SELECT ts FROM ix WHERE ts::TIME >= TIME '09:30:00') b ON b.ts >= a.at GROUP BY ALL""",
@@ -172,7 +172,7 @@ STEPS = {
     "pv": "SELECT ticker || '-' || h AS test_id, round(1 / (1 + abs(m) * 100), 9) AS p_value FROM (SELECT ticker, hour(ts) AS h, avg(ret) AS m FROM pred GROUP BY ALL)",
     "strat": "SELECT 'all' AS strategy, row_id AS t, net AS ret FROM ex_all UNION ALL SELECT 'top', row_id, net FROM ex_top UNION ALL SELECT 'flip', row_id, net FROM ex_flip",
     "draws": """SELECT s.strategy, rep, o.x FROM (SELECT strategy, t, rep, ((t * 48271 + rep * 69621 + 16807) % 2147483647 * 48271) % 2147483647 % n AS k
-        FROM (SELECT *, count(*) OVER (PARTITION BY strategy) AS n FROM strat), range(40) r(rep)) s
+        FROM (SELECT *, count(*) OVER (PARTITION BY strategy) AS n FROM strat), range(500) r(rep)) s
         JOIN (SELECT strategy, t, ret - avg(ret) OVER (PARTITION BY strategy) AS x FROM strat) o ON o.strategy = s.strategy AND o.t = s.k""",
 }
 
@@ -294,7 +294,7 @@ ORACLE_SQL: dict[str, str] = {
     "event_snap": out("snap", "i:event_id ticker t:event_ts t:bar_ts"),
     "macro_flags": out(f"""(SELECT ticker, ts, (d.k IS NOT NULL)::INT::DOUBLE AS macro_event_today, {', '.join(f"coalesce(list_contains(d.k, '{k}'), false)::INT::DOUBLE AS {k}_day" for k in FLAGS)},
         coalesce(list_contains(x.k, 'fomc_statement'), false)::INT::DOUBLE AS fomc_statement_bar, coalesce(list_contains(x.k, 'fomc_press'), false)::INT::DOUBLE AS fomc_press_bar
-        FROM bars LEFT JOIN (SELECT bar_ts::DATE AS day, list(event_type) AS k FROM snap WHERE event_id % 5 = 0 GROUP BY 1) d ON d.day = ts::DATE LEFT JOIN (SELECT bar_ts, list(event_type) AS k FROM snap WHERE event_id % 5 = 0 GROUP BY 1) x ON x.bar_ts = ts)""",
+        FROM bars LEFT JOIN (SELECT bar_ts::DATE AS day, list(event_type) AS k FROM snap GROUP BY 1) d ON d.day = ts::DATE LEFT JOIN (SELECT bar_ts, list(event_type) AS k FROM snap GROUP BY 1) x ON x.bar_ts = ts)""",
         "ticker t:ts d:macro_event_today d:cpi_day d:nfp_day d:gdp_day d:fomc_statement_bar d:fomc_press_bar"),
     "post_event_flags": out(f"(SELECT ticker, ts, coalesce(since = 0, false)::INT::DOUBLE AS earnings_event_bar, {', '.join(f'coalesce(since <= {n}, false)::INT::DOUBLE AS post_earnings_{n}bars' for n in (1, 3, 6, 12, 78))} FROM ({since(ITEM_202)}))",
         "ticker t:ts d:earnings_event_bar " + doubles(f"post_earnings_{n}bars" for n in (1, 3, 6, 12, 78))),
