@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,17 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose texts add up to about `most` bytes; a longer text is a slice of its own."""
+    sizes = np.diff(column_bytes(batch.column(column))[1])
+    if not len(sizes):
+        return
+    part = (np.cumsum(sizes) - 1) // most
+    cuts = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True):
+        yield batch.slice(a, b - a)
+
+
 def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end and row of every word (a run of bytes other than ASCII white space; rows are apart)."""
     if not len(data):

@@ -194,7 +194,6 @@ def test_token_output(docs, rows, odd, empty):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(token_output.tokenizer_path())
-    t.encode_special_tokens = True
     got = by_id(token_output.report(docs), "start", "n_tokens", "ids_crc32")
     at, expected = 0, {}
     for i, text, *_ in sorted(rows):
@@ -226,7 +225,9 @@ def test_token_output_of_added_tokens(spark):
 def test_pieces_are_encoded_as_whole_texts(texts):
     path = token_output.tokenizer_path()
     encoder = token_output._ENCODERS.setdefault(path, token_output.Encoder(path))
-    assert encoder.encode(texts) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    ids, counts = encoder.encode(pa.array(texts, pa.string()))
+    wanted = [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert counts.tolist() == [len(x) for x in wanted] and ids.tolist() == [i for x in wanted for i in x]
 
 
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=5000), st.integers(301, 2000))
@@ -247,6 +248,20 @@ def test_shard_checksums():
         token_output.read_shard(body[:-4] + b"\x01\x02\x03\x04")
 
 
+@pytest.mark.parametrize("lengths", [[3, 9, 1, 40, 2, 5], [100], [10] * 10, [1, 1, 95, 3]])
+def test_shards_are_read_by_blocks(monkeypatch, lengths):
+    monkeypatch.setattr(token_output, "BLOCK", 10)
+    ids = np.arange(sum(lengths), dtype=np.uint32) % 50
+    body = token_output.shard_bytes(ids, list(range(len(lengths))), lengths, 60)
+    shard, got = token_output.Shard(lambda at, n: body[at : at + n]), []
+    for k in range(len(shard.blocks)):
+        keys, starts, sizes, some = shard.documents(k)
+        edge = np.concatenate([[0], np.cumsum(sizes)])
+        got += [(key, s, some[a : a + n].tolist()) for key, s, n, a in zip(keys, starts, sizes, edge, strict=False)]
+    ends = np.cumsum(lengths)
+    assert got == [(k, e - n, ids[e - n : e].tolist()) for k, (n, e) in enumerate(zip(lengths, ends, strict=True))]
+
+
 def test_mixing(spark, docs, rows, odd, empty):
     found = mixing.mix(docs)
     got = by_id(found, "size", "source_size", "target", "taken")
