@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stage
+from barloom.llm.common import discard, stage
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(low, F.col("u") == F.col("w")).select(
             F.explode(F.array(F.struct("u", F.col("low").alias("v")), F.struct(F.col("v").alias("u"), F.col("low").alias("v")))).alias("e")
         )
-        links = stage(small.select("e.*").where("u <> v").distinct(), "links")
+        before, links = links, stage(small.select("e.*").where("u <> v").distinct(), "links")
+        discard(before)
         was, mark = mark, _mark(links)
         if was == mark:
             break

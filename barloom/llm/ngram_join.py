@@ -1,11 +1,11 @@
 """N-gram Jaccard join: size-banded tiles, bitmap signatures, exact sorted-array intersection.
 
-1. Exact copies collapse to their smallest identifier (partial aggregates: a hot text never meets in one task).
+1. Exact copies collapse to one node with a number of its own (partial aggregates: a hot text never meets in one task).
 2. Blocks of documents send their distinct shingle hashes to hash ranges and get document frequencies back. Shingles
    ordered by frequency give each document a rare prefix: two documents over the threshold must share a shingle there.
 3. Documents that share prefix shingles form candidate groups. A group is cut into cells of bounded size by size band
    (only neighbouring bands can link) and hash.
-4. A tile holds one cell, or two cells of neighbouring bands. Within it, size and the bit count of XORed parity bitmaps
+4. A tile holds one cell, or two cells of neighbouring bands that share a prefix shingle. Within it, size and the bit count of XORed parity bitmaps
    bound the overlap from above; pairs that pass are intersected exactly. Documents already connected are skipped, so
    that a group of n near copies takes about n comparisons.
 
@@ -33,9 +33,10 @@ WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 SPARE = 10
+#: Text bytes of a block of documents and of a hash range, at most: what a task holds at once, some ten times over.
+BLOCK_BYTES = 32 << 20
 #: Shingles of a cell; a tile holds two cells at most (8 bytes each).
 CELL = 1_500_000
-LAST = np.iinfo(np.int64).max
 
 _UP = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _BACK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
@@ -46,9 +47,13 @@ class Shingles:
     """The shingle sets of a block: keys sorted within each document, edge[i]:edge[i + 1] for document i."""
 
     def __init__(self, docs: pa.Table, wanted: pa.Table, words: int, bits: int, buckets: int) -> None:
-        if wanted.num_rows < docs.num_rows:
-            docs = docs.filter(pc.is_in(docs["id"], wanted["id"].combine_chunks()))
-        self.ids = docs["id"].to_numpy()
+        # one row of each text that this block stands for
+        at = pc.index_in(docs["copy"], wanted["copy"].combine_chunks()).to_numpy()
+        at = np.where(np.isnan(at), -1, at).astype(np.int64)
+        number, first = np.unique(at, return_index=True)
+        number, first = number[number >= 0], np.sort(first[number >= 0])
+        docs = docs.take(pa.array(first))
+        self.ids = wanted["node"].to_numpy()[at[first]]
         data, offsets = column_bytes(docs["text"])
         data = LOWER[data]
         starts, ends, row = split_words(data, offsets)
@@ -178,14 +183,16 @@ def _tile_links(tiles: DataFrame, percent: int) -> DataFrame:
 
 
 def prefixes(rows: DataFrame, wanted: DataFrame, words: int, percent: int) -> DataFrame:
-    """(id, n, keys, shingles) of the documents (id, text) whose id is wanted."""
+    """(id, n, keys, shingles) of each wanted text (node, copy, id): id is its node, id the identifier of one of its rows."""
     parts = partitions(rows.sparkSession)
-    blocks, buckets = 4 * parts, parts
     size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    blocks, buckets = max(4 * parts, -(-size // BLOCK_BYTES)), max(parts, -(-size // BLOCK_BYTES))
     bits = min(64, max(24, math.ceil(math.log2(size / 2 + 2)) + SPARE))
-    block = F.pmod(F.xxhash64("id", F.lit(5)), F.lit(blocks)).cast("int").alias("block")
-    rows = rows.select("id", "text", block).repartition(parts, "block")
-    wanted = wanted.select("id", block)
+    # a text without any identifier is dealt by its hash
+    block = F.pmod(F.when(F.col("id").isNull(), F.xxhash64("copy")).otherwise(F.xxhash64("id", F.lit(5))), F.lit(blocks)).cast("int").alias("block")
+    rows = rows.where("id is not null").unionByName(rows.where("id is null").groupBy("copy").agg(F.first("id").alias("id"), F.max("text").alias("text")))
+    rows = rows.select("copy", "text", block).repartition(parts, "block")
+    wanted = wanted.select("node", "copy", block)
 
     def send(key: tuple, docs: pa.Table, chosen: pa.Table) -> pa.Table:
         return _send(Shingles(docs, chosen, words, bits, buckets), key[0].as_py())
@@ -194,7 +201,7 @@ def prefixes(rows: DataFrame, wanted: DataFrame, words: int, percent: int) -> Da
         return _count(entries)
 
     def finish(docs: pa.Table, more: pa.Table) -> pa.Table:
-        chosen = more.filter(pc.is_valid(more["id"]))
+        chosen = more.filter(pc.is_valid(more["node"]))
         back = more.filter(pc.is_valid(more["bucket"]))
         return _prefixes(Shingles(docs, chosen, words, bits, buckets), back, percent)
 
@@ -256,13 +263,19 @@ def _all_links(found: DataFrame, percent: int, cell: int) -> DataFrame | None:
         F.concat_ws("/", F.lit("m"), F.pmod(F.xxhash64("label", F.lit(19)), F.col("parts")))
     )
     large = stage(large.withColumn("cell", name), "cells")
-    cells = large.groupBy("root", "band", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    # cells meet where documents of two labels share a prefix shingle: other pairs of cells have no link left to find
+    keyed = large.join(found.select("id", F.explode("keys").alias("key")), "id")
+    cells = keyed.groupBy("root", "key", "band", "cell").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    cells = stage(cells, "cell-keys")
+    several = cells.groupBy("root", "key").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l < h").select("root", "key")
+    cells = cells.join(several, ["root", "key"])
     a, b = cells.alias("a"), cells.alias("b")
     step = F.col("b.band") - F.col("a.band")
-    pairs = a.join(b, "root").where(((step == 1) | ((step == 0) & (F.col("a.cell") <= F.col("b.cell")))))
+    pairs = a.join(b, ["root", "key"]).where(((step == 1) | ((step == 0) & (F.col("a.cell") <= F.col("b.cell")))))
     pairs = pairs.where(F.least("a.low", "b.low") < F.greatest("a.high", "b.high"))
-    pairs = pairs.select("root", F.concat_ws("/", F.lit("p"), "root", "a.band", "a.cell", "b.band", "b.cell").alias("tile"),
-                         F.explode(F.array_distinct(F.array(F.struct("a.band", "a.cell"), F.struct("b.band", "b.cell")))).alias("x"))
+    pairs = pairs.select("root", *[F.col(f"{t}.{c}").alias(f"{t}_{c}") for t in "ab" for c in ("band", "cell")]).distinct()
+    pairs = pairs.select("root", F.concat_ws("/", F.lit("p"), "root", "a_band", "a_cell", "b_band", "b_cell").alias("tile"),
+                         F.explode(F.array_distinct(F.array(F.struct(F.col("a_band").alias("band"), F.col("a_cell").alias("cell")), F.struct(F.col("b_band").alias("band"), F.col("b_cell").alias("cell"))))).alias("x"))
     tiles = large.join(pairs.select("root", "tile", "x.band", "x.cell"), ["root", "band", "cell"]).select("tile", "id", "label").join(held, "id")
     return links.unionAll(stage(_tile_links(tiles, percent), "tile-links"))
 
@@ -279,29 +292,29 @@ def _labelled(large: DataFrame, links: DataFrame) -> DataFrame:
 def similar_groups(
     docs: DataFrame, words: int = WORDS, percent: int = PERCENT, cell: int = CELL, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """One row per document: id_col, n_shingles, component_id (the smallest identifier reachable by links).
-
-    A document's set holds the distinct shingles of `words` words (A-Z lower-cased); with fewer words the whole
-    sequence is its one shingle; a document without words, or with a null text, has none and links with nothing.
-    Identifiers are integers; rows with one identifier count as one node. A null identifier counts as larger than any
-    and comes back as null. Other columns are ignored.
+    """One row per row of docs: id_col, n_shingles, component_id (the smallest identifier reachable by links), copy, head.
+
+    A row's set holds the distinct shingles of `words` words (A-Z lower-cased) of its text; with fewer words the whole
+    sequence is its one shingle; a row without words, or with a null text, has none and links with nothing.
+    Identifiers are integers. A link is one of texts: rows that share an identifier but not a text aren't tied by it,
+    and null identifiers tie nothing. A component without any identifier has a null component_id. Repeated rows come
+    back as often. Other columns, also of clashing names, are ignored; an empty table gives no rows. copy is the text's
+    MD5; head marks the rows of the one text of a component that has its smallest identifier (of several, and without
+    any, the smallest MD5); a row without words is its own head.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST))).alias("id"), text_of(text_col).alias("text"))
-    keyed = stage(rows.select("id", F.md5("text").alias("copy")), "copies")
-    copies = stage(keyed.groupBy("copy").agg(F.min("id").alias("id")), "firsts")
-    found = prefixes(rows, copies.select("id").distinct(), words, percent)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("copy", F.md5("text"))
+    keyed = stage(rows.select("id", "copy"), "copies")
+    # numbers are given once, in the written table
+    copies = stage(keyed.groupBy("copy").agg(F.min("id").alias("id")).withColumn("node", F.monotonically_increasing_id()), "nodes")
+    found = prefixes(rows, copies, words, percent)
     links = _all_links(found, percent, cell)
-    same = keyed.join(copies.withColumnRenamed("id", "first"), "copy").where("id <> first").select("id", "first").distinct()
-    # identifiers that occur with several texts tie those texts' groups together
-    ties = same.groupBy("id").agg(F.min("first").alias("u"), F.max("first").alias("v")).where("u < v")
-    own = keyed.groupBy("id").agg(F.count_distinct("copy").alias("k")).where("k > 1").select("id")
-    ties = same.join(own, "id").select(F.col("id").alias("u"), F.col("first").alias("v")).unionAll(ties.select("u", "v"))
-    sizes = found.select("id", "n").groupBy("id").agg(F.max("n").alias("n"))
-    empty = sizes.where("n = 0").select("id")
-    roots = connected_components(links.unionAll(ties.join(empty, F.col("v") == empty["id"], "left_anti")))
-    firsts = copies.join(sizes, "id").join(roots, "id", "left").select("copy", "n", F.coalesce("root", "id").alias("root"))
-    done = keyed.join(firsts, "copy").select(
-        "id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("root")).otherwise(F.col("id")).alias("root")
+    roots = connected_components(links).withColumnRenamed("id", "node")
+    nodes = copies.join(found.select(F.col("id").alias("node"), "n"), "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = stage(nodes, "rooted")
+    tops = nodes.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "copy")).alias("top"))
+    nodes = nodes.join(tops, "root").select("copy", "n", F.col("top.id").alias("top"), (F.col("top.copy") == F.col("copy")).alias("head"))
+    own = F.col("n") == 0
+    return keyed.join(nodes, "copy").select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(own, F.col("id")).otherwise(F.col("top")).alias("component_id"),
+        "copy", (own | F.col("head")).alias("head"),
     )
-    real = lambda c: F.when(F.col(c) != int(LAST), F.col(c))
-    return done.select(real("id").alias(id_col), "n_shingles", real("root").alias("component_id"))

@@ -133,11 +133,36 @@ def test_ngram_join(docs, rows, cell):
     assert got == {i: (len(s), roots[i]) for i, s in sets.items()}
 
 
-def test_ngram_join_of_odd_tables(odd, empty):
+def components_of(rows) -> list[tuple]:
+    """Brute force over rows (id, text): id, set size, component id of each."""
+    texts = sorted({t or "" for _, t in rows})
+    sets = {t: shingles(t) for t in texts}
+    pairs = [(a, b) for a in texts for b in texts if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    root = reachable(pairs, texts)
+    least = {}
+    for i, t in rows:
+        if i is not None:
+            least[root[t or ""]] = min(i, least.get(root[t or ""], i))
+    return sorted(((i, len(sets[t or ""]), least.get(root[t or ""]) if sets[t or ""] else i) for i, t in rows), key=str)
+
+
+def test_ngram_join_of_odd_tables(spark, odd, empty):
     assert ngram_join.similar_groups(empty).count() == 0
-    found = ngram_join.similar_groups(odd).collect()
-    assert len(found) == odd.count()
-    assert {r.component_id for r in found if r.doc_id in (1, 2)} == {1}
+    say = lambda c: " ".join(f"{c}{k}" for k in range(30))
+    near = lambda t: t.replace("3", "", 1)
+    x, y, z, u, v, w = map(say, "xyzuvw")
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    rows += [(11, x), (None, x), (None, y), (15, y)]  # a null identifier ties nothing
+    rows += [(21, u), (21, v), (22, near(u)), (23, near(v)), (24, z), (24, ""), (24, None)]  # nor does a repeated one
+    rows += [(None, w), (None, near(w)), (None, say("t")), (None, None)] * 2
+    rows += [(39, f"{say('a')} {say('b')}"), (38, f"{say('a')} {say('b')} end"), (-3, f"{say('b')} {say('a')}"), (None, f"{say('a')} {say('b')} fin")]
+    got = ngram_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=str) == components_of(rows)
+    texts = {t or "" for _, t in rows}
+    sets = {t: shingles(t) for t in texts}
+    groups = reachable([(a, b) for a in texts for b in texts if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])], texts)
+    assert len({r.copy for r in got if r.head and r.n_shingles}) == len({groups[t] for t in texts if sets[t]})
+    assert all(r.head for r in got if not r.n_shingles)
 
 
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=40))
