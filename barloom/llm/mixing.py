@@ -69,17 +69,18 @@ def mix(
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
+    keep: Sequence[Column] = (),
 ) -> DataFrame:
     """One row per input row: id_col, size, source_size, target, taken.
 
     size counts words (null text: 0). A source's target is taken in whole epochs and a last part: documents in key
     order until the budget's exact word, so that a source's taken words add up to its target rounded down. Repeated
     rows are separate documents of the mix. Documents without words take nothing; a source without words has target 0.
-    Null sources form one source. Other columns are ignored. The same input and seed give the same result.
+    Null sources form one source. Columns of `keep` (named expressions) are passed on; other columns are ignored. The same input and seed give the same result.
     """
     n = ranges or 4 * partitions(docs.sparkSession)
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_of(text_col)).alias("size")
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_of(text_col)).alias("size"), F.struct(F.lit(0).alias("none"), *keep).alias("kept")
     )
     salted = F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit("")))
     rows = rows.withColumn("key", F.conv(F.substring(F.sha2(salted, 256), 1, 15), 16, 10).cast("long"))
@@ -104,8 +105,8 @@ def mix(
     rest = budget - epochs * F.col("source_size")
     part = F.least(F.col("size"), F.greatest(F.lit(0).cast("long"), rest - F.col("start") - F.col("ahead")))
     return rows.select(
-        F.col("id").alias(id_col), "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken")
-    )
+        F.col("id").alias(id_col), "size", "source_size", "target", (epochs * F.col("size") + part).alias("taken"), "kept.*"
+    ).drop("none")
 
 
 ORACLE = f"""
