@@ -2,7 +2,8 @@
 
 Each rule's regex is read once on the driver and turned into a Boolean trigram query: alternatives of trigram sets
 that every match must contain. The index holds the posting lists of those trigrams over all documents, sorted by
-trigram. Posting lists are intersected per document and alternative; only candidates are verified with the regex.
+trigram: all trigrams that a rule's query names, whatever their number. Posting lists are intersected per document and
+alternative; only candidates are verified with the regex, in the tasks that read their texts.
 A rule without mandatory trigrams scans every document.
 """
 
@@ -48,7 +49,6 @@ RULES = (
 Query = frozenset  # of frozensets of trigrams: an OR of ANDs; an empty AND means "any document"
 ANY: Query = frozenset({frozenset()})
 MOST_STRINGS = 32
-MOST_TERMS = 3
 
 
 def _either(queries: list[Query]) -> Query:
@@ -114,15 +114,8 @@ def _node(op, arg) -> tuple[set[str] | None, Query]:
 def trigram_query(pattern: str) -> Query | None:
     """Alternatives of mandatory trigrams (lower case), or None where some match needs none."""
     query = _analyse(parser.parse(pattern))[1]
-    if frozenset() in query:
-        return None
-    return frozenset(_telling(a) for a in query)
-
-
-def _telling(alternative: frozenset[str]) -> frozenset[str]:
-    """At most MOST_TERMS of an alternative's trigrams: those with other signs than letters first, as text has few."""
-    ranked = sorted(alternative, key=lambda t: (t.isalpha(), t))
-    return frozenset(ranked[:: max(1, len(ranked) // MOST_TERMS)][:MOST_TERMS])
+    # an alternative that asks for more than another one adds nothing
+    return None if frozenset() in query else frozenset(a for a in query if not any(b < a for b in query))
 
 
 def build_index(rows: DataFrame, trigrams: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -170,7 +163,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
 
     Spans count code points, end exclusive, and are sorted by start, then rule. Null texts count as empty and have no
     spans. Repeated rows each get their spans; rows with one identifier and different texts are told apart by h, the
-    text's hash.
+    text's hash. An empty table gives no rows; other columns, also of clashing names, are ignored.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
@@ -180,7 +173,9 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str =
     numbered = list(enumerate(rules))
     spans = _matches(rows, [x for x in numbered if x[1].kind not in indexed], lambda r: F.lit(True))
     if indexed:
-        held = candidates(postings, indexed)
+        # written first: its size is known when the join is planned, so that few candidates are broadcast to the texts
+        # where they are and only many (over spark.sql.autoBroadcastJoinThreshold) make the texts move
+        held = stage(candidates(postings, indexed), "candidates")
         on = rows["id"].eqNullSafe(held["id"]) & (rows["h"] == held["h"])
         picked = rows.join(held, on).select(rows["id"], rows["h"], "text", "kinds")
         spans = spans.unionByName(
