@@ -1,26 +1,29 @@
 """Substring dedup by level-wise doubling of repeated word windows.
 
-A window of 13 words can only repeat if the two windows of 7 words that cover it repeat, so a first level of short
-windows is tested with hashes of just enough bits for the corpus, and only survivors are extended to the next level,
-where identity is told by 96 hash bits and the smallest document identifier is compared. Each level costs a few bytes
-per surviving window: blocks of documents send their sorted, distinct hashes to hash ranges and get back one bit for
-each. A window that a third of all documents share is one entry per block, not one per document.
+Windows of one length that occur more than once are extended to twice that length, and so on until no candidates
+survive or the length asked for is reached (the last step is shortened to meet it). A window can only repeat if the two
+windows of the level before that cover it repeat: earlier levels are tested with hashes of just enough bits for the
+corpus, and the last one tells identity by 96 hash bits and compares the smallest document identifier. Each level costs
+a few bytes per surviving window: blocks of documents send their sorted, distinct hashes to hash ranges and get back one
+bit for each. A window that a third of all documents share is one entry per block, not one per document.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import partitions, text_of
+from barloom.llm.common import partitions, stage, text_of
 from barloom.llm.hashing import U64, column_bytes, hash_windows, hash_words, pack_sorted, split_words, unpack_sorted
 
-LEVELS = (7, 13)
+WINDOW = 13
+#: Words of the first level's windows.
+FIRST = 7
 #: Of the filter level: bits over the logarithm of the corpus's windows, so that 1 in 2 ** SPARE survives by chance.
 SPARE = 8
 #: Text bytes of a block of documents, and text bytes whose windows meet in one hash range: what a task holds at once.
@@ -154,6 +157,25 @@ def _answer(entries: pa.Table, final: bool) -> pa.Table:
     return pa.table([entries["level"], entries["bucket"], entries["block"], pa.array(bits, pa.binary())], schema=_BACK)
 
 
+def _untouched(block: Block, back: pa.Table, schema: pa.Schema) -> pa.Table:
+    """Nothing repeats: the words as they are."""
+    kept = [b" ".join(t.encode().split()) for t in block.table.column("text").to_pylist()]
+    counts = np.bincount(block.row, minlength=len(block.ids))
+    none = pa.array([[]] * len(kept), schema.field("spans").type)
+    return pa.table([block.table["id"], pa.array(counts.astype(np.int64)), pa.array(np.zeros(len(kept), np.int64)), none, pa.array(kept, pa.binary()).cast(pa.string())], schema=schema)
+
+
+def _longest(block: Block, back: pa.Table, schema: pa.Schema) -> pa.Table:
+    """The longest level at which each document has a repeated window."""
+    held = {(x, b): v for x, b, v in zip(back["level"].to_pylist(), back["bucket"].to_pylist(), back["bits"].to_pylist(), strict=True)}
+    out = np.zeros(len(block.ids), np.int64)
+    block.alive = None
+    for k, words in enumerate(block.levels[:-1]):
+        block.mark(k, block.level(k), held)
+        out[block.row[np.flatnonzero(block.alive)]] = words
+    return pa.table([block.table["id"], pa.array(out)], schema=schema)
+
+
 def _finish(block: Block, back: pa.Table, schema: pa.Schema) -> pa.Table:
     """Remove the words that windows of the last level cover: those seen before the block, or earlier within it."""
     k = len(block.levels) - 1
@@ -188,66 +210,106 @@ def _finish(block: Block, back: pa.Table, schema: pa.Schema) -> pa.Table:
     )
 
 
-def remove_repeats(
-    docs: DataFrame,
-    levels: Sequence[int] = LEVELS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    blocks: int | None = None,
-    buckets: int | None = None,
-) -> DataFrame:
-    """One row per document: id_col, n_words, n_removed, spans (removed words [s, e)), kept_text.
+class Corpus:
+    """The blocks of a corpus and the levels found so far."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks: int | None, buckets: int | None) -> None:
+        parts = partitions(docs.sparkSession)
+        rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+        size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+        self.bits = min(64, max(24, math.ceil(math.log2(size / 2 + 2)) + SPARE))
+        blocks = blocks or max(parts, -(-size // BLOCK_BYTES))
+        self.buckets = buckets or max(-(-parts // 2), -(-size // BUCKET_BYTES))
+        self.rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).repartition(parts, "block")
+        self.levels: tuple[int, ...] = ()
+        self.back: DataFrame | None = None
+
+    def extend(self, words: int, final: bool) -> bool:
+        """Tests the windows of `words` words that the level before leaves; False if none of them repeats.
+
+        The answers are written: later levels and the end read them, and whether any bit is set ends the doubling.
+        """
+        k, bits, buckets, levels = len(self.levels), self.bits, self.buckets, (*self.levels, words)
+        # a level's place tells its hashes' width: only the last one asked for is told apart for good
+        shown = levels if final else (*levels, words + 1)
 
-    A word goes if a window of levels[-1] words that covers it also starts in a document with a smaller identifier.
-    Each level's window must be covered by two of the level before. Identifiers are integers; null counts as larger
-    than any. Rows with the same identifier don't remove each other's words. Null and short texts have no windows.
-    """
-    for a, b in zip(levels, levels[1:], strict=False):
-        if not a < b <= 2 * a:
-            raise ValueError("each level's windows must be covered by two windows of the level before")
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    bits = min(64, max(24, math.ceil(math.log2(size / 2 + 2)) + SPARE))
-    blocks = blocks or max(parts, -(-size // BLOCK_BYTES))
-    buckets = buckets or max(-(-parts // 2), -(-size // BUCKET_BYTES))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).repartition(parts, "block")
-    last = len(levels) - 1
-    back: DataFrame | None = None
-    levels = tuple(levels)
-
-    def sender(k: int):
         def first(key: tuple, table: pa.Table) -> pa.Table:
-            return _send(Block(table, bits, buckets, levels), 0, key[0].as_py())
+            return _send(Block(table, bits, buckets, shown), 0, key[0].as_py())
 
         def later(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
-            return _send(_reached(table, got, k, bits, buckets, levels), k, key[0].as_py())
+            return _send(_reached(table, got, k, bits, buckets, shown), k, key[0].as_py())
 
-        return later if k else first
-
-    def answerer(final: bool):
         def answer(entries: pa.Table) -> pa.Table:
             return _answer(entries, final)
 
-        return answer
+        rows, back = self.rows.groupBy("block"), self.back
+        sent = rows.applyInArrow(first, UP) if back is None else rows.cogroup(back.groupBy("block")).applyInArrow(later, UP)
+        found = stage(sent.groupBy("bucket").applyInArrow(answer, BACK), f"level-{words}")
+        self.levels, self.back = levels, found if back is None else back.unionAll(found)
+        # an entry before the last level stays if its window repeats; at the last one a block's first holder isn't marked
+        return final or found.where(F.col("bits").isNotNull() & F.hex("bits").rlike("[1-9A-F]")).limit(1).count() > 0
 
-    for k in range(len(levels)):
-        grouped = rows.groupBy("block") if back is None else rows.groupBy("block").cogroup(back.groupBy("block"))
-        answer = grouped.applyInArrow(sender(k), UP).groupBy("bucket").applyInArrow(answerer(k == last), BACK)
-        back = answer if back is None else back.unionAll(answer)
+    def finish(self, work: Callable, schema: pa.Schema, kinds: str) -> DataFrame:
+        """Each block with its windows marked up to the level before the last, and the answers, through a function."""
+        k, bits, buckets, levels = len(self.levels) - 1, self.bits, self.buckets, self.levels
 
-    out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("kept_text", pa.string())])
+        def finish(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
+            return work(_reached(table, got, k, bits, buckets, levels), got, schema)
 
-    def finish(key: tuple, table: pa.Table, got: pa.Table) -> pa.Table:
-        return _finish(_reached(table, got, last, bits, buckets, levels), got, out)
+        return self.rows.groupBy("block").cogroup(self.back.groupBy("block")).applyInArrow(finish, kinds)
 
-    done = rows.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(
-        finish, "id long, n_words long, n_removed long, spans array<struct<s:int,e:int>>, kept_text string"
-    )
+
+def doubled(first: int, window: int) -> list[int]:
+    """Lengths from `first` on, each twice the one before, and the window's own at the end."""
+    out = []
+    while first < window:
+        out.append(first)
+        first *= 2
+    return [*out, window]
+
+
+def remove_repeats(
+    docs: DataFrame,
+    window: int = WINDOW,
+    first: int = FIRST,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    blocks: int | None = None,
+    buckets: int | None = None,
+) -> DataFrame:
+    """One row per row of docs: id_col, n_words, n_removed, spans (removed words [s, e)), kept_text.
+
+    A word goes if a window of `window` words that covers it also starts in a document with a smaller identifier.
+    Levels double from `first` words to `window`; where no window of a level repeats, the doubling ends and nothing
+    goes. Identifiers are integers; null counts as larger than any. Rows with the same identifier, repeated rows too,
+    don't remove each other's words. Null, empty and short texts have no windows; long ones are read whole. Other
+    columns, also of clashing names, are ignored; an empty table gives no rows.
+    """
+    corpus = Corpus(docs, id_col, text_col, blocks, buckets)
+    for words in doubled(first, window):
+        if not corpus.extend(words, words == window):
+            break
+    # levels given up before the window's length leave no window to remove
+    last = corpus.levels[-1] == window
+    out = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())]))), ("kept_text", pa.string())])
+    done = corpus.finish(_finish if last else _untouched, out, "id long, n_words long, n_removed long, spans array<struct<s:int,e:int>>, kept_text string")
     return done.withColumnRenamed("id", id_col)
 
 
+def longest_repeats(docs: DataFrame, first: int = FIRST, id_col: str = "doc_id", text_col: str = "text", blocks: int | None = None, buckets: int | None = None) -> DataFrame:
+    """One row per row of docs: id_col, words: the longest of `first`, twice it, four times it, ... words for which the
+    row has a window that also occurs in a row of another identifier; 0 if none.
+
+    The doubling goes on until no window of a length repeats. Nulls, repeats and other columns as in remove_repeats;
+    hashes have as many bits as the corpus needs, so that one window in 2 ** SPARE may count by chance at the first level.
+    """
+    corpus, words = Corpus(docs, id_col, text_col, blocks, buckets), first
+    while corpus.extend(words, False):
+        words *= 2
+    corpus.levels += (words + 1,)  # the place of a last level, which isn't asked for
+    return corpus.finish(_longest, pa.schema([("id", pa.int64()), ("words", pa.int64())]), "id long, words long").withColumnRenamed("id", id_col)
+
+
 def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """One row per document: id_col, n_words, n_removed, kept_sha256."""
     done = remove_repeats(docs, id_col=id_col)
@@ -257,11 +319,11 @@ def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
 ORACLE = f"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+') AS w FROM documents),
 win AS (
-    SELECT doc_id, s, array_to_string(w[s:s + {LEVELS[-1] - 1}], ' ') AS p
-    FROM (SELECT doc_id, w, unnest(range(1, len(w) - {LEVELS[-1] - 2})) AS s FROM d)),
+    SELECT doc_id, s, array_to_string(w[s:s + {WINDOW - 1}], ' ') AS p
+    FROM (SELECT doc_id, w, unnest(range(1, len(w) - {WINDOW - 2})) AS s FROM d)),
 least_doc AS (SELECT p, min(doc_id) AS first_doc FROM win GROUP BY p HAVING min(doc_id) < max(doc_id)),
 gone AS (
-    SELECT DISTINCT doc_id, unnest(range(s, s + {LEVELS[-1]})) AS i
+    SELECT DISTINCT doc_id, unnest(range(s, s + {WINDOW})) AS i
     FROM win JOIN least_doc USING (p) WHERE doc_id > first_doc),
 by_doc AS (SELECT doc_id, list(i) AS spots FROM gone GROUP BY doc_id)
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(spots), 0)::BIGINT AS n_removed,

@@ -480,20 +480,33 @@ def repeats(rows) -> dict:
     return out
 
 
-@pytest.mark.parametrize("levels", [(7, 13), (4, 7, 13), (13,)])
-def test_substring_dedup(docs, rows, levels):
-    done = substring_dedup.remove_repeats(docs, levels=levels, blocks=5, buckets=3)
+@pytest.mark.parametrize("first", [7, 4, 13])
+def test_substring_dedup(docs, rows, first):
+    done = substring_dedup.remove_repeats(docs, first=first, blocks=5, buckets=3)
     got = {r.doc_id: (r.n_words, r.n_removed, sha(r.kept_text)) for r in done.collect()}
     assert got == repeats(rows)
 
 
-def test_substring_dedup_of_odd_tables(odd, empty):
+def test_substring_dedup_of_odd_tables(spark, odd, empty):
     assert substring_dedup.report(empty).count() == 0
     found = substring_dedup.report(odd).collect()
     assert len(found) == odd.count()
     assert {r.n_removed for r in found if r.doc_id == 1} == {0}
-    with pytest.raises(ValueError):
-        substring_dedup.remove_repeats(odd, levels=(5, 13))
+    assert substring_dedup.doubled(4, 13) == [4, 8, 13] and substring_dedup.doubled(13, 13) == [13] and substring_dedup.doubled(7, 13) == [7, 13]
+    unlike = spark.createDataFrame([(k, " ".join(f"{c}{i}" for i in range(30)) + " x") for k, c in enumerate("abc")] + [(9, None), (None, " ")], "doc_id long, text string")
+    assert sorted((r.doc_id or -1, r.n_words, r.n_removed) for r in substring_dedup.report(unlike).collect()) == [(-1, 0, 0), (-1, 31, 0), (1, 31, 0), (2, 31, 0), (9, 0, 0)]
+
+
+def test_longest_repeats(spark):
+    say = lambda c, n: " ".join(f"{c}{i}" for i in range(n))
+    texts = [f"{say('a', 60)} {say('b', 9)}", f"{say('x', 5)} {say('a', 60)}", say("c", 40), f"{say('c', 8)} end", f"{say('d', 30)} {say('d', 30)}", None, "", say("b", 9), say("e", 6), say("e", 6)]
+    got = by_id(substring_dedup.longest_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), first=7, blocks=3, buckets=2), "words")
+    wanted = {}
+    for i, t in enumerate(texts):
+        wanted[i], n, w = (0,), 7, (t or "").split()
+        while any(f" {' '.join(w[s : s + n])} " in f" {u or ''} " for s in range(len(w) - n + 1) for j, u in enumerate(texts) if j != i):
+            wanted[i], n = (n,), 2 * n
+    assert got == wanted and {v for (v,) in got.values()} == {0, 7, 56}
 
 
 PAGES = [
