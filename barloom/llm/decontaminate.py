@@ -1,16 +1,22 @@
 """Benchmark decontamination by Wu-Manber multi-pattern search over normalised bytes.
 
-The test strings are the benchmark's word windows. A table of block shifts tells how far a scan may jump; where the
-shift is 0, the bucket of the window's last block names the test strings to compare directly. Documents are never
-shuffled: each task scans its own texts against tables built from a broadcast of bounded size. A benchmark over that
-bound is searched slice by slice, and the spans found by the slices are merged per document.
+The test strings are the benchmark's word windows. A fixed-size table of hashed block shifts tells how far a scan may
+jump; where the shift is 0, the bucket of the window's last block names the test strings to compare directly. Documents
+are never shuffled: each task scans its own texts against tables built from a broadcast of bounded size. Test strings
+are places in the normalised benchmark text, not copies, so that what a worker builds is bounded by the slice's bytes:
+about SLICE_BYTES for the text, four to eight times that for the shifts and some 25 bytes for each window. A benchmark
+over the bound is searched slice by slice, one step after the other over the same rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,77 +34,95 @@ FOLD = bytes(
 
 
 class WuManber:
-    """Search for byte strings of at least `least` bytes each."""
+    """Search for byte strings: places [starts, ends) of a text; owners: the item of each."""
 
-    def __init__(self, patterns: dict[bytes, list[int]]) -> None:
-        self.items = patterns
-        self.m = m = min(map(len, patterns))
+    def __init__(self, blob: bytes, starts: np.ndarray, ends: np.ndarray, owners: np.ndarray) -> None:
+        order = np.argsort(starts, kind="stable")
+        self.blob, starts, ends, owners = blob, starts[order], ends[order], owners[order]
+        self.m = m = int((ends - starts).min())
         self.block = b = min(BLOCK, m)
-        self.far = m - b + 1
-        self.shift: dict[bytes, int] = {}
-        self.bucket: dict[bytes, list[bytes]] = {}
-        for p in patterns:
-            for end in range(b, m + 1):
-                piece = p[end - b : end]
-                if m - end < self.shift.get(piece, self.far):
-                    self.shift[piece] = m - end
-            self.bucket.setdefault(p[m - b : m], []).append(p)
-
-    def find(self, text: bytes) -> Iterator[tuple[int, bytes]]:
-        """(start, test string) of every occurrence."""
-        m, b, far, shift = self.m, self.block, self.far, self.shift.get
+        self.far = far = min(255, m - b + 1)
+        self.mask = mask = (1 << max(12, 2 + len(blob).bit_length())) - 1
+        self.shift = shift = bytearray([far]) * (mask + 1)
+        for low in range(b, len(blob) + 1, 1 << 18):
+            # of the block that ends at e, the smallest shift: to the first string at or after e - m that still holds it
+            e = np.arange(low, min(low + (1 << 18), len(blob) + 1))
+            held = np.minimum(np.searchsorted(starts, e - m), len(starts) - 1)
+            inside = (starts[held] >= e - m) & (starts[held] <= e - b)
+            for end, jump in zip(e[inside].tolist(), (starts[held] + m - e)[inside].tolist(), strict=True):
+                h = zlib.crc32(blob[end - b : end]) & mask
+                if jump < shift[h]:
+                    shift[h] = jump
+        last = np.fromiter((zlib.crc32(blob[s + m - b : s + m]) for s in starts), np.uint32, len(starts))
+        order = np.argsort(last, kind="stable")
+        self.last, self.starts, self.ends, self.owners = (
+            array(kind, x[order].astype(dtype).tobytes()) for kind, dtype, x in (("I", "u4", last), ("q", "i8", starts), ("q", "i8", ends), ("q", "i8", owners))
+        )
+
+    def find(self, text: bytes) -> Iterator[tuple[int, int, int]]:
+        """(start, length, item) of every occurrence."""
+        m, b, mask, shift, crc, last = self.m, self.block, self.mask, self.shift, zlib.crc32, self.last
         end, size = m, len(text)
         while end <= size:
-            piece = text[end - b : end]
-            jump = shift(piece, far)
+            h = crc(text[end - b : end])
+            jump = shift[h & mask]
             if jump:
                 end += jump
                 continue
-            for p in self.bucket[piece]:
+            k = bisect_left(last, h)
+            while k < len(last) and last[k] == h:
+                p = self.blob[self.starts[k] : self.ends[k]]
                 if text.startswith(p, end - m):
-                    yield end - m, p
+                    yield end - m, len(p), self.owners[k]
+                k += 1
             end += 1
 
 
-def windows(text: bytes, size: int) -> list[bytes]:
-    w = text.translate(FOLD).split()
-    if not w:
-        return []
-    return [b" " + b" ".join(w[i : i + size]) + b" " for i in range(max(1, len(w) - size + 1))]
-
-
 def engines(items: list[tuple[int, bytes]], size: int) -> list[WuManber]:
     """One engine for whole windows and one for each length of shorter items: short strings would shorten all jumps."""
-    groups: dict[int, dict[bytes, list[int]]] = {}
-    for item, text in items:
-        for p in windows(text, size):
-            owners = groups.setdefault(p.count(b" ") - 1, {}).setdefault(p, [])
-            if item not in owners:
-                owners.append(item)
-    return [WuManber(g) for g in groups.values()]
+    texts: dict[int, list[tuple[int, bytes]]] = {}
+    for item, text in sorted(set(items)):
+        words = text.translate(FOLD).split()
+        if words:
+            texts.setdefault(min(len(words), size), []).append((item, b" " + b" ".join(words) + b" "))
+    out = []
+    for words, group in texts.items():
+        blob = b"".join(t for _, t in group)
+        starts, ends, owners, at = [], [], [], 0
+        for item, text in group:
+            spaces = at + np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+            starts.append(spaces[: len(spaces) - words])
+            ends.append(spaces[words:] + 1)
+            owners.append(np.full(len(starts[-1]), item, np.int64))
+            at += len(text)
+        out.append(WuManber(blob, np.concatenate(starts), np.concatenate(ends), np.concatenate(owners)))
+    return out
 
 
 def scan(text: bytes, found: list[WuManber]) -> tuple[int, list[dict[str, int]], list[int]]:
     """Words of the text, merged word spans [s, e) that test strings cover, and the items that occur."""
     words = text.translate(FOLD).split()
     joined = b" " + b" ".join(words) + b" "
-    hits = [(at, p, engine) for engine in found for at, p in engine.find(joined)] if words else []
-    if not hits:
-        return len(words), [], []
-    hits.sort(key=lambda h: h[0])
+    hits = sorted({hit for engine in found for hit in engine.find(joined)}) if words else []
     spans: list[dict[str, int]] = []
-    items: set[int] = set()
-    word, last = 0, 0
-    for at, p, engine in hits:
+    word, last, upto = 0, 0, {}
+    for at, n, _ in hits:
         word += joined.count(b" ", last, at)
         last = at
-        s, e = word, word + p.count(b" ") - 1
-        items.update(engine.items[p])
-        if spans and s <= spans[-1]["e"]:
-            spans[-1]["e"] = max(spans[-1]["e"], e)
+        if (at, n) not in upto:  # once for each test string, not for each item that has it
+            upto = {(at, n): word + joined.count(b" ", at, at + n) - 1}
+            spans.append({"s": word, "e": upto[at, n]})
+    return len(words), merged(spans), sorted({item for _, _, item in hits})
+
+
+def merged(spans: list[dict[str, int]]) -> list[dict[str, int]]:
+    out: list[dict[str, int]] = []
+    for x in sorted(spans, key=lambda x: (x["s"], x["e"])):
+        if out and x["s"] <= out[-1]["e"]:
+            out[-1]["e"] = max(out[-1]["e"], x["e"])
         else:
-            spans.append({"s": s, "e": e})
-    return len(words), spans, sorted(items)
+            out.append(dict(x))
+    return out
 
 
 #: The engines of the slice that a worker searched last, by the slice's content.
@@ -112,8 +136,8 @@ _ARROW = [
 ]
 
 
-def _search(rows: DataFrame, slice_: list[tuple[int, bytes]], size: int) -> DataFrame:
-    """rows: payload (a struct that is passed on) and text."""
+def _search(rows: DataFrame, slice_: list[tuple[int, bytes]], size: int, more: bool = False) -> DataFrame:
+    """rows: payload (a struct that is passed on), text and, after a search, what that found; the text goes if no more follow."""
     shared = rows.sparkSession.sparkContext.broadcast(slice_)
     digest = hashlib.sha256(str(size).encode())
     for item, text in sorted(slice_):
@@ -128,11 +152,15 @@ def _search(rows: DataFrame, slice_: list[tuple[int, bytes]], size: int) -> Data
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             results = [scan(t.as_py(), found) for t in texts]
+            if "spans" in batch.schema.names:
+                before = zip(batch.column("spans").to_pylist(), batch.column("item_ids").to_pylist(), strict=True)
+                results = [(n, merged(s + old), sorted({*ids, *had})) for (n, s, ids), (old, had) in zip(results, before, strict=True)]
             columns = [pa.array([r[i] for r in results], f.type) for i, f in enumerate(_ARROW)]
-            yield pa.RecordBatch.from_arrays([batch.column("payload"), *columns], names=["payload", *(f.name for f in _ARROW)])
+            kept = ["payload", "text"] if more else ["payload"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *columns], names=[*kept, *(f.name for f in _ARROW)])
 
     kind = rows.schema["payload"].dataType.simpleString()
-    return rows.mapInArrow(run, f"payload {kind}, {FOUND}")
+    return rows.mapInArrow(run, f"payload {kind}, {'text string, ' if more else ''}{FOUND}")
 
 
 def find_passages(
@@ -148,31 +176,19 @@ def find_passages(
     """One row per document: payload (a struct of the columns named), n_words, spans, item_ids.
 
     A span [s, e) counts the document's words; spans are merged and sorted. A test string is a window of `window`
-    words of an item; an item of fewer words, but not none, is one string. Null texts have no words; items with a null
-    identifier or without words are never found. Repeated documents are scanned each for itself; an empty benchmark
-    finds nothing.
+    words of an item; an item of fewer words, but not none, is one string. Null and empty texts have no words; long ones
+    are scanned whole; items with a null identifier or without words are never found. Repeated documents are scanned
+    each for itself; an empty benchmark finds nothing, an empty table gives no rows. Other columns, also of clashing
+    names, go into the payload or nowhere.
     """
     rows = docs.select(F.struct(*payload).alias("payload"), text_of(text_col).alias("text"))
-    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), text_of(item_text).alias("t"))
+    items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("i"), text_of(item_text).alias("t")).distinct()
     total = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0)).alias("n")).first()["n"]
     slices = max(1, -(-total // slice_bytes))
-
-    def one(k: int) -> DataFrame:
+    for k in range(slices):
         part = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(slices)) == k) if slices > 1 else items
-        return _search(rows, [(r.i, r.t.encode()) for r in part.distinct().collect()], window)
-
-    if slices == 1:
-        return one(0)
-    # over the bound: the same rows once per slice, put together by their content and copies
-    found = one(0)
-    for k in range(1, slices):
-        found = found.unionAll(one(k))
-    merged = found.groupBy("payload", "n_words").agg(
-        F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("item_ids"))).alias("item_ids"),
-        (F.count(F.lit(1)) / slices).cast("int").alias("copies"),
-    )
-    return merged.select("payload", "n_words", "spans", "item_ids", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+        rows = _search(rows, [(r.i, r.t.encode()) for r in part.collect()], window, k < slices - 1)
+    return rows
 
 
 def judged(found: DataFrame, share: int = 20) -> DataFrame:

@@ -385,8 +385,8 @@ def test_decontamination(spark, rows, odd, empty):
     columns = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     expected = {i: contamination(t, items) for i, t, *_ in rows}
     assert by_id(decontaminate.report(docs, table), *columns) == expected
-    sliced = decontaminate.judged(decontaminate.find_passages(docs, table, ["doc_id"], slice_bytes=200)).selectExpr("payload.doc_id", "n_words", "n_hit", "contaminated")
-    assert by_id(sliced, "n_words", "n_hit", "contaminated") == {i: (e[0], e[1], e[4]) for i, e in expected.items()}
+    sliced = decontaminate.judged(decontaminate.find_passages(docs, table, ["doc_id"], slice_bytes=200)).selectExpr("payload.doc_id", "n_words", "n_hit", "size(item_ids) n", "contaminated")
+    assert by_id(sliced, "n_words", "n_hit", "n", "contaminated") == {i: (*e[:3], e[4]) for i, e in expected.items()}
     assert decontaminate.report(empty, table).count() == 0
     assert decontaminate.report(odd, table).count() == odd.count()
     none = table.limit(0)
@@ -423,10 +423,11 @@ def test_decontamination_by_benchmarks_of_equal_size():
 @given(st.lists(st.text(alphabet="ab ", min_size=1, max_size=14), min_size=1, max_size=6), st.text(alphabet="ab ", max_size=80))
 @settings(max_examples=200, deadline=None)
 def test_wu_manber(patterns, text):
-    patterns = {p.encode() for p in patterns}
-    got = sorted(decontaminate.WuManber({p: [] for p in patterns}).find(text.encode()))
-    raw = text.encode()
-    assert got == sorted((i, p) for p in patterns for i in range(len(raw) - len(p) + 1) if raw.startswith(p, i))
+    patterns, raw = sorted({p.encode() for p in patterns}), text.encode()
+    ends = np.cumsum([len(p) for p in patterns])
+    engine = decontaminate.WuManber(b"".join(patterns), ends - [len(p) for p in patterns], ends, np.arange(len(patterns)))
+    got = sorted(engine.find(raw))
+    assert got == sorted((i, len(p), k) for k, p in enumerate(patterns) for i in range(len(raw) - len(p) + 1) if raw.startswith(p, i))
 
 
 def test_license_scan(spark, odd, empty):
