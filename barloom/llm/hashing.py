@@ -46,7 +46,7 @@ def by_bytes(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Recor
     sizes = np.diff(column_bytes(batch.column(column))[1])
     if not len(sizes):
         return
-    part = (np.cumsum(sizes) - 1) // most
+    part = np.maximum(0, np.cumsum(sizes) - 1) // most
     cuts = np.flatnonzero(np.diff(part, prepend=-1))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True):
         yield batch.slice(a, b - a)

@@ -2,8 +2,9 @@
 
 A page becomes its sequence of leaf blocks. Each block is a vector of hashed tag-path tokens, hashed words and a few
 shape figures; a bidirectional LSTM reads the whole sequence in both directions and labels every block as main text or
-not. The model is small and is trained on the driver from weak labels: the meaning of tag and class names on generated
-pages of several layouts and on a sample of at most `sample_pages` rows of the table itself.
+not. The model is small and is trained on the driver: on generated pages of several layouts, whose main blocks are known
+by construction and a third of which have no telling tags or names (so that text, links and place must tell), and on a
+sample of at most `sample_pages` rows of the table itself, labelled by the meaning of their tag and class names.
 """
 
 from __future__ import annotations
@@ -13,19 +14,25 @@ import random
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import text_of
+from barloom.llm.hashing import by_bytes, column_bytes, hash_words, split_words
+
 SAMPLE_PAGES = 200
-MADE_PAGES = 400
+#: Characters of a page of the sample, at most: what the driver holds is bounded. Such pages are labelled like any other.
+SAMPLE_CHARS = 50_000
+MADE_PAGES = 500
 PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 96, 24, 8
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 HIDDEN = 16
-#: Words of a block that enter its word vector, at most about twice as many.
-SEEN_WORDS = 16
+#: Bytes of pages that are labelled at once; a longer page is labelled alone, in some ten times its bytes of memory.
+BATCH_BYTES = 4 << 20
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
@@ -33,7 +40,7 @@ TOKEN = re.compile(
     re.S,
 )
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-RAW = frozenset("script style noscript template textarea title iframe svg math object head".split())
+RAW = frozenset("script style noscript template textarea title iframe svg head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup "
@@ -48,33 +55,61 @@ HOLDERS = frozenset("article aside body div footer form header main nav section
 
 
 class Blocks:
-    """The leaf blocks of a page: text, path tokens, characters inside links."""
+    """The leaf blocks of a page: text, hashed path, characters inside links, and what tags and names say of them."""
 
     def __init__(self, page: str) -> None:
         self.texts: list[str] = []
-        self.paths: list[tuple[str, ...]] = []
+        self.paths: list[bytes] = []  # a byte for each slot of the hashed path: bounded, however deep the tags nest
         self.linked: list[int] = []
-        stack: list[tuple[str, tuple[str, ...]]] = []
+        self.told: list[tuple[bool, bool, bool, bool]] = []
+        stack: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = []
+        slots, told, open_ = np.zeros(PATH_DIMS, np.int32), [0, 0, 0, 0], {}
+        path: bytes | None = None
         parts: list[str] = []
         links = 0
 
         def close() -> None:
-            nonlocal links
+            nonlocal links, path
             text = " ".join(markup.unescape("".join(parts)).split()) if parts else ""
             if text:
+                if path is None:
+                    path = (slots > 0).tobytes()
                 self.texts.append(text)
-                self.paths.append(tuple(x for _, names in stack for x in names))
+                self.paths.append(path)
                 self.linked.append(min(links, len(text)))
+                self.told.append(tuple(n > 0 for n in told))
             parts.clear()
             links = 0
 
+        def push(tag: str, names: list[str]) -> None:
+            nonlocal path
+            at, says = _meaning(tuple(names))
+            stack.append((tag, at, says))
+            open_[tag] = open_.get(tag, 0) + 1
+            path = None
+            for i in at:
+                slots[i] += 1
+            for i in says:
+                told[i] += 1
+
+        def pop_to(k: int) -> None:
+            nonlocal path
+            path = None
+            for tag, at, says in stack[k:]:
+                open_[tag] -= 1
+                for i in at:
+                    slots[i] -= 1
+                for i in says:
+                    told[i] -= 1
+            del stack[k:]
+
         at, end = 0, len(page)
         while at < end:
             m = TOKEN.search(page, at)
             piece = page[at : m.start() if m else end]
             if piece:
                 parts.append(piece)
-                if any(tag == "a" for tag, _ in stack):
+                if open_.get("a"):
                     links += len(piece.strip())
             if not m:
                 break
@@ -85,27 +120,25 @@ class Blocks:
             if m[1]:
                 if tag not in INLINE:
                     close()
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        del stack[k:]
-                        break
+                if open_.get(tag):
+                    pop_to(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag))
                 continue
             if tag == "br":
                 parts.append(" ")
                 continue
             if tag in RAW:
                 shut = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-                if tag == "head" and not shut:
+                if tag in ("head", "svg") and not shut:
                     continue
                 at = shut.end() if shut else end
                 continue
             if tag not in INLINE:
                 close()
             ends = ENDS.get(tag) or ({"p"} if tag in ENDS_P else None)
-            if ends:
+            if ends and any(open_.get(x) for x in ends):
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] in ends:
-                        del stack[k:]
+                        pop_to(k)
                         break
                     if stack[k][0] in HOLDERS:
                         break
@@ -113,7 +146,7 @@ class Blocks:
                 names = [tag]
                 for n in NAMES.finditer(m[3]):
                     names += [f".{x}" for x in re.split(r"[\s_-]+", (n[2] or n[3] or n[4] or "").lower()) if x]
-                stack.append((tag, tuple(names)))
+                push(tag, names)
         close()
 
 
@@ -124,59 +157,44 @@ BOILER_NAMES = re.compile(
     r"|copyright|legal|toolbar|masthead|complementary|contentinfo|form)$"
 )
 MAIN = frozenset("article main .main .content .article .post .entry .story".split())
+BODY = frozenset("p h1 h2 h3 blockquote pre".split())
+
+
+@lru_cache(20_000)
+def _meaning(names: tuple[str, ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
+    """Path slots of a tag with its names, and what they say: 0 main, 1 boilerplate, 2 header, 3 running text."""
+    own = set(names)
+    tests = (MAIN & own, BOILER_TAGS & own or any(map(BOILER_NAMES.match, names)), "header" in own, BODY & own)
+    return tuple(zlib.crc32(name.encode()) % PATH_DIMS for name in names), tuple(i for i, hit in enumerate(tests) if hit)
 
 
 def weak_labels(blocks: Blocks) -> np.ndarray:
     """1 for blocks inside a main container and no other; without any such container, paragraphs and headings."""
-    any_main = any(MAIN & set(p) for p in blocks.paths)
-    out = []
-    for path in blocks.paths:
-        names = set(path)
-        inside = MAIN & names
-        boiler = BOILER_TAGS & names or any(BOILER_NAMES.match(x) for x in path) or ("header" in names and not inside)
-        body = bool(inside) if any_main else bool({"p", "h1", "h2", "h3", "blockquote", "pre"} & names)
-        out.append(body and not boiler)
-    return np.array(out, np.float32)
+    told = np.array(blocks.told, bool).reshape(-1, 4)
+    main, boiler, header, body = told.T
+    return (~boiler & ~(header & ~main) & (main if main.any() else body)).astype(np.float32)
 
 
 def features(blocks: Blocks) -> np.ndarray:
-    """One row per block."""
+    """One row per block. All words of a block enter its word vector."""
     n = len(blocks.texts)
     x = np.empty((n, DIMS), np.float32)
     if not n:
         return x
-    shape, rows, slots = [], [], []
-    for i, (text, linked) in enumerate(zip(blocks.texts, blocks.linked, strict=True)):
-        words = text.split(" ")
-        some = words[:: len(words) // SEEN_WORDS + 1]  # evenly over the whole block
-        rows.append(len(some))
-        slots += [zlib.crc32(w.encode()) % WORD_DIMS for w in some]
-        size = len(text)
-        signs = text.count(".") + text.count(",") + text.count(";") + text.count(":") + text.count("!") + text.count("?")
-        shape.append((size, len(words), linked / size, signs / size * 10, i / n, text[-1] in '.!?"', "©" in text or "|" in text, 1.0))
-    x[:, :PATH_DIMS] = [_path(p) for p in blocks.paths]
-    counts = np.array(rows)
-    flat = np.bincount(np.repeat(np.arange(n), counts) * WORD_DIMS + np.array(slots), minlength=n * WORD_DIMS)
-    x[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = flat.reshape(n, WORD_DIMS) / counts[:, None]
-    x[:, PATH_DIMS + WORD_DIMS :] = shape
-    x[:, PATH_DIMS + WORD_DIMS] = np.log1p(x[:, PATH_DIMS + WORD_DIMS]) / 8
-    x[:, PATH_DIMS + WORD_DIMS + 1] = np.log1p(x[:, PATH_DIMS + WORD_DIMS + 1]) / 6
+    x[:, :PATH_DIMS] = np.frombuffer(b"".join(blocks.paths), np.uint8).reshape(n, PATH_DIMS)
+    data, offsets = column_bytes(pa.array(blocks.texts, pa.string()))
+    starts, ends, row = split_words(data, offsets)
+    words = np.maximum(1, np.bincount(row, minlength=n))
+    flat = np.bincount(row * WORD_DIMS + (hash_words(data, starts, ends) % np.uint64(WORD_DIMS)).astype(np.int64), minlength=n * WORD_DIMS)
+    x[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = flat.reshape(n, WORD_DIMS) / words[:, None]
+    size = np.array([len(t) for t in blocks.texts])
+    signs = np.array([t.count(".") + t.count(",") + t.count(";") + t.count(":") + t.count("!") + t.count("?") for t in blocks.texts])
+    shape = [np.log1p(size) / 8, np.log1p(words) / 6, np.array(blocks.linked) / size, signs / size * 10, np.arange(n) / n]
+    shape += [np.array([t[-1] in '.!?"' for t in blocks.texts]), np.array(["©" in t or "|" in t for t in blocks.texts]), np.ones(n)]
+    x[:, PATH_DIMS + WORD_DIMS :] = np.stack(shape, axis=1)
     return x
 
 
-_PATHS: dict[tuple[str, ...], np.ndarray] = {}
-
-
-def _path(names: tuple[str, ...]) -> np.ndarray:
-    if names not in _PATHS:
-        if len(_PATHS) > 20_000:
-            _PATHS.clear()
-        row = np.zeros(PATH_DIMS, np.float32)
-        row[[zlib.crc32(name.encode()) % PATH_DIMS for name in names]] = 1
-        _PATHS[names] = row
-    return _PATHS[names]
-
-
 class Labeller:
     """A bidirectional LSTM with a logistic output for each block."""
 
@@ -273,11 +291,16 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
-def made_page(r: random.Random) -> str:
-    """A page of a random layout, for training."""
+#: Begins the text of the main blocks of made pages: a private character that no page has.
+MARK = "\uf8f0"
+
+
+def made_page(r: random.Random, telling: bool = True) -> str:
+    """A page of a random layout, for training, with its main blocks marked; not telling: tags and names say nothing."""
     word = lambda: "".join(r.choice(("ka", "lo", "mi", "ren", "to", "shi", "ba", "den", "or")) for _ in range(r.randint(1, 4)))
     say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize()
-    para = lambda: f"<p>{'<b>' if r.random() < 0.2 else ''}{say(8, 60)}.{'' if r.random() < 0.2 else '</p>'}"
+    own = lambda a, b: MARK + say(a, b)
+    para = lambda: f"<p>{'<b>' if r.random() < 0.2 else ''}{own(8, 60)}.{'' if r.random() < 0.2 else '</p>'}"
     links = lambda n: "".join(f"<li><a href='/{word()}'>{say(1, 3)}</a></li>" for _ in range(n))
     outer = [
         f"<nav><ul>{links(r.randint(2, 8))}</ul></nav>",
@@ -297,25 +320,50 @@ def made_page(r: random.Random) -> str:
     inner = [para() for _ in range(r.randint(0, 14))]
     for k in range(len(inner)):
         if r.random() < 0.1:
-            inner[k] += r.choice((f"<h2>{say(2, 6)}</h2>", f"<ul><li>{say(3, 12)}</li><li>{say(3, 12)}</li></ul>", f"<blockquote>{say(6, 20)}.</blockquote>", f"<div class='ad'>{say(3, 9)}.</div>", f"<table><tr><td>{say(1, 4)}</td></tr></table>"))
+            inner[k] += r.choice((f"<h2>{own(2, 6)}</h2>", f"<ul><li>{own(3, 12)}</li><li>{own(3, 12)}</li></ul>", f"<blockquote>{own(6, 20)}.</blockquote>", f"<div class='ad'>{say(3, 9)}.</div>", f"<table><tr><td>{own(1, 4)}</td></tr></table>"))
     chosen, after = [x for x in outer if r.random() < 0.5], [x for x in tail if r.random() < 0.4]
     r.shuffle(after)
     foot = f"<footer>&copy; {word()}.example &middot; {say(3, 12)}.</footer>" if r.random() < 0.8 else ""
-    page = f"<html><head><title>{say(2, 6)}</title></head><body>{''.join(chosen)}{open_}<h1>{say(2, 9)}</h1>{''.join(inner)}{shut}{''.join(after)}{foot}</body></html>"
+    page = f"<html><head><title>{say(2, 6)}</title></head><body>{''.join(chosen)}{open_}<h1>{own(2, 9)}</h1>{''.join(inner)}{shut}{''.join(after)}{foot}</body></html>"
+    if not telling:
+        page = re.sub(r"</?(?:nav|header|aside|article|main|footer|section)\b", lambda m: "</div" if m[0][1] == "/" else "<div", page)
+        page = re.sub(r"(class|id)='[^']*'", lambda m: f"class='{word()}'", page)
     return page[: r.randint(len(page) // 2, len(page))] if r.random() < 0.1 else page
 
 
-def trained(pages: DataFrame | None = None, html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Labeller:
-    """A labeller fitted to generated pages and a bounded sample of the table's."""
-    r = random.Random(5)
-    texts = [made_page(r) for _ in range(MADE_PAGES)]
+def truth(blocks: Blocks) -> np.ndarray:
+    """The labels of a made page; its marks go."""
+    if blocks.texts and blocks.texts[-1] == MARK:  # the page was cut here
+        for held in (blocks.texts, blocks.paths, blocks.linked, blocks.told):
+            held.pop()
+    labels = np.array([MARK in t for t in blocks.texts], np.float32)
+    blocks.texts = [t.replace(MARK, "") for t in blocks.texts]
+    return labels
+
+
+def made(n: int, seed: int, telling: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+    r, out = random.Random(seed), []
+    for _ in range(n):
+        blocks = Blocks(made_page(r, telling))
+        labels = truth(blocks)
+        out.append((features(blocks), labels))
+    return out
+
+
+def trained(pages: DataFrame | None = None, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Labeller:
+    """A labeller fitted to generated pages and a bounded sample of the table's: those of at most sample_chars characters
+    with the smallest hashes, whatever the order of the rows. The same table gives the same model."""
+    examples = made(MADE_PAGES, 5, True) + made(MADE_PAGES // 2, 6, False)
     if pages is not None:
+        few = pages.select(F.col(html_col).cast("string").alias("h")).where(F.col("h").isNotNull() & (F.length("h") <= sample_chars))
+        few = few.select("h", F.xxhash64("h").alias("k"))
+        # the first cut keeps the sort small; it holds more than the sample, or all
         total = pages.count()
-        few = pages.select(F.col(html_col).cast("string").alias("h")).where(F.col("h").isNotNull() & (F.length("h") < 50_000))
-        few = few.where(F.pmod(F.xxhash64("h"), F.lit(max(1, total // sample_pages))) == 0)
-        texts += sorted(row.h for row in few.limit(sample_pages).collect())
-    made = [Blocks(t) for t in texts]
-    return Labeller().fit([(features(b), weak_labels(b)) for b in made])
+        few = few.where(F.pmod("k", F.lit(max(1, total // (4 * sample_pages)))) == 0)
+        for row in few.orderBy("k", "h").limit(sample_pages).collect():
+            blocks = Blocks(row.h)
+            examples.append((features(blocks), weak_labels(blocks)))
+    return Labeller().fit(examples)
 
 
 def label(model: Labeller, pages: list[Blocks], cells: int = 20_000) -> list[np.ndarray]:
@@ -340,7 +388,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     The text joins the blocks labelled as main text, in page order, by one space; white space in a block becomes one
     space and character references are decoded. A null or empty page, or one without main text, gives an empty text.
-    Broken markup is read as far as it goes; very long pages are read whole. Repeated rows give repeated results.
+    Broken markup is read as far as it goes; very long pages are read whole. Repeated rows give repeated results, null
+    identifiers stay null, an empty table gives no rows; other columns, also of clashing names, are ignored.
     """
     model = model or trained(pages, html_col)
     shared = pages.sparkSession.sparkContext.broadcast(model.p)
@@ -349,9 +398,8 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
         own = Labeller()
         own.p = shared.value
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                blocks = [Blocks(h or "") for h in part.column("html").to_pylist()]
+            for part in by_bytes(batch, "html", BATCH_BYTES):
+                blocks = [Blocks(h) for h in part.column("html").to_pylist()]
                 labels = [s >= 0.5 for s in label(own, blocks)]
                 texts = [" ".join(t for t, y in zip(b.texts, s, strict=True) if y) for b, s in zip(blocks, labels, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -360,7 +408,7 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
                     names=["id", "url", "text", "n_chars", "n_blocks", "n_main"],
                 )
 
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), text_of(html_col).alias("html"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
     done = rows.mapInArrow(run, f"id {kinds['id']}, url {kinds['url']}, text string, n_chars long, n_blocks int, n_main int")
     return done.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

@@ -8,6 +8,7 @@ import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 from types import SimpleNamespace
 
 import numpy as np
@@ -16,7 +17,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from barloom.llm import components, decontaminate, exact_dedup, html_extract, license_scan, mixing, ngram_join, quality, rans, secrets_scan, substring_dedup, token_output
+from barloom.llm import components, decontaminate, exact_dedup, hashing, html_extract, license_scan, mixing, ngram_join, quality, rans, secrets_scan, substring_dedup, token_output
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars int, id long, h long, t string, payload string, salt int, size long, score double, keys string"
 VOCABULARY = [f"w{i}" for i in range(60)] + ["Über", "naïve", "日本", "END", "a", "b."]
@@ -255,6 +256,14 @@ def test_pieces_are_encoded_as_whole_texts(texts):
     assert counts.tolist() == [len(x) for x in wanted] and ids.tolist() == [i for x in wanted for i in x]
 
 
+@given(st.lists(st.text(alphabet="aé", max_size=9), max_size=30), st.integers(1, 20))
+@settings(deadline=None)
+def test_batches_by_bytes(texts, most):
+    parts = [b.column("t").to_pylist() for b in hashing.by_bytes(pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["t"]), "t", most)]
+    assert [t for p in parts for t in p] == texts
+    assert all(sum(n) - max(n) <= most for n in ([len(t.encode()) for t in p] for p in parts))
+
+
 @given(st.lists(st.integers(0, 300), min_size=1, max_size=5000), st.integers(301, 2000))
 @settings(max_examples=30, deadline=None)
 def test_rans_round_trip(ids, size):
@@ -557,6 +566,62 @@ def test_html_extraction(spark):
     assert html_extract.main_text(df.limit(0)).count() == 0
 
 
+class Words(HTMLParser):
+    """All words of a page's body by the standard library's parser."""
+
+    def __init__(self, page: str) -> None:
+        super().__init__()
+        self.skip, self.parts = 0, []
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.skip += tag in ("head", "script", "style", "title")
+        self.parts.append("" if tag in html_extract.INLINE else " ")
+
+    def handle_endtag(self, tag):
+        self.skip -= tag in ("head", "script", "style", "title")
+        self.parts.append("" if tag in html_extract.INLINE else " ")
+
+    def handle_data(self, data):
+        self.parts.append("" if self.skip else data)
+
+
+def test_blocks_hold_all_words():
+    r = random.Random(4)
+    for k in range(60):
+        page = html_extract.made_page(r, k % 2 == 0).replace(html_extract.MARK, "")
+        page = page.replace("<body>", "<body><script>if (a < b) { c('<p>no</p>') }</script><style>p { }</style>").replace("<p>", "<p>a&nbsp;b &lt;x&gt; <i>un</i>broken ", 1)
+        if not page.endswith("</html>"):
+            continue
+        assert " ".join(html_extract.Blocks(page).texts).split() == "".join(Words(page).parts).split()
+    deep = html_extract.Blocks("<div class='a b'>" * 3000 + "text" + "<p>x<b>" * 3000)  # neither memory nor time grow with the depth
+    assert len(deep.texts) == 3001 and {len(p) for p in deep.paths} == {html_extract.PATH_DIMS}
+
+
+def test_labeller_on_unseen_layouts():
+    model = html_extract.trained()
+    for telling, least in ((True, 0.98), (False, 0.9)):
+        right = wrong = 0
+        for x, y in html_extract.made(100, 99, telling):
+            if len(x):
+                got = model.scores(*html_extract.padded([x]))[:, 0] >= 0.5
+                right, wrong = right + 2 * int((got & (y > 0)).sum()), wrong + int((got != (y > 0)).sum())
+        assert right / (right + wrong) > least  # F1
+
+
+def test_html_of_odd_tables(spark):
+    long = "<article>" + "".join(f"<p>Paragraph {k} says a number of things, and then it ends.</p>" for k in range(9000)) + "</article>"
+    html = PAGES[0][0]
+    rows = [(1, "u", html, "x", 1), (1, "u", html, "x", 1), (None, None, html, None, None), (2, None, None, None, None), (3, "v", long, "t", 2), (4, "w", "<b>" * 400, "t", 0)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_blocks int")
+    got = sorted(((r.page_id, r.url, r.n_chars, r.n_blocks) for r in html_extract.main_text(df).collect()), key=str)
+    n = len(PAGES[0][1])
+    assert [x[:3] for x in got] == sorted([(1, "u", n), (1, "u", n), (None, None, n), (2, None, 0), (3, "v", len(" ".join(html_extract.Blocks(long).texts))), (4, "w", 0)], key=str)
+    a, b = (html_extract.trained(x).p for x in (df, df.repartition(5)))
+    assert all((a[k] == b[k]).all() for k in a)
+
+
 def test_labeller_gradients():
     r = np.random.default_rng(0)
     model = html_extract.Labeller()
