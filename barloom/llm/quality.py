@@ -1,10 +1,11 @@
 """Quality classifier by positive-unlabelled learning.
 
 Trusted positives are documents labelled good; the rest of the corpus is unlabelled text, a mixture of good and bad in
-an estimated proportion. A small network is fitted by minimising the non-negative unbiased risk (Kiryo et al., 2017):
-prior * loss(positives as good) + max(0, loss(unlabelled as bad) - prior * loss(positives as bad)).
-Features are figures of the text alone, computed for whole Arrow columns at once; only a bounded sample of feature rows
-reaches the driver.
+an estimated proportion: where scores are so high that only good documents reach them, the share of unlabelled text over
+the share of positives is that proportion. A small network is fitted by minimising the non-negative unbiased risk (Kiryo
+et al., 2017): prior * loss(positives as good) + max(0, loss(unlabelled as bad) - prior * loss(positives as bad)).
+Features are figures of the text alone, its shape and its hashed words, computed for whole Arrow columns at once; only a
+bounded sample of feature rows reaches the driver.
 """
 
 from __future__ import annotations
@@ -18,13 +19,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import text_of
-from barloom.llm.hashing import column_bytes, hash_windows, hash_words, split_words
+from barloom.llm.hashing import LOWER, by_bytes, column_bytes, hash_windows, hash_words, split_words
 
-#: Feature rows that reach the driver, about: labelled positives and unlabelled documents.
+#: Feature rows that reach the driver: labelled positives and unlabelled documents.
 POSITIVES, UNLABELLED = 8_000, 16_000
 THRESHOLD = 0.3
 FOLDS = 5
 HIDDEN = 24
+WORD_DIMS = 128
+#: Text bytes whose features are computed at once.
+BATCH_BYTES = 2 << 20
 
 #: Classes of bytes: upper, lower, digit, stop, other sign, line feed, other white space, not ASCII.
 CLASSES = np.full(256, 4, np.int64)
@@ -64,7 +68,11 @@ def features(texts: pa.Array) -> np.ndarray:
         total = np.maximum(1, np.bincount(at, minlength=n))
         distinct = np.bincount(at[new], minlength=n)
         out += [distinct / total, np.log1p(distinct)]
-    return np.stack(out, axis=1).astype(np.float64)
+    # signed counts of hashed words; A-Z as a-z
+    keys = hash_words(LOWER[data], starts, ends)
+    sign = np.where(keys >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
+    bag = np.bincount(row * WORD_DIMS + (keys % np.uint64(WORD_DIMS)).astype(np.int64), weights=sign, minlength=n * WORD_DIMS)
+    return np.concatenate([np.stack(out, axis=1), bag.reshape(n, WORD_DIMS) / np.sqrt(many)[:, None]], axis=1).astype(np.float32)
 
 
 @dataclass
@@ -85,7 +93,7 @@ class Model:
 
 def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 500, rate: float = 0.02, seed: int = 5) -> Model:
     """Full-batch Adam on the non-negative risk with the logistic loss; where the bad part falls below 0, it is raised."""
-    both = np.concatenate([positive, unlabelled])
+    both = np.concatenate([positive, unlabelled]).astype(np.float64)
     mean, scale = both.mean(axis=0), np.maximum(both.std(axis=0), 1e-6)
     r = np.random.default_rng(seed)
     d = both.shape[1]
@@ -115,49 +123,70 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(mean, scale, w, prior)
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, seed: int = 1) -> float:
+    """The share of good documents among the unlabelled, by two halves that score each other.
+
+    Of the unlabelled documents over a threshold that a share q of the positives reaches, at most prior * q are good and
+    the rest bad: the least quotient by q, over thresholds, bounds the prior from above and meets it where no bad
+    document reaches the threshold. Small q are left out, as their quotients are noise. 0.5 where a half is too small.
+    """
+    r = np.random.default_rng(seed)
+    halves = [r.permutation(len(x)) % 2 for x in (positive, unlabelled)]
+    if min(len(positive), len(unlabelled)) < 40:
+        return 0.5
+    shares = np.linspace(0.4, 0.98, 40)
+    quotients = []
+    for k in (0, 1):
+        model = fit(positive[halves[0] != k], unlabelled[halves[1] != k], 0.5)
+        p, u = model.margin(positive[halves[0] == k]), model.margin(unlabelled[halves[1] == k])
+        quotients.append([(u >= np.quantile(p, 1 - q)).mean() / q for q in shares])
+    return float(np.clip(np.mean(quotients, axis=0).min(), 0.01, 0.99))
+
+
 def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def _figures(rows: DataFrame) -> np.ndarray:
-    """Features of a bounded sample (id, text), in a fixed order."""
+def _figures(rows: DataFrame, most: int) -> np.ndarray:
+    """Features of the `most` rows (id, text) with the smallest hashes, in their order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = features(b.column("text"))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(list(x), pa.list_(pa.float64()))], names=["id", "x"])
+        for batch in batches:
+            for b in by_bytes(batch, "text", BATCH_BYTES):
+                x = [r.tobytes() for r in features(b.column("text"))]
+                yield pa.RecordBatch.from_arrays([b.column("h"), pa.array(x, pa.binary())], names=["h", "x"])
 
-    kind = rows.schema["id"].dataType.simpleString()
-    got = rows.select("id", "text").mapInArrow(run, f"id {kind}, x array<double>").collect()
-    return np.array([list(r.x) for r in sorted(got, key=lambda r: (str(r.id), list(r.x)))]) if got else np.zeros((0, len(features(pa.array([""]))[0])))
+    got = rows.select(F.xxhash64("id", "text").alias("h"), "text").mapInArrow(run, "h long, x binary").orderBy("h", "x").limit(most).collect()
+    return np.array([np.frombuffer(r.x, np.float32) for r in got]) if got else np.zeros((0, len(features(pa.array([""]))[0])), np.float32)
 
 
 def trained(
     docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
     positives: int = POSITIVES, unlabelled: int = UNLABELLED,
 ) -> Model:
-    """A model fitted to at most about `positives` labelled and `unlabelled` other documents, sampled by hash.
+    """A model fitted to at most `positives` documents labelled 1 and `unlabelled` without label, sampled by hash.
 
-    Held-out rows give neither labels nor text. The prior is the share of good rows among the labels learnt from. Rows
-    with a null label or identifier are no labels. Without positives or unlabelled text the score is the prior.
+    Held-out rows give neither labels nor text, and labels other than 1 only tell which documents aren't unlabelled. Rows
+    with a null label or identifier are no labels; of several labels of an identifier the smallest counts; repeated
+    documents count as often. Without positives or unlabelled text the score is 0.5 throughout. Other columns, also of
+    clashing names, are ignored. The same rows in any order give the same model.
     """
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.min(label_col).alias("y"))
-    counts = known.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("good")).first()
-    prior = min(0.99, (counts["good"] + 1) / (counts["n"] + 2))
+    good = known.where("y = 1")
     rows = docs.where(~held_out(id_col)).select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    pick = lambda c, total, most: F.pmod(F.xxhash64(c, F.lit(29)), F.lit(max(1, -(-int(total) // most)))) == 0
-    trusted = known.where((F.col("y") == 1) & pick("label_id", counts["good"], positives)).select("label_id")
-    # `positives` identifiers, about: a broadcast of fixed size
-    p = _figures(rows.join(F.broadcast(trusted), F.col("id") == F.col("label_id"), "left_semi"))
-    some = rows.where(pick("id", docs.count(), unlabelled))
+    # one in so many, so that somewhat more than the sample is left to sort
+    pick = lambda key, total, most: F.pmod(F.xxhash64(*key, F.lit(29)), F.lit(max(1, int(total) * 3 // (4 * most)))) == 0
+    trusted = good.where(pick(["label_id"], good.count(), positives)).select("label_id")
+    # about 4 / 3 of `positives` identifiers: a broadcast of fixed size
+    p = _figures(rows.join(F.broadcast(trusted), F.col("id") == F.col("label_id"), "left_semi"), positives)
+    some = rows.where(pick(["id", "text"], docs.count(), unlabelled))
     named = labels.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("label_id")).distinct()
-    u = _figures(some.join(named, F.col("id") == F.col("label_id"), "left_anti"))
+    u = _figures(some.join(named, F.col("id") == F.col("label_id"), "left_anti"), unlabelled)
     if not len(p) or not len(u):
         d = len(features(pa.array([""]))[0])
-        flat = [np.zeros((d, 1)), np.zeros(1), np.zeros(1), np.array([np.log(prior / (1 - prior))])]
-        return Model(np.zeros(d), np.ones(d), flat, prior)
-    return fit(p, u, prior)
+        return Model(np.zeros(d), np.ones(d), [np.zeros((d, 1)), np.zeros(1), np.zeros(1), np.zeros(1)], 0.5)
+    return fit(p, u, estimated_prior(p, u))
 
 
 def scored(docs: DataFrame, model: Model, payload: list[str], text_col: str = "text") -> DataFrame:
@@ -167,8 +196,7 @@ def scored(docs: DataFrame, model: Model, payload: list[str], text_col: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                b = batch.slice(k, 500)
+            for b in by_bytes(batch, "text", BATCH_BYTES):
                 x = features(b.column("text"))
                 yield pa.RecordBatch.from_arrays([b.column("payload"), pa.array(shared.value.scores(x))], names=["payload", "score"])
 
@@ -177,7 +205,7 @@ def scored(docs: DataFrame, model: Model, payload: list[str], text_col: str = "t
 
 
 def report(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: id_col, held_out, score, predicted."""
+    """One row per row of docs: id_col, held_out, score, predicted; null texts count as empty, equal texts score alike."""
     done = scored(docs, trained(docs, labels), [id_col]).select(f"payload.{id_col}", "score")
     return done.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 

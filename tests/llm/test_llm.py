@@ -202,7 +202,33 @@ def test_quality_on_held_out_labels(spark):
     assert len(got) == docs.count()
     assert all(h == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= s <= 1 and p == (s >= 0.3) for i, (h, s, p) in got.items())
     held = [(s, known[i]) for i, (h, s, _) in got.items() if h and i in known]
-    assert auc(held) > 0.85
+    assert auc(held) > 0.95
+    again = by_id(quality.report(docs.repartition(5), labels), "held_out", "score", "predicted")
+    assert again == got
+
+
+def test_nn_pu_risk_and_prior():
+    """Against a plain fit of the risk without networks, and a mixture of known proportion."""
+    r = np.random.default_rng(3)
+    good, bad = r.normal(1.5, 1, (900, 3)), r.normal(-1.5, 1, (300, 3))
+    positive, unlabelled = good[:400], np.concatenate([good[400:], bad])  # 500 good of 800
+    assert quality.estimated_prior(positive, unlabelled) == pytest.approx(0.625, abs=0.08)
+    model = quality.fit(positive, unlabelled, 0.625)
+    soft = lambda g: np.logaddexp(0, -g)
+    risk = lambda gp, gu: 0.625 * soft(gp).mean() + max(0.0, soft(-gu).mean() - 0.625 * soft(-gp).mean())
+    linear = min((risk(a * positive.sum(1) + b, a * unlabelled.sum(1) + b) for a in np.linspace(0.2, 3, 15) for b in np.linspace(-2, 2, 17)))
+    assert risk(model.margin(positive), model.margin(unlabelled)) <= linear + 0.02
+    truth = np.arange(800) < 500
+    assert ((model.margin(unlabelled) > 0) == truth).mean() > 0.96
+
+
+def test_features_of_a_text_alone_and_in_a_batch(rows):
+    texts = [t or "" for _, t, *_ in rows]
+    whole = quality.features(pa.array(texts))
+    for k in range(0, len(texts), 17):
+        assert (quality.features(pa.array([texts[k]]))[0] == whole[k]).all()
+    counts = Counter(w for w in lower(texts[-1]).split())
+    assert np.abs(whole[-1][-quality.WORD_DIMS :]).sum() <= sum(counts.values()) / max(1, sum(counts.values())) ** 0.5 + 1e-3
 
 
 def test_quality_never_sees_held_out_labels(spark, docs, rows, odd, empty):
