@@ -41,6 +41,8 @@ TOKEN = re.compile(
 )
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 RAW = frozenset("script style noscript template textarea title iframe svg head".split())
+SIGNS = np.zeros(256, bool)
+SIGNS[[ord(c) for c in ".,;:!?"]] = True
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark q s samp small span strike strong sub sup "
@@ -59,48 +61,33 @@ class Blocks:
 
     def __init__(self, page: str) -> None:
         self.texts: list[str] = []
-        self.paths: list[bytes] = []  # a byte for each slot of the hashed path: bounded, however deep the tags nest
+        self.paths: list[int] = []  # a bit for each slot of the hashed path: bounded, however deep the tags nest
         self.linked: list[int] = []
-        self.told: list[tuple[bool, bool, bool, bool]] = []
-        stack: list[tuple[str, tuple[int, ...], tuple[int, ...]]] = []
-        slots, told, open_ = np.zeros(PATH_DIMS, np.int32), [0, 0, 0, 0], {}
-        path: bytes | None = None
+        self.told: list[int] = []
+        stack: list[tuple[str, int, int]] = [("", 0, 0)]  # with the bits of all tags up to here
+        open_: dict[str, int] = {}
         parts: list[str] = []
         links = 0
 
         def close() -> None:
-            nonlocal links, path
+            nonlocal links
             text = " ".join(markup.unescape("".join(parts)).split()) if parts else ""
             if text:
-                if path is None:
-                    path = (slots > 0).tobytes()
                 self.texts.append(text)
-                self.paths.append(path)
+                self.paths.append(stack[-1][1])
+                self.told.append(stack[-1][2])
                 self.linked.append(min(links, len(text)))
-                self.told.append(tuple(n > 0 for n in told))
             parts.clear()
             links = 0
 
         def push(tag: str, names: list[str]) -> None:
-            nonlocal path
-            at, says = _meaning(tuple(names))
-            stack.append((tag, at, says))
+            path, says = _meaning(tuple(names))
+            stack.append((tag, stack[-1][1] | path, stack[-1][2] | says))
             open_[tag] = open_.get(tag, 0) + 1
-            path = None
-            for i in at:
-                slots[i] += 1
-            for i in says:
-                told[i] += 1
 
         def pop_to(k: int) -> None:
-            nonlocal path
-            path = None
-            for tag, at, says in stack[k:]:
+            for tag, *_ in stack[k:]:
                 open_[tag] -= 1
-                for i in at:
-                    slots[i] -= 1
-                for i in says:
-                    told[i] -= 1
             del stack[k:]
 
         at, end = 0, len(page)
@@ -160,37 +147,43 @@ MAIN = frozenset("article main .main .content .article .post .entry .story".spli
 BODY = frozenset("p h1 h2 h3 blockquote pre".split())
 
 
+MAIN_BIT, BOILER_BIT, HEADER_BIT, BODY_BIT = 1, 2, 4, 8
+
+
 @lru_cache(20_000)
-def _meaning(names: tuple[str, ...]) -> tuple[tuple[int, ...], tuple[int, ...]]:
-    """Path slots of a tag with its names, and what they say: 0 main, 1 boilerplate, 2 header, 3 running text."""
+def _meaning(names: tuple[str, ...]) -> tuple[int, int]:
+    """Path bits of a tag with its names, and bits of what they say."""
     own = set(names)
     tests = (MAIN & own, BOILER_TAGS & own or any(map(BOILER_NAMES.match, names)), "header" in own, BODY & own)
-    return tuple(zlib.crc32(name.encode()) % PATH_DIMS for name in names), tuple(i for i, hit in enumerate(tests) if hit)
+    return sum({1 << zlib.crc32(name.encode()) % PATH_DIMS for name in names}), sum(1 << i for i, hit in enumerate(tests) if hit)
 
 
 def weak_labels(blocks: Blocks) -> np.ndarray:
     """1 for blocks inside a main container and no other; without any such container, paragraphs and headings."""
-    told = np.array(blocks.told, bool).reshape(-1, 4)
-    main, boiler, header, body = told.T
+    main, boiler, header, body = (np.array(blocks.told, np.int64) & bit > 0 for bit in (MAIN_BIT, BOILER_BIT, HEADER_BIT, BODY_BIT))
     return (~boiler & ~(header & ~main) & (main if main.any() else body)).astype(np.float32)
 
 
-def features(blocks: Blocks) -> np.ndarray:
-    """One row per block. All words of a block enter its word vector."""
-    n = len(blocks.texts)
+def features(*pages: Blocks) -> np.ndarray:
+    """One row per block of the pages, one page after the other. All words of a block enter its word vector."""
+    texts = [t for page in pages for t in page.texts]
+    n = len(texts)
     x = np.empty((n, DIMS), np.float32)
     if not n:
         return x
-    x[:, :PATH_DIMS] = np.frombuffer(b"".join(blocks.paths), np.uint8).reshape(n, PATH_DIMS)
-    data, offsets = column_bytes(pa.array(blocks.texts, pa.string()))
+    bits = b"".join(path.to_bytes(PATH_DIMS // 8, "little") for page in pages for path in page.paths)
+    x[:, :PATH_DIMS] = np.unpackbits(np.frombuffer(bits, np.uint8).reshape(n, -1), axis=1, bitorder="little")
+    data, offsets = column_bytes(pa.array(texts, pa.string()))
     starts, ends, row = split_words(data, offsets)
     words = np.maximum(1, np.bincount(row, minlength=n))
     flat = np.bincount(row * WORD_DIMS + (hash_words(data, starts, ends) % np.uint64(WORD_DIMS)).astype(np.int64), minlength=n * WORD_DIMS)
     x[:, PATH_DIMS : PATH_DIMS + WORD_DIMS] = flat.reshape(n, WORD_DIMS) / words[:, None]
-    size = np.array([len(t) for t in blocks.texts])
-    signs = np.array([t.count(".") + t.count(",") + t.count(";") + t.count(":") + t.count("!") + t.count("?") for t in blocks.texts])
-    shape = [np.log1p(size) / 8, np.log1p(words) / 6, np.array(blocks.linked) / size, signs / size * 10, np.arange(n) / n]
-    shape += [np.array([t[-1] in '.!?"' for t in blocks.texts]), np.array(["©" in t or "|" in t for t in blocks.texts]), np.ones(n)]
+    size = np.array([len(t) for t in texts])
+    signs = np.bincount(np.searchsorted(offsets, np.flatnonzero(SIGNS[data]), "right") - 1, minlength=n)
+    linked = np.array([v for page in pages for v in page.linked])
+    place = np.concatenate([np.arange(m) / m for page in pages if (m := len(page.texts))])
+    shape = [np.log1p(size) / 8, np.log1p(words) / 6, linked / size, signs / size * 10, place]
+    shape += [np.array([t[-1] in '.!?"' for t in texts]), np.array(["©" in t or "|" in t for t in texts]), np.ones(n)]
     x[:, PATH_DIMS + WORD_DIMS :] = np.stack(shape, axis=1)
     return x
 
@@ -376,7 +369,8 @@ def label(model: Labeller, pages: list[Blocks], cells: int = 20_000) -> list[np.
         while at + size < len(order) and (size + 1) * len(pages[order[at + size]].texts) <= cells:
             size += 1
         some = order[at : at + size]
-        scores = model.scores(*padded([features(pages[i]) for i in some]))
+        cuts = np.cumsum([len(pages[i].texts) for i in some])[:-1]
+        scores = model.scores(*padded(np.split(features(*[pages[i] for i in some]), cuts)))
         for b, i in enumerate(some):
             out[i] = scores[: len(pages[i].texts), b]
         at += size

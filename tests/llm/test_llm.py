@@ -622,7 +622,7 @@ def test_blocks_hold_all_words():
             continue
         assert " ".join(html_extract.Blocks(page).texts).split() == "".join(Words(page).parts).split()
     deep = html_extract.Blocks("<div class='a b'>" * 3000 + "text" + "<p>x<b>" * 3000)  # neither memory nor time grow with the depth
-    assert len(deep.texts) == 3001 and {len(p) for p in deep.paths} == {html_extract.PATH_DIMS}
+    assert len(deep.texts) == 3001 and max(deep.paths) < 1 << html_extract.PATH_DIMS
 
 
 def test_labeller_on_unseen_layouts():
