@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -146,6 +147,30 @@ def threshold_sweep(df: DataFrame, thresholds: tuple[float, ...] = (0.55, 0.60,
     return out
 
 
+def share_sweep(df: DataFrame, shares: tuple[float, ...] = (0.1, 0.2, 0.4)) -> DataFrame:
+    """One row per share of the strongest signals: the summary's figures."""
+    parts = [summary(executed(df, Rules(top=s))).withColumn("share", F.lit(s)) for s in shares]
+    return reduce(DataFrame.unionAll, parts)
+
+
+def equity_returns(curve: DataFrame) -> DataFrame:
+    """(row_id, ret) from the second row on: the step of the equity, 0 where the one before isn't positive or finite."""
+    before = curve.select((F.col("row_id") + 1).alias("row_id"), F.col("equity").alias("before"))
+    known = (F.col("before") > 0) & finite(F.col("before")) & finite(F.col("equity"))
+    return curve.join(before, "row_id").select("row_id", F.when(known, F.col("equity") / F.when(known, F.col("before")) - 1).otherwise(0.0).alias("ret"))
+
+
+def market_level(df: DataFrame) -> DataFrame:
+    """(ts, close): the market's compounded level before each timestamp's mean return (at least -0.95), from 1.0.
+
+    The series that regimes are found on: one row per timestamp.
+    """
+    raw = F.when((F.col("close") > 0) & finite(F.col("close")) & finite(F.col("next_close")), (F.col("next_close") - F.col("close")) / F.when(F.col("close") > 0, F.col("close"))).otherwise(0.0)
+    stamps = df.groupBy("ts").agg(F.greatest(F.avg(raw), F.lit(-0.95)).alias("r"))
+    before = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    return stamps.select("ts", F.greatest(F.coalesce(F.product(1 + F.col("r")).over(before), F.lit(1.0)), F.lit(1e-8)).alias("close"))
+
+
 @dataclass(frozen=True)
 class Execution:
     notional: float = 0.02

@@ -78,3 +78,23 @@ def label_variants(df: DataFrame) -> DataFrame:
             "residual_direction": (residual > 0).cast("int"),
         }
     )
+
+
+def auxiliary_targets(df: DataFrame) -> DataFrame:
+    """The targets beside the primary one; where a column is missing or null: the simple return, no move, the middle rank,
+    no event, the label's direction."""
+    close = F.greatest("close", F.lit(EPS))
+    own = lambda c, other: F.coalesce(F.col(c).cast("double"), other) if c in df.columns else other
+    label = own("label", F.lit(0.0))
+    return df.withColumns(
+        {
+            "target_return": own("next_log_return", (F.col("next_close") - F.col("close")) / close),
+            "target_direction": label,
+            "target_threshold": own("threshold_label", F.lit(1.0)),
+            "target_rank": own("cross_sectional_rank", F.lit(0.5)),
+            "target_event": own("event_label", F.lit(0.0)),
+            "target_event_direction": own("event_direction", label),
+            "target_event_signed": own("event_signed", F.lit(1.0)),
+            "target_event_magnitude": own("event_magnitude", F.lit(0.0)),
+        }
+    )

@@ -239,9 +239,13 @@ def gap_regime(df: DataFrame, window: int = 60) -> DataFrame:
 def sector_columns(sectors: DataFrame) -> DataFrame:
     """(ticker, sector, mctx_sector_id, mctx_sector_hash): place among the sorted sectors, and a stable hash of the name."""
     names = sectors.select("sector").distinct().withColumn("mctx_sector_id", F.row_number().over(Window.orderBy("sector")).cast("double"))
-    known = [r.sector for r in names.select("sector").limit(10_000).collect()]  # sectors are a short, fixed classification
-    pairs = F.create_map(*[x for s in known for x in (F.lit(s), F.lit(sector_hash(s)))]) if known else F.create_map().cast("map<string,double>")
-    return sectors.join(names, "sector").withColumn("mctx_sector_hash", pairs[F.col("sector")])
+    names = names.withColumn("mctx_sector_hash", F.pandas_udf(lambda s: s.map(sector_hash), "double")("sector"))
+    return sectors.join(names, "sector")
+
+
+def unknown_sectors(bars: DataFrame) -> DataFrame:
+    """(ticker, sector) where no sector map exists: every ticker in one bucket."""
+    return bars.select("ticker").where("ticker <> ''").distinct().withColumn("sector", F.lit("UNKNOWN"))
 
 
 def sector_hash(sector: str) -> float:

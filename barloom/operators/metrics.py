@@ -44,11 +44,27 @@ def confusion(df: DataFrame, threshold: float = 0.5) -> DataFrame:
     ).drop("npv")
 
 
+PARTS = 256
+
+
+def with_before(by_value: DataFrame, value: str, n: str = "n") -> DataFrame:
+    """Adds before: the sum of n over smaller values. One row per value.
+
+    Values are cut into ranges by a rising function of the whole line into 0 to PARTS; running sums are taken within
+    ranges and over one row per range, so that no task holds the whole order.
+    """
+    part = F.floor((F.atan(F.col(value)) / math.pi + 0.5) * PARTS).cast("int")
+    by_value = by_value.withColumn("part", part)
+    ranges = by_value.groupBy("part").agg(F.sum(n).alias("whole"))
+    ranges = ranges.select("part", F.coalesce(F.sum("whole").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("at"))
+    inner = Window.partitionBy("part").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    rows = by_value.withColumn("own", F.coalesce(F.sum(n).over(inner), F.lit(0))).join(ranges, "part")
+    return rows.withColumn("before", F.col("at") + F.col("own")).drop("part", "at", "own")
+
+
 def auc(df: DataFrame) -> DataFrame:
     """One row: area under the ROC curve with tied ranks averaged; null if one class is missing."""
-    by_p = df.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    by_p = by_p.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    by_p = with_before(df.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos")), "p")
     row = by_p.agg(F.sum(F.col("pos") * (F.col("before") + (F.col("n") + 1) / 2)).alias("ranks"), F.sum("pos").alias("P"), F.sum("n").alias("n"))
     p, neg = F.col("P").cast("double"), (F.col("n") - F.col("P")).cast("double")
     return row.select(F.when((p > 0) & (neg > 0), (F.col("ranks") - p * (p + 1) / 2) / F.when(p * neg > 0, p * neg)).alias("auc"))
@@ -167,9 +183,8 @@ def confidence_buckets(df: DataFrame, shares: Sequence[float] = (0.05, 0.10, 0.2
 
 def uncertainty_buckets(df: DataFrame) -> DataFrame:
     """(bucket, n, mae, median_sigma): cut at the values with index int(q * (n - 1)) of the sorted sigmas, q = .33, .66."""
-    by_value = df.groupBy("sigma").agg(F.count(F.lit(1)).alias("k"))
-    w = Window.orderBy("sigma").rowsBetween(Window.unboundedPreceding, 0)
-    by_value = by_value.withColumns({"upto": F.sum("k").over(w), "n": F.sum("k").over(Window.partitionBy())})
+    by_value = with_before(df.groupBy("sigma").agg(F.count(F.lit(1)).alias("k")), "sigma", "k")
+    by_value = by_value.withColumn("upto", F.col("before") + F.col("k")).crossJoin(df.agg(F.count("sigma").alias("n")))  # one row
     cut = lambda q: F.min(F.when(F.col("upto") > F.floor(q * (F.col("n") - 1)), F.col("sigma")))
     cuts = by_value.agg(cut(0.33).alias("low"), cut(0.66).alias("high"))
     rows = df.crossJoin(F.broadcast(cuts))  # one row
@@ -217,3 +232,28 @@ def action_scores(df: DataFrame, sigma_floor: float = 0.1) -> DataFrame:
     row = df.agg(F.avg("raw").alias("m"), F.stddev_pop("raw").alias("s"))
     df = df.crossJoin(F.broadcast(row))
     return df.withColumn("score", F.when(F.col("s") > 1e-12, (F.col("raw") - F.col("m")) / F.when(F.col("s") > 1e-12, F.col("s"))).otherwise(2 * (F.col("p") - 0.5))).drop("raw", "m", "s")
+
+
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """(value, name): the average rank of each distinct value among all rows."""
+    by_value = with_before(df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("n")), value)
+    return by_value.select(value, (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
+
+
+def global_spearman(df: DataFrame, a: str, b: str) -> DataFrame:
+    """One row: n and ic, the rank correlation over all rows with tied ranks averaged; null if a side is constant."""
+    rows = df.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
+    ranks = rows.join(average_ranks(rows, "a", "ra"), "a").join(average_ranks(rows, "b", "rb"), "b")
+    constant = (F.min("ra") == F.max("ra")) | (F.min("rb") == F.max("rb"))
+    return ranks.agg(F.count(F.lit(1)).alias("n"), F.when(constant, None).otherwise(F.corr("ra", "rb")).alias("ic"))
+
+
+def event_summary(df: DataFrame, label: str = "event_label", p: str = "p_event") -> DataFrame:
+    """One row: count, prevalence of the event, mean event probability."""
+    return df.agg(F.count(label).alias("sample_count"), F.avg(F.col(label).cast("double")).alias("event_prevalence"), F.avg(p).alias("mean_p_event"))
+
+
+def checkpoint_score(df: DataFrame, least: int = 200) -> DataFrame:
+    """One row: the AUC where `least` rows or more have a label and it is defined, else the accuracy."""
+    row = df.agg(F.count("label").alias("n"), F.avg(((F.col("p") >= 0.5) == (F.col("label") == 1)).cast("double")).alias("accuracy"))
+    return row.crossJoin(auc(df)).select("n", F.when((F.col("n") >= least) & F.col("auc").isNotNull(), F.col("auc")).otherwise(F.col("accuracy")).alias("score"))  # one row each

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -109,3 +112,16 @@ def embargo_first(rows: DataFrame, bars: int) -> DataFrame:
     """Drops the first `bars` rows of each fold's test slice, all tickers pooled."""
     w = Window.partitionBy("fold").orderBy("ts", "ticker")
     return rows.where(F.col("split") == "test").withColumn("rn", F.row_number().over(w)).where(F.col("rn") > bars).drop("rn")
+
+
+def assembled(df: DataFrame, features: list[str], target: str = "label") -> DataFrame:
+    """Rows with all features, the target, both closes and a timestamp: what datasets are made of."""
+    wanted = [*features, target, "close", "next_close", "ts"]
+    return df.dropna(subset=wanted).where(~reduce(or_, [F.isnan(c) for c in features]))
+
+
+def dataset_info(rows: DataFrame) -> DataFrame:
+    """Per split: rows, tickers, timestamps, first and last time."""
+    return rows.groupBy("split").agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("ticker").alias("tickers"), F.count_distinct("ts").alias("stamps"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")
+    )

@@ -472,6 +472,49 @@ def threshold_sweep(spark, d):
     return shown(backtest.threshold_sweep(predictions(spark, d)), "threshold", "net_pnl", "trades", "long_bars", "short_bars", "hit_rate", "max_drawdown")
 
 
+@query
+def share_sweep(spark, d):
+    return shown(backtest.share_sweep(predictions(spark, d)), "share", "net_pnl", "trades", "long_bars", "short_bars", "hit_rate", "max_drawdown")
+
+
+@query
+def equity_returns(spark, d):
+    return shown(backtest.equity_returns(backtest.equity_curve(backtest.executed(predictions(spark, d), backtest.Rules(top=0.4)))))
+
+
+@query
+def market_level(spark, d):
+    return shown(backtest.market_level(predictions(spark, d)))
+
+
+@query
+def aux_targets(spark, d):
+    df = labelled_h(spark, d).select("ticker", "ts", "close", "next_close", "label", *[F.when(F.hour("ts") % 2 == 1, F.col(c)).alias(c) for c in ("next_log_return", "threshold_label", "event_label")])
+    df = labels.auxiliary_targets(df)
+    return shown(df, "ticker", "ts", *[c for c in df.columns if c.startswith("target_")])
+
+
+@query
+def event_target_summary(spark, d):
+    return shown(metrics.event_summary(labelled_h(spark, d).withColumn("p_event", F.least(F.lit(1.0), F.abs("next_log_return") / (2 * F.col("event_threshold"))))))
+
+
+@query
+def global_spearman(spark, d):
+    return shown(metrics.global_spearman(predictions(spark, d), "score", "ret"))
+
+
+@query
+def checkpoint_score(spark, d):
+    return shown(metrics.checkpoint_score(predictions(spark, d)))
+
+
+@query
+def dataset_assembly(spark, d):
+    df = split_h(spark, d).withColumn("relative_volume", F.when(F.hour("ts") != 7, F.col("relative_volume")))
+    return shown(splits.dataset_info(splits.assembled(df, ["log_return", "relative_volume", "close_position"])))
+
+
 @query
 def execution_costs(spark, d):
     df = predictions(spark, d)

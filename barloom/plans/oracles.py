@@ -138,6 +138,7 @@ STEPS = {
         FROM (SELECT *, {zscore('log_return')} AS z FROM lab))""",
     "ps": "SELECT * FROM pred",
     "ex_top": executed(TOP),
+    **{f"ex_share{int(q * 100)}": executed(f"CASE WHEN {in_top(q, f'abs({EDGE})')} THEN {by_sign(EDGE)} ELSE 0 END") for q in (0.1, 0.2)},
     "ex_all": executed(by_sign(EDGE)),
     "ex_flip": executed("-" + by_sign(EDGE)),
     "ex_agree": executed(AGREED),
@@ -245,7 +246,58 @@ _COINT = f"""(SELECT *, y - a - b * x AS resid, sqrt(greatest(var_y - 2 * b * co
 _PHI = "((c1 - b * (c2 + c3) + b * b * c4) / (v1 - 2 * b * v2 + b * b * v3))"
 _KNOWN = "n >= 4 AND np * (v1 - 2 * b * v2 + b * b * v3) > 1e-12"
 
+_TENSOR_8 = last(8, "PARTITION BY ticker, seq_id, split ORDER BY ts")
+_SINGLE = "(log_return::FLOAT::DOUBLE + close_position::FLOAT::DOUBLE)"
+_BENCH = ("ret_3", "vwap_dev", "intraday_range_pos", "rv_ratio")
+_WIDE = ", ".join(f"max({n}) FILTER (ticker = '{b}') AS mctx_{b}_{n}" for b in ("click", "purchase") for n in _BENCH)
+_RUN = f"OVER ({SEQ} ROWS UNBOUNDED PRECEDING)"
+
+
+def recursive(steps: str, select: str) -> str:
+    own = ",\n".join(f"{n} AS ({STEPS[n]})" for n in needed(steps))
+    return f"WITH RECURSIVE {own},\n{steps}\n{select}"
+
+
+def ema(c: str, span: int) -> str:
+    return f"2.0::DOUBLE / {span + 1} * n.{c} + (1 - 2.0::DOUBLE / {span + 1}) * r.{c}_ema_{span} AS {c}_ema_{span}"
+
+
+_EMA = [(c, w) for c in ("ad_share", "up_volume_share") for w in (6, 12)]
+
 ORACLE_SQL: dict[str, str] = {
+    "benchmark_context": out(f"""(SELECT b.ticker, b.ts, {', '.join(f'coalesce(mctx_{t}_{n}, 0) AS mctx_{t}_{n}' for t in ('click', 'purchase') for n in _BENCH)} FROM bars b LEFT JOIN (SELECT ts, {_WIDE} FROM (
+        SELECT ticker, ts, CASE WHEN idx >= 3 THEN sum(log_return) {last(3)} ELSE 0 END AS ret_3, CASE WHEN sum(volume) {_RUN} > 0 THEN close / (sum((high + low + close) / 3 * volume) {_RUN} / sum(volume) {_RUN}) - 1 ELSE 0 END AS vwap_dev,
+        CASE WHEN max(high) {_RUN} - min(low) {_RUN} > 1e-12 THEN (close - min(low) {_RUN}) / (max(high) {_RUN} - min(low) {_RUN}) ELSE 0.5 END AS intraday_range_pos,
+        CASE WHEN avg(abs(log_return)) {last(12)} > 1e-12 THEN stddev_pop(log_return) {last(6)} / avg(abs(log_return)) {last(12)} ELSE 0 END AS rv_ratio FROM base) GROUP BY ts) w USING (ts))""",
+        "ticker t:ts " + doubles(f"mctx_{b}_{n}" for b in ("click", "purchase") for n in _BENCH)),
+    "window_tensor": out(f"""(SELECT ticker, ts, 8 AS steps, round(total, 4) AS total, oldest FROM (SELECT ticker, ts, sum({_SINGLE}) {_TENSOR_8} AS total, lag(log_return::FLOAT::DOUBLE, 7) OVER (PARTITION BY ticker, seq_id, split ORDER BY ts) AS oldest,
+        row_number() OVER (PARTITION BY ticker, seq_id, split ORDER BY ts) - 1 AS k FROM spl) WHERE k >= 7 AND (k - 7) % 2 = 0)""", "ticker t:ts i:steps d:total d:oldest"),
+    "panel_tensor": out(f"""(SELECT ticker, ts, 4 AS steps, round(sum({_SINGLE}) OVER (PARTITION BY ts ORDER BY ticker ROWS BETWEEN 2 PRECEDING AND 1 FOLLOWING), 4) AS total,
+        coalesce(lag(log_return::FLOAT::DOUBLE, 2) OVER (PARTITION BY ts ORDER BY ticker), 0) AS first_value FROM lab)""", "ticker t:ts i:steps d:total d:first_value"),
+    "breadth_ema": recursive(f"""n AS (SELECT ts, ad_share, up_volume_share, row_number() OVER (ORDER BY ts) AS i FROM brd),
+        r AS (SELECT ts, i, {', '.join(f'{c} AS {c}_ema_{w}' for c, w in _EMA)} FROM n WHERE i = 1 UNION ALL SELECT n.ts, n.i, {', '.join(ema(c, w) for c, w in _EMA)} FROM r JOIN n ON n.i = r.i + 1)""",
+        f"SELECT ts::VARCHAR AS ts, {', '.join(f'round({c}_ema_{w}, 6) + 0.0::DOUBLE AS {c}_ema_{w}' for c, w in _EMA)} FROM r"),
+    "backtest_fills": recursive("""n AS (SELECT row_id, ticker, position::DOUBLE AS want, row_number() OVER (PARTITION BY ticker ORDER BY row_id) AS i FROM ex_all),
+        r AS (SELECT 0::BIGINT AS row_id, ticker, 0::DOUBLE AS want, 0::BIGINT AS i, 0::DOUBLE AS held FROM n WHERE i = 1 UNION ALL
+        SELECT n.row_id, n.ticker, n.want, n.i, CASE WHEN 0.02::DOUBLE * abs(n.want - r.held) <= 1e-12 THEN r.held WHEN 0.02::DOUBLE * abs(n.want - r.held) <= 0.015 THEN n.want
+        ELSE r.held + (n.want - r.held) * (0.015::DOUBLE / (0.02::DOUBLE * abs(n.want - r.held))) END FROM r JOIN n ON n.ticker = r.ticker AND n.i = r.i + 1)""",
+        "SELECT row_id::BIGINT AS row_id, ticker, want::BIGINT AS position, round(held, 6) + 0.0::DOUBLE AS filled FROM r WHERE i > 0"),
+    "regime_stats": out("""(SELECT *, CASE WHEN k = 1 THEN 'trending' WHEN by_vol = 1 THEN 'volatile' WHEN k = 2 THEN CASE WHEN autocorr < 0 THEN 'mean_reverting' ELSE 'trending' END WHEN by_trend = 1 THEN 'trending' ELSE 'mean_reverting' END AS regime
+        FROM (SELECT *, row_number() OVER (PARTITION BY by_vol = 1 ORDER BY trend_score DESC, state) AS by_trend FROM (SELECT *, count(*) OVER () AS k, row_number() OVER (ORDER BY volatility DESC, state) AS by_vol,
+        abs(mean_return) / greatest(volatility, 1e-6) + greatest(0, autocorr) AS trend_score, greatest(0, -autocorr) + volatility / greatest(abs(mean_return), 1e-6) * 0.05::DOUBLE AS reversion_score
+        FROM (SELECT state, count(*) AS n, avg(ret) AS mean_return, stddev_pop(ret) AS volatility, CASE WHEN count(b) < 2 OR stddev_pop(ret) FILTER (b IS NOT NULL) <= 1e-12 OR stddev_pop(b) <= 1e-12 THEN 0 ELSE corr(b, ret) END AS autocorr
+        FROM (SELECT *, lag(ret) OVER (ORDER BY ts) AS b FROM sta) GROUP BY state))))""", "i:state i:n d:mean_return d:volatility d:autocorr d:trend_score d:reversion_score regime"),
+    "share_sweep": " UNION ALL ".join("SELECT * FROM (" + out(f"(SELECT *, {q}::DOUBLE AS share FROM {figures(ex)})", "share d:net_pnl i:trades i:long_bars i:short_bars d:hit_rate d:max_drawdown") + ")" for q, ex in ((0.1, "ex_share10"), (0.2, "ex_share20"), (0.4, "ex_top"))),
+    "equity_returns": out(f"(SELECT row_id, equity / before - 1 AS ret FROM (SELECT row_id, equity, lag(equity) OVER (ORDER BY row_id) AS before FROM ({EQUITY.format(ex='ex_top')})) WHERE before IS NOT NULL)", "i:row_id d:ret"),
+    "market_level": out("(SELECT ts, coalesce(product(1 + g) OVER (ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1) AS close FROM (SELECT ts, greatest(avg((next_close - close) / close), -0.95::DOUBLE) AS g FROM pred GROUP BY ts))", "t:ts d:close"),
+    "aux_targets": out("""(SELECT ticker, ts, CASE WHEN hour(ts) % 2 = 1 THEN r ELSE (next_close - close) / close END AS target_return, label AS target_direction, CASE WHEN hour(ts) % 2 = 1 THEN threshold_label ELSE 1 END AS target_threshold,
+        0.5::DOUBLE AS target_rank, CASE WHEN hour(ts) % 2 = 1 THEN event_label ELSE 0 END AS target_event, label AS target_event_direction, 1.0::DOUBLE AS target_event_signed, 0.0::DOUBLE AS target_event_magnitude FROM lab)""",
+        "ticker t:ts " + doubles(f"target_{n}" for n in "return direction threshold rank event event_direction event_signed event_magnitude".split())),
+    "event_target_summary": out("(SELECT count(event_label) AS sample_count, avg(event_label) AS event_prevalence, avg(least(1, abs(r) / (2 * event_threshold))) AS mean_p_event FROM lab)", "i:sample_count d:event_prevalence d:mean_p_event"),
+    "global_spearman": out("(SELECT count(*) AS n, corr(ra, rb) AS ic FROM (SELECT rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY ret) + (count(*) OVER (PARTITION BY ret) - 1) / 2.0::DOUBLE AS rb FROM pred))", "i:n d:ic"),
+    "checkpoint_score": out(f"""(SELECT n, CASE WHEN n >= 200 THEN (ranks - npos * (npos + 1) / 2) / (npos * (n - npos)) ELSE accuracy END AS score FROM (SELECT count(*) AS n, avg({HIT}) AS accuracy, sum(rk) FILTER (label = 1) AS ranks, sum(label)::DOUBLE AS npos
+        FROM (SELECT *, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS rk FROM pred)))""", "i:n d:score"),
+    "dataset_assembly": with_steps("SELECT split, count(*) AS n, count(DISTINCT ticker) AS tickers, count(DISTINCT ts) AS stamps, min(ts)::VARCHAR AS first_ts, max(ts)::VARCHAR AS last_ts FROM spl WHERE hour(ts) <> 7 GROUP BY split"),
     "flagship": out(
         "(" + labelled_of(f"(SELECT *, {rank01('log_return')} AS cs_log_return_rank, {zscore('log_return')} AS cs_log_return_zscore FROM ({base_of('seq_d')}) WHERE idx >= 5)") + ")",
         "ticker t:ts d:log_return d:short_term_momentum d:rolling_volatility d:cs_log_return_rank d:cs_log_return_zscore i:label i:threshold_label i:vol_direction_label",

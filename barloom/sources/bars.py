@@ -47,7 +47,7 @@ def parsed_time(date: Column, time: Column) -> Column:
 
 def group_of(path: Column) -> Column:
     """The deepest folder that names an asset type, else the last folder, else unknown."""
-    folders = F.slice(F.reverse(F.split(path, "/")), 2, 64)
+    folders = F.slice(F.reverse(F.split(path, "/")), 2, F.size(F.split(path, "/")))
     hits = F.filter(folders, lambda x: F.lower(x).rlike("[_ ](stocks|etfs)"))
     return F.coalesce(F.try_element_at(hits, F.lit(1)), F.try_element_at(F.filter(folders, lambda x: x != ""), F.lit(1)), F.lit("unknown"))
 

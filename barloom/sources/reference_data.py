@@ -36,6 +36,22 @@ def parsed(text: Column) -> Column:
     return F.coalesce(*tries, F.try_to_timestamp(bare)).cast("timestamp_ntz")
 
 
+def event_time(df: DataFrame, names: tuple[str, ...] = EVENT_TIMES) -> Column:
+    """The first of the named columns that gives a time: times as they are, dates at 09:30, numbers as epoch seconds, text parsed."""
+    tries = []
+    for f in (f for n in names for f in df.schema.fields if f.name.lower() == n):
+        c, kind = F.col(f"`{f.name}`"), f.dataType.typeName()
+        if kind == "date":
+            tries.append(c.cast("timestamp_ntz") + F.expr("INTERVAL '09:30' HOUR TO MINUTE"))
+        elif kind in ("timestamp", "timestamp_ntz"):
+            tries.append(c.cast("timestamp_ntz"))
+        elif kind in ("byte", "short", "integer", "long", "float", "double", "decimal"):
+            tries.append(F.timestamp_seconds(c).cast("timestamp_ntz"))
+        else:
+            tries.append(parsed(F.nullif(F.trim(c.cast("string")), F.lit(""))))
+    return F.coalesce(*tries) if tries else F.lit(None).cast("timestamp_ntz")
+
+
 def corporate_actions(raw: DataFrame) -> DataFrame:
     """(ticker, event_ts, factor): splits with a positive factor other than 1."""
     time = first_of(raw, ("timestamp", "effective_date", "date"))
@@ -66,7 +82,7 @@ def calendar_events(raw: DataFrame) -> DataFrame:
     kind = F.replace(F.lower(F.trim(first_of(raw, EVENT_KINDS, lambda c: F.nullif(F.trim(c), F.lit(""))))), F.lit(" "), F.lit("_"))
     return raw.select(
         F.upper(F.trim(first_of(raw, ("ticker", "symbol")))).alias("ticker"),
-        parsed(first_of(raw, EVENT_TIMES, lambda c: F.nullif(F.trim(c), F.lit("")))).alias("event_ts"),
+        event_time(raw).alias("event_ts"),
         kind.alias("event_type"),
         F.trim(first_of(raw, ("item", "item_code", "sec_item"))).alias("item"),
     ).where("event_ts is not null")

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.operators import backtest, calendar, market, metrics, quality, sequences, splits, stats
 from barloom.sources import bars as source
@@ -105,3 +106,23 @@ def test_deflated_sharpe_needs_trials(spark):
     assert 0 <= stats.deflated_sharpe(moments, [0.1, 0.2, 0.3])["p_value"] <= 1
     with pytest.raises(ValueError):
         stats.deflated_sharpe(moments, [0.1])
+
+
+def test_event_times_by_type(spark):
+    rows = [(date(2024, 1, 3), None, None, None), (None, datetime(2024, 1, 3, 7, 40), None, None), (None, None, 1704267600.5, None), (None, None, None, "2024-01-03T08:30:00Z"), (None, None, None, "2024-01-03"), (None, None, None, "soon")]
+    df = spark.createDataFrame(rows, "date date, accepted_at timestamp_ntz, timestamp double, release_time string")
+    got = [r.t for r in df.select(reference_data.event_time(df).alias("t")).collect()]
+    assert got == [datetime(2024, 1, 3, 9, 30), datetime(2024, 1, 3, 7, 40), datetime(2024, 1, 3, 7, 40, 0, 500000), datetime(2024, 1, 3, 8, 30), datetime(2024, 1, 3), None]
+
+
+def test_ranks_over_ranges(spark):
+    values = [(float(v),) for v in (-1e9, -2.5, -2.5, 0.0, 1e-9, 3.0, 3.0, 3.0, 1e12)]
+    got = {r.v: r.rank for r in metrics.average_ranks(spark.createDataFrame(values, "v double"), "v", "rank").collect()}
+    assert got == {-1e9: 1.0, -2.5: 2.5, 0.0: 4.0, 1e-9: 5.0, 3.0: 7.0, 1e12: 9.0}
+
+
+def test_deep_folders_and_sector_hashes(spark):
+    path = "/".join(["", *(f"d{k}" for k in range(90)), "x", "a.us.txt"]).replace("/d3/", "/nasdaq stocks/")
+    assert spark.createDataFrame([(path,)], "p string").select(source.group_of(F.col("p")).alias("g")).first().g == "nasdaq stocks"
+    df = market.sector_columns(spark.createDataFrame([("A", "Energy"), ("B", "Tech"), ("C", "Energy")], "ticker string, sector string"))
+    assert {(r.ticker, r.mctx_sector_id, r.mctx_sector_hash) for r in df.collect()} == {(t, i, market.sector_hash(s)) for t, i, s in (("A", 1.0, "Energy"), ("B", 2.0, "Tech"), ("C", 1.0, "Energy"))}
