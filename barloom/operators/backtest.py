@@ -7,6 +7,7 @@ and extremes are two-level scans (within blocks of row_id, then over blocks), so
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window
 
 from barloom.functions.columns import finite
 from barloom.operators.metrics import top_share
+from barloom.operators.regimes import adapted
 
 PERIODS = 19_656
 BLOCK = 1 << 16
@@ -47,6 +49,8 @@ class Rules:
     lag: int = 1
     cost_bps: float = 1.0
     slippage_bps: float = 0.5
+    policies: Mapping[str, str] | None = None
+    least_confidence: float = 0.7
 
 
 def with_score(df: DataFrame, rules: Rules) -> DataFrame:
@@ -62,7 +66,7 @@ def with_score(df: DataFrame, rules: Rules) -> DataFrame:
 
 
 def with_signal(df: DataFrame, rules: Rules) -> DataFrame:
-    """signal in {-1, 0, 1} for every row."""
+    """signal in {-1, 0, 1} for every row; with policies, after that of the row's regime (a column of df, null: trending)."""
     df = with_score(df, rules)
     up, down, score = F.col("p_up"), F.col("p_down"), F.col("score")
     if rules.selection == "separate_long_short" and rules.long_short is not None:
@@ -87,6 +91,9 @@ def with_signal(df: DataFrame, rules: Rules) -> DataFrame:
             chosen = top_share(df, rules.top, key).select("row_id", F.lit(1).alias("chosen"))
             df = df.join(chosen, "row_id", "left").withColumn("signal", F.when(F.col("chosen") == 1, F.col("signal")).otherwise(0)).drop("chosen")
     df = df.withColumn("signal", F.when(finite(up) & finite(down), F.col("signal")).otherwise(0))
+    if rules.policies is not None:
+        regime = F.coalesce("regime", F.lit("trending"))
+        df = df.withColumn("signal", adapted(F.col("signal"), regime, F.greatest(up, down), dict(rules.policies), rules.least_confidence))
     return df.withColumn("signal", -F.col("signal")) if rules.flip else df
 
 
@@ -187,12 +194,12 @@ class Execution:
     reject: bool = False
 
 
-def execution_costs(df: DataFrame, requested: Column, total: int, model: Execution = Execution()) -> DataFrame:
+def execution_costs(df: DataFrame, requested: Column, total: int | Column, model: Execution = Execution()) -> DataFrame:
     """bar_type, max_pov, penalty, filled, spread_bps, impact_bps, total_bps for a requested share of volume per row."""
     s = F.hour("ts") * 3600 + F.minute("ts") * 60 + F.second("ts")
     opening, closing = (s <= 9 * 3600 + 1800) & F.lit(model.use_open), (s >= 15 * 3600 + 3300) & (s > 9 * 3600 + 1800) & F.lit(model.use_close)
     auction = opening | closing
-    early, late = F.col("row_id") < model.open_bars, F.col("row_id") >= max(0, total - model.close_bars)
+    early, late = F.col("row_id") < model.open_bars, F.col("row_id") >= F.greatest(F.lit(0), F.lit(total) - model.close_bars)
     penalty = F.when(auction, 1.0).when(early, 1.5).when(late, 1.35).otherwise(1.0)
     cap = F.when(opening, model.open_max).when(closing, model.close_max).otherwise(model.regular_max)
     sigma = F.greatest(F.coalesce(F.col("sigma"), F.lit(0.001)), F.lit(1e-8))
@@ -210,6 +217,73 @@ def execution_costs(df: DataFrame, requested: Column, total: int, model: Executi
     return df.withColumn("total_bps", F.col("spread_bps") + F.col("impact_bps"))
 
 
+def _fill(want: float, held: float, cap: float, model: Execution) -> float:
+    share = max(0.0, model.notional * abs(want - held))
+    if share <= 1e-12:
+        return held
+    return want if share <= cap else held if model.reject else held + (want - held) * (cap / share)
+
+
+def carried_fills(df: DataFrame, model: Execution = Execution()) -> DataFrame:
+    """filled: the position held after each row, all rows in row_id order being one instrument; needs position and max_pov.
+
+    A fill depends on the position before it, which is never beyond 1. A row whose cap allows every move to its position
+    needs no past, so each stretch from such a row to the next is a fold of its own; stretches that begin in the same block
+    of row_id share a task. With a cap so small that no row is free of the past the whole order is one stretch.
+    """
+    free = model.notional * (1 + F.abs("position")) <= F.col("max_pov")
+    df = df.withColumns({"block": F.floor(F.col("row_id") / BLOCK), "free": F.when(free, F.col("row_id"))})
+    blocks = df.groupBy("block").agg(F.max("free").alias("latest"))
+    blocks = blocks.select("block", F.max("latest").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    inner = Window.partitionBy("block").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumn("start", F.max("free").over(inner)).join(blocks, "block")
+    df = df.withColumn("stretch", F.floor(F.coalesce("start", "before", F.lit(0)) / BLOCK))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_id")
+        held, out = 0.0, []
+        for want, cap in zip(pdf["position"].tolist(), pdf["max_pov"].tolist(), strict=True):
+            held = _fill(float(want), held, cap, model)
+            out.append(held)
+        return pd.DataFrame({"row_id": pdf["row_id"], "filled": out})
+
+    fills = df.select("stretch", "row_id", F.col("position").cast("double"), "max_pov").groupBy("stretch").applyInPandas(run, "row_id long, filled double")
+    return df.drop("block", "free", "before", "start", "stretch").join(fills, "row_id")
+
+
+def executed_with_costs(df: DataFrame, rules: Rules, model: Execution = Execution()) -> DataFrame:
+    """executed() under an execution model: caps by bar type, partial fills, modelled costs, half of them slippage.
+
+    position is what is held after the fill, wanted what was asked for; rejected marks a wanted move that got nothing.
+    """
+    df = shifted(with_signal(df, rules), "signal", rules.lag, "position")
+    total = df.agg((F.max("row_id") + 1).alias("total"))
+    df = df.crossJoin(F.broadcast(total))  # exactly one row
+    capped = execution_costs(df, F.lit(0.0), F.col("total"), model).drop("requested", "filled", "spread_bps", "impact_bps", "total_bps", "bar_type", "penalty")
+    df = carried_fills(capped, model).withColumnRenamed("position", "wanted").withColumnRenamed("filled", "position").drop("max_pov")
+    df = shifted(df, "position", 1, "previous")
+    asked = F.abs(F.col("wanted") - F.col("previous"))
+    df = execution_costs(df, model.notional * asked, F.col("total"), model).drop("total", "filled")
+    raw = F.when((F.col("close") > 0) & finite(F.col("close")) & finite(F.col("next_close")), (F.col("next_close") - F.col("close")) / F.when(F.col("close") > 0, F.col("close"))).otherwise(0.0)
+    df = df.withColumns({"turnover": F.abs(F.col("position") - F.col("previous")), "gross": F.col("position") * raw})
+    half = F.col("total_bps") / 2e4 * F.col("turnover")
+    return df.withColumns({"rejected": ((asked > 0) & (F.col("turnover") <= 1e-12)).cast("int"), "cost": half, "slippage": half, "net": F.col("gross") - 2 * half})
+
+
+def cost_report(rows: DataFrame, periods: int = PERIODS) -> DataFrame:
+    """summary() of executed_with_costs() with the rejected moves and the mean modelled cost of the asked ones, in bps."""
+    asked = F.abs(F.col("wanted") - F.col("previous")) > 0
+    extra = rows.agg(F.sum("rejected").alias("rejected"), F.coalesce(F.avg(F.when(asked, F.col("total_bps"))), F.lit(0.0)).alias("mean_cost_bps"))
+    return summary(rows, periods).crossJoin(extra)  # one row each
+
+
+def audited(report: DataFrame, n: int | Column) -> DataFrame:
+    """report with ok: bar counts add up to the rows, no more trades than rows, all figures finite."""
+    doubles = [f.name for f in report.schema if f.dataType.simpleString() == "double"]
+    counts = (F.col("long_bars") + F.col("short_bars") + F.col("flat_bars") == F.lit(n)) & (F.col("trades") <= F.lit(n))
+    return report.withColumn("ok", reduce(lambda a, b: a & b, [finite(F.col(c)) for c in doubles], counts))
+
+
 def partial_fills(df: DataFrame, by: list[str], cap: float = 0.03, notional: float = 0.02, reject: bool = False) -> DataFrame:
     """filled: the position after partial fills, per group of `by` in row order.
 

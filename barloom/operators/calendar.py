@@ -59,10 +59,10 @@ def macro_flags(bars: DataFrame, events: DataFrame) -> DataFrame:
         {
             "macro_event_today": F.col("day_types").isNotNull().cast("double"),
             "cpi_day": has("day_types", "cpi"),
-            "nfp_day": has("day_types", "nfp"),
+            "nfp_day": has("day_types", "nfp", "employment_situation"),
             "gdp_day": has("day_types", "gdp"),
-            "fomc_statement_bar": has("bar_types", "fomc_statement"),
-            "fomc_press_bar": has("bar_types", "fomc_press"),
+            "fomc_statement_bar": has("bar_types", "fomc", "fomc_statement"),
+            "fomc_press_bar": has("bar_types", "fomc_press", "fomc_press_conference"),
         }
     ).drop("day", "day_types", "bar_types")
 

@@ -77,38 +77,108 @@ def state_stats(df: DataFrame) -> DataFrame:
     return s.withColumn("regime", regime).drop("k", "by_vol", "by_trend")
 
 
-def viterbi(df: DataFrame, states: int = 3, features: Sequence[str] = FEATURES, by: Sequence[str] = ()) -> DataFrame:
-    """decoded: the likeliest state path under diagonal Gaussian emissions fitted to the initial states.
+def fitted(df: DataFrame, states: int = 3, features: Sequence[str] = FEATURES) -> DataFrame:
+    """One row: log prior, log transitions, means and variances of the states' diagonal Gaussians, as arrays by state."""
+    n = len(features)
+    ids = df.sparkSession.range(states).select(F.col("id").cast("int").alias("state"))
+    stats = df.groupBy("state").agg(
+        F.count(F.lit(1)).alias("k"), F.array(*[F.avg(c) for c in features]).alias("mean"), F.array(*[F.greatest(F.var_pop(c), F.lit(1e-4)) for c in features]).alias("var")
+    )
+    total = F.sum(F.coalesce("k", F.lit(0))).over(ALL())
+    stats = ids.join(stats, "state", "left").select(
+        "state", F.greatest(F.lit(1e-6), F.coalesce("k", F.lit(0)) / F.greatest(F.lit(1), total)).alias("prior"),
+        F.coalesce("mean", F.array_repeat(F.lit(0.0), n)).alias("mean"), F.coalesce("var", F.array_repeat(F.lit(1.0), n)).alias("var"),
+    )
+    stats = stats.withColumn("prior", F.ln(F.col("prior") / F.sum("prior").over(ALL())))
+    in_order = lambda c, key: F.transform(F.array_sort(F.collect_list(F.struct(*key, c))), lambda x: x[c])
+    by_state = stats.agg(in_order("prior", ["state"]).alias("prior"), F.flatten(in_order("mean", ["state"])).alias("mean"), F.flatten(in_order("var", ["state"])).alias("var"))
+    moves = transition_matrix(df, states).withColumn("p", F.ln("p")).agg(in_order("p", ["prev_state", "state"]).alias("moves"))
+    return by_state.crossJoin(moves)  # one row each
+
+
+def _emissions(pdf: pd.DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(emissions by row and state, log transitions, log prior) of rows that carry a fitted model."""
+    first = pdf.iloc[0]
+    prior = np.array(first["prior"], float)
+    k = len(prior)
+    mean, var, moves = (np.array(first[c], float).reshape(k, -1) for c in ("mean", "var", "moves"))
+    x = pdf[names].to_numpy(float)[:, None, :]
+    return -0.5 * (np.log(2 * np.pi * var)[None] + (x - mean[None]) ** 2 / var[None]).sum(axis=2), moves, prior
+
+
+def viterbi(df: DataFrame, states: int = 3, features: Sequence[str] = FEATURES, fit: DataFrame | None = None, block: int = 4096) -> DataFrame:
+    """decoded: the likeliest state path under diagonal Gaussian emissions fitted to the states of `fit`, df itself if none.
 
-    A max-plus recursion over one row per timestamp; independent series (`by`) run in parallel.
+    A max-plus recursion in three steps over one row per timestamp: each block of timestamps gives its best scores from
+    entry to exit state, a fold over one row per block picks the states at the blocks' ends, and each block is decoded
+    between them.
     """
     names = list(features)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts").reset_index(drop=True)
-        x, s = pdf[names].to_numpy(float), pdf["state"].to_numpy(int)
-        counts = np.bincount(s, minlength=states)
-        prior = np.maximum(1e-6, counts / max(1, counts.sum()))
-        prior = prior / prior.sum()
-        trans = np.ones((states, states))
-        np.add.at(trans, (s[:-1], s[1:]), 1.0)
-        trans /= trans.sum(axis=1, keepdims=True)
-        mean = np.array([x[s == k].mean(axis=0) if counts[k] else np.zeros(len(names)) for k in range(states)])
-        var = np.array([np.maximum(x[s == k].var(axis=0), 1e-4) if counts[k] else np.ones(len(names)) for k in range(states)])
-        emit = -0.5 * (np.log(2 * np.pi * var)[None] + (x[:, None, :] - mean[None]) ** 2 / var[None]).sum(axis=2)
-        best, back = np.log(prior) + emit[0], np.zeros((len(x), states), int)
-        for t in range(1, len(x)):
-            step = best[:, None] + np.log(trans)
+    model = fitted(df if fit is None else fit, states, features)
+    rows = df.withColumn("block", F.floor((F.row_number().over(TS()) - 1) / block))
+    series = rows.select("block", "ts", *names).crossJoin(F.broadcast(model))  # exactly one row
+
+    def scores(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        emit, moves, prior = _emissions(pdf, names)
+        best = np.full((len(prior), len(prior)), -np.inf)
+        np.fill_diagonal(best, emit[0])
+        for e in emit[1:]:
+            best = (best[:, :, None] + moves[None]).max(axis=1) + e
+        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "best": [best.ravel()], "prior": [prior], "moves": [moves.ravel()]})
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
+        prior = np.array(pdf["prior"].iloc[0], float)
+        k = len(prior)
+        moves = np.array(pdf["moves"].iloc[0], float).reshape(k, k)
+        tables = [np.array(b, float).reshape(k, k) for b in pdf["best"]]
+        enter, score, back = prior, None, []
+        for i, best in enumerate(tables):
+            if i:
+                step = score[:, None] + moves
+                back.append(step.argmax(axis=0))  # the exit before, by entry
+                enter = step.max(axis=0)
+            tables[i] = enter[:, None] + best
+            score = tables[i].max(axis=0)
+        out, leave = [], int(score.argmax())
+        for i in range(len(tables) - 1, -1, -1):
+            entry = int(tables[i][:, leave].argmax())
+            out.append((pdf["block"].iloc[i], entry, leave))
+            leave = int(back[i - 1][entry]) if i else -1
+        return pd.DataFrame(out, columns=["block", "entry", "leave"])
+
+    def path(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("ts")
+        emit, moves, prior = _emissions(pdf, names)
+        best, back = np.full(len(prior), -np.inf), np.zeros((len(emit), len(prior)), int)
+        best[pdf["entry"].iloc[0]] = emit[0][pdf["entry"].iloc[0]]
+        for t in range(1, len(emit)):
+            step = best[:, None] + moves
             back[t] = step.argmax(axis=0)
             best = step.max(axis=0) + emit[t]
-        path = np.empty(len(x), int)
-        path[-1] = best.argmax()
-        for t in range(len(x) - 1, 0, -1):
-            path[t - 1] = back[t, path[t]]
-        return pdf.assign(decoded=path.astype("int32"))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", decoded int"
-    return df.groupBy(*by).applyInPandas(run, schema)
+        found = np.empty(len(emit), int)
+        found[-1] = pdf["leave"].iloc[0]
+        for t in range(len(emit) - 1, 0, -1):
+            found[t - 1] = back[t, found[t]]
+        return pd.DataFrame({"ts": pdf["ts"], "decoded": found.astype("int32")})
+
+    tables = series.groupBy("block").applyInPandas(scores, "block long, best array<double>, prior array<double>, moves array<double>")
+    at_ends = tables.groupBy().applyInPandas(ends, "block long, entry int, leave int")
+    kind = df.schema["ts"].dataType.simpleString()
+    found = series.join(at_ends, "block").groupBy("block").applyInPandas(path, f"ts {kind}, decoded int")
+    return df.join(found, "ts")
+
+
+def market_regimes(level: DataFrame, fit: DataFrame, states: int = 3, window: int = 32) -> DataFrame:
+    """(ts, regime) of the series `level` (ts, close), by a model of the series `fit` alone, so that nothing is learnt from the traded rows.
+
+    States come from the fit's rolling spread, their regimes from the fit's decoded path.
+    """
+    learnt = volatility_states(regime_features(fit, window), states)
+    named = state_stats(viterbi(learnt, states).withColumn("state", F.col("decoded"))).select(F.col("state").alias("decoded"), "regime")
+    found = viterbi(regime_features(level, window), states, fit=learnt)
+    return found.join(F.broadcast(named), "decoded", "left").select("ts", F.coalesce("regime", F.lit("trending")).alias("regime"))  # one row per state
 
 
 POLICIES = {"trending": "follow", "mean_reverting": "flip", "volatile": "flat"}

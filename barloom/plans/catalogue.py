@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.columns import sigmoid
-from barloom.operators import backtest, calendar, features, labels, losses, market, metrics, quality, regimes, sequences, splits, stats
+from barloom.operators import backtest, calendar, event_grid, features, labels, losses, market, metrics, quality, regimes, sequences, splits, stats
 from barloom.sources import bars as source
 
 HOUR = "'1' HOUR"
@@ -301,6 +301,14 @@ def event_density(spark, d):
     return shown(calendar.event_density(df, snapped(spark, d)))
 
 
+@query
+def calendar_grid(spark, d):
+    bars = bars_h(spark, d).select("ticker", "ts").withColumn("mctx_sector_id", F.when(F.col("ticker").isin("click", "error"), 1.0).otherwise(2.0))
+    events = filings(spark, d)
+    grid = event_grid.event_grid(bars, events, events, events, "mctx_sector_id")
+    return shown(event_grid.with_events(bars, grid))
+
+
 @query
 def labels_fixed(spark, d):
     return shown(labelled_h(spark, d), "ticker", "ts", "next_log_return", "label", "threshold_label", "threshold_down", "threshold_no_move", "threshold_up")
@@ -527,6 +535,33 @@ def backtest_fills(spark, d):
     return shown(backtest.partial_fills(rows, ["ticker"], cap=0.015))
 
 
+@query
+def backtest_executed_costs(spark, d):
+    rows = backtest.executed_with_costs(predictions(spark, d), backtest.Rules())
+    return shown(rows, "row_id", "wanted", "position", "turnover", "rejected", "gross", "cost", "net")
+
+
+@query
+def backtest_cost_report(spark, d):
+    rows = backtest.executed_with_costs(predictions(spark, d), backtest.Rules(), backtest.Execution(reject=True))
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    return shown(backtest.audited(backtest.cost_report(rows).crossJoin(n), F.col("n")))  # one row each
+
+
+def regime_trades(spark, d):
+    """Traded rows after the training time with the regime of their timestamp, found by a model of the training time."""
+    rows = splits.split_global_time(predictions(spark, d).drop("row_id"))
+    traded = rows.where("split <> 'train'")
+    found = regimes.market_regimes(backtest.market_level(traded), backtest.market_level(rows.where("split = 'train'")))
+    return backtest.numbered(traded.join(found, "ts", "left"))
+
+
+@query
+def backtest_regime(spark, d):
+    rules = backtest.Rules(policies=regimes.POLICIES | {"volatile": "high_confidence"})
+    return shown(backtest.executed(regime_trades(spark, d), rules), "row_id", "regime", "signal", "position", "turnover", "net")
+
+
 def proxy(spark, d):
     return bars_r(spark, d).groupBy("ts").agg(F.avg("close").alias("close"))
 

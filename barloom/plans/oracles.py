@@ -225,6 +225,17 @@ def best(by: str = "") -> str:
         max(brier) FILTER (k = -1) AS brier_before, arg_min(brier, row(round(nll, 12), k)) AS brier_after, max(n) AS n FROM {temperature(by)}{g})"""
 
 
+def filled_steps(reject: bool) -> str:
+    """Positions after fills of all rows as one instrument, and their modelled costs."""
+    short = "r.held" if reject else "r.held + (n.want - r.held) * (n.cap / (0.02::DOUBLE * abs(n.want - r.held)))"
+    return f"""n AS (SELECT row_id, position::DOUBLE AS want, sigma, close, next_close, count(*) OVER () AS total, CASE WHEN ts::TIME <= TIME '09:30:00' OR ts::TIME >= TIME '15:55:00' THEN 0.05::DOUBLE ELSE 0.03::DOUBLE END AS cap FROM ex_all),
+        r AS (SELECT -1::BIGINT AS row_id, 0::DOUBLE AS held UNION ALL
+        SELECT n.row_id, CASE WHEN 0.02::DOUBLE * abs(n.want - r.held) <= 1e-12 THEN r.held WHEN 0.02::DOUBLE * abs(n.want - r.held) <= n.cap THEN n.want ELSE {short} END FROM r JOIN n ON n.row_id = r.row_id + 1),
+        costed AS (SELECT *, gross - 2 * cost AS net FROM (SELECT *, position * (next_close - close) / close AS gross, total_bps / 2e4 * turnover AS cost, (want <> previous AND turnover <= 1e-12)::BIGINT AS rejected FROM (
+        SELECT *, abs(position - previous) AS turnover, (6.0 * sqrt(greatest(sigma, 1e-8) / 0.001) + 25.0 * 0.02::DOUBLE * abs(want - previous) + 10000.0 * greatest(sigma, 1e-8) * 0.05) * CASE WHEN cap > 0.04 THEN 1.0 WHEN row_id < 2 THEN 1.5 WHEN row_id >= greatest(0, total - 2) THEN 1.35 ELSE 1.0 END::DOUBLE AS total_bps
+        FROM (SELECT n.*, r.held AS position, b.held AS previous FROM n JOIN r USING (row_id) JOIN r b ON b.row_id = n.row_id - 1))))"""
+
+
 def figures(ex: str) -> str:
     return f"""(SELECT sum(net) AS net_pnl, sum(gross) AS gross_pnl, sum(turnover) / 1e4 AS cost_pnl, sum(turnover) * 0.5 / 1e4 AS slippage_pnl,
         CASE WHEN stddev_pop(net) > 0 THEN avg(net) / stddev_pop(net) * sqrt(19656) ELSE 0 END AS sharpe, count(*) FILTER (turnover > 0) AS trades,
@@ -282,6 +293,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n.row_id, n.ticker, n.want, n.i, CASE WHEN 0.02::DOUBLE * abs(n.want - r.held) <= 1e-12 THEN r.held WHEN 0.02::DOUBLE * abs(n.want - r.held) <= 0.015 THEN n.want
         ELSE r.held + (n.want - r.held) * (0.015::DOUBLE / (0.02::DOUBLE * abs(n.want - r.held))) END FROM r JOIN n ON n.ticker = r.ticker AND n.i = r.i + 1)""",
         "SELECT row_id::BIGINT AS row_id, ticker, want::BIGINT AS position, round(held, 6) + 0.0::DOUBLE AS filled FROM r WHERE i > 0"),
+    "backtest_executed_costs": recursive(filled_steps(False), f"SELECT row_id::BIGINT AS row_id, want::BIGINT AS wanted, round(position, 6) + 0.0::DOUBLE AS position, round(turnover, 6) + 0.0::DOUBLE AS turnover, rejected, round(gross, 6) + 0.0::DOUBLE AS gross, round(cost, 6) + 0.0::DOUBLE AS cost, round(net, 6) + 0.0::DOUBLE AS net FROM costed"),
+    "backtest_cost_report": recursive(filled_steps(True), f"""SELECT round(sum(net), 6) + 0.0::DOUBLE AS net_pnl, round(sum(gross), 6) + 0.0::DOUBLE AS gross_pnl, round(sum(cost), 6) + 0.0::DOUBLE AS cost_pnl, round(sum(cost), 6) + 0.0::DOUBLE AS slippage_pnl,
+        round(avg(net) / stddev_pop(net) * sqrt(19656), 6) AS sharpe, count(*) FILTER (turnover > 0)::BIGINT AS trades, count(*) FILTER (position > 0)::BIGINT AS long_bars, count(*) FILTER (position < 0)::BIGINT AS short_bars, count(*) FILTER (position = 0)::BIGINT AS flat_bars,
+        round(coalesce(avg((net > 0)::INT::DOUBLE) FILTER (position <> 0), 0), 6) + 0.0::DOUBLE AS hit_rate, round((SELECT least(min(drawdown), 0) FROM ({EQUITY.format(ex='costed')})), 6) + 0.0::DOUBLE AS max_drawdown,
+        round((SELECT arg_max(equity, row_id) FROM ({EQUITY.format(ex='costed')})), 6) + 0.0::DOUBLE AS final_equity, sum(rejected)::BIGINT AS rejected, round(avg(total_bps) FILTER (abs(want - previous) > 0), 6) AS mean_cost_bps, count(*) AS n, true AS ok FROM costed"""),
     "regime_stats": out("""(SELECT *, CASE WHEN k = 1 THEN 'trending' WHEN by_vol = 1 THEN 'volatile' WHEN k = 2 THEN CASE WHEN autocorr < 0 THEN 'mean_reverting' ELSE 'trending' END WHEN by_trend = 1 THEN 'trending' ELSE 'mean_reverting' END AS regime
         FROM (SELECT *, row_number() OVER (PARTITION BY by_vol = 1 ORDER BY trend_score DESC, state) AS by_trend FROM (SELECT *, count(*) OVER () AS k, row_number() OVER (ORDER BY volatility DESC, state) AS by_vol,
         abs(mean_return) / greatest(volatility, 1e-6) + greatest(0, autocorr) AS trend_score, greatest(0, -autocorr) + volatility / greatest(abs(mean_return), 1e-6) * 0.05::DOUBLE AS reversion_score
@@ -356,6 +372,18 @@ ORACLE_SQL: dict[str, str] = {
     "event_density": out("""(SELECT sector, ticker, ts, coalesce(m.n / count(*) OVER (PARTITION BY ts), 0)::DOUBLE AS earnings_density_same_day_market, coalesce(s.n / count(*) OVER (PARTITION BY ts, sector), 0)::DOUBLE AS earnings_density_same_day_sector
         FROM (SELECT *, CASE WHEN ticker IN ('click', 'error') THEN 'a' ELSE 'b' END AS sector FROM bars) b LEFT JOIN (SELECT bar_ts::DATE AS day, count(*) AS n FROM snap GROUP BY 1) m ON m.day = b.ts::DATE
         LEFT JOIN (SELECT bar_ts::DATE AS day, 'a' AS sec, count(*) AS n FROM snap GROUP BY 1) s ON s.day = b.ts::DATE AND s.sec = b.sector)""", "sector ticker t:ts d:earnings_density_same_day_market d:earnings_density_same_day_sector"),
+    "calendar_grid": out(f"""(SELECT b.ticker, b.ts, b.sector AS mctx_sector_id, (d.k IS NOT NULL)::INT::DOUBLE AS macro_event_today, {', '.join(f"coalesce(list_contains(d.k, '{k}'), false)::INT::DOUBLE AS {k}_day" for k in FLAGS)},
+        coalesce(list_contains(x.k, 'fomc_statement'), false)::INT::DOUBLE AS fomc_statement_bar, 0.0::DOUBLE AS fomc_press_bar, coalesce(a.since = 0, false)::INT::DOUBLE AS earnings_event_bar,
+        {', '.join(f'coalesce(a.since <= {n}, false)::INT::DOUBLE AS post_earnings_{n}bars' for n in (1, 3, 6, 12, 78))}, {', '.join(f'0.0::DOUBLE AS sec_8k_item{n}_recent' for n in (301, 402, 502))},
+        CASE WHEN a.since <= 78 THEN exp(-a.since / 12.0::DOUBLE) ELSE 0 END AS sec_8k_item202_recent, CASE WHEN e.since <= 78 THEN exp(-e.since / 12.0::DOUBLE) ELSE 0 END AS sec_8k_item801_recent,
+        coalesce(m.n / count(*) OVER (PARTITION BY b.ts), 0)::DOUBLE AS earnings_density_same_day_market, coalesce(s.n / count(*) OVER (PARTITION BY b.ts, b.sector), 0)::DOUBLE AS earnings_density_same_day_sector,
+        (p.day IS NOT NULL)::INT::DOUBLE AS pre_earnings_1d
+        FROM (SELECT *, CASE WHEN ticker IN ('click', 'error') THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS sector FROM bars) b JOIN ({since(ITEM_202)}) a ON a.ticker = b.ticker AND a.ts = b.ts JOIN ({since(ITEM_801)}) e ON e.ticker = b.ticker AND e.ts = b.ts
+        LEFT JOIN (SELECT bar_ts::DATE AS day, list(event_type) AS k FROM snap GROUP BY 1) d ON d.day = b.ts::DATE LEFT JOIN (SELECT bar_ts, list(event_type) AS k FROM snap GROUP BY 1) x ON x.bar_ts = b.ts
+        LEFT JOIN (SELECT bar_ts::DATE AS day, count(*) AS n FROM snap WHERE {ITEM_202} GROUP BY 1) m ON m.day = b.ts::DATE LEFT JOIN (SELECT bar_ts::DATE AS day, 1.0::DOUBLE AS sec, count(*) AS n FROM snap WHERE {ITEM_202} GROUP BY 1) s ON s.day = b.ts::DATE AND s.sec = b.sector
+        LEFT JOIN (SELECT DISTINCT ticker, (bar_ts::DATE - 1) AS day FROM snap) p ON p.ticker = b.ticker AND p.day = b.ts::DATE)""",
+        "t:ts ticker d:mctx_sector_id " + doubles(["macro_event_today", *[f"{k}_day" for k in FLAGS], "fomc_statement_bar", "fomc_press_bar", "earnings_event_bar", *[f"post_earnings_{n}bars" for n in (1, 3, 6, 12, 78)],
+            *[f"sec_8k_item{n}_recent" for n in (202, 301, 402, 502, 801)], "earnings_density_same_day_market", "earnings_density_same_day_sector", "pre_earnings_1d"])),
     "labels_fixed": out("(SELECT *, r AS next_log_return, threshold_label = 0 AS threshold_down, threshold_label = 1 AS threshold_no_move, threshold_label = 2 AS threshold_up FROM lab)", "ticker t:ts d:next_log_return i:label i:threshold_label i:threshold_down i:threshold_no_move i:threshold_up"),
     "labels_vol": out("(SELECT *, least(greatest(r / greatest(past_std, 1e-8), -3), 3) AS vol_target_clipped, (r - past_mean) / greatest(past_std, 1e-8) AS z_return, vol_direction_label = 0 AS vol_down, vol_direction_label = 2 AS vol_up FROM lab)", "ticker t:ts d:vol_threshold d:vol_target_clipped d:z_return i:vol_direction_label i:vol_down i:vol_up"),
     "labels_event": out("(SELECT *, label AS event_direction, CASE WHEN event_label = 1 AND r > 0 THEN 2 WHEN event_label = 1 THEN 0 ELSE 1 END AS event_signed, CASE WHEN event_threshold > 1e-8 THEN least(abs(r) / event_threshold, 5) ELSE 0 END AS event_magnitude FROM lab)", "ticker t:ts d:event_threshold i:event_label i:event_direction i:event_signed d:event_magnitude"),

@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, calendar, market, metrics, quality, sequences, splits, stats
+from barloom.operators import backtest, calendar, event_grid, market, metrics, quality, regimes, sequences, splits, stats
 from barloom.sources import bars as source
 from barloom.sources import reference_data
 
@@ -126,3 +126,91 @@ def test_deep_folders_and_sector_hashes(spark):
     assert spark.createDataFrame([(path,)], "p string").select(source.group_of(F.col("p")).alias("g")).first().g == "nasdaq stocks"
     df = market.sector_columns(spark.createDataFrame([("A", "Energy"), ("B", "Tech"), ("C", "Energy")], "ticker string, sector string"))
     assert {(r.ticker, r.mctx_sector_id, r.mctx_sector_hash) for r in df.collect()} == {(t, i, market.sector_hash(s)) for t, i, s in (("A", 1.0, "Energy"), ("B", 2.0, "Tech"), ("C", 1.0, "Energy"))}
+
+
+def test_fills_in_stretches_equal_one_fold(spark, monkeypatch):
+    monkeypatch.setattr(backtest, "BLOCK", 16)
+    rng = random.Random(3)
+    rows = [(i, float(rng.choice((-1, 0, 1))), rng.choice((0.005, 0.015, 0.03, 0.05))) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, position double, max_pov double").repartition(5)
+    for reject in (False, True):
+        model = backtest.Execution(reject=reject)
+        held, wanted = 0.0, []
+        for _, want, cap in rows:
+            share = 0.02 * abs(want - held)
+            if share > cap:
+                want = held if reject else held + (want - held) * cap / share
+            held = want
+            wanted.append(held)
+        got = [r.filled for r in backtest.carried_fills(df, model).orderBy("row_id").collect()]
+        assert np.allclose(got, wanted)
+
+
+def test_viterbi_in_blocks_equals_one_recursion(spark):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 1.0, (40, 2)) for m in (0, 3, -2, 3)])
+    guess = np.repeat([0, 1, 2, 1], 40)
+    guess[::11] = 0
+    times = [OPEN + timedelta(minutes=5 * i) for i in range(len(x))]
+    df = spark.createDataFrame([(t, int(s), float(a), float(b)) for t, s, (a, b) in zip(times, guess, x, strict=True)], "ts timestamp_ntz, state int, a double, b double")
+    prior = np.log(np.bincount(guess, minlength=3) / len(guess))
+    moves = np.ones((3, 3))
+    np.add.at(moves, (guess[:-1], guess[1:]), 1.0)
+    moves = np.log(moves / moves.sum(axis=1, keepdims=True))
+    mean = np.array([x[guess == k].mean(axis=0) for k in range(3)])
+    var = np.array([np.maximum(x[guess == k].var(axis=0), 1e-4) for k in range(3)])
+    emit = -0.5 * (np.log(2 * np.pi * var)[None] + (x[:, None] - mean) ** 2 / var).sum(axis=2)
+    best, back = prior + emit[0], []
+    for e in emit[1:]:
+        step = best[:, None] + moves
+        back.append(step.argmax(axis=0))
+        best = step.max(axis=0) + e
+    path = [int(best.argmax())]
+    for b in reversed(back):
+        path.append(int(b[path[-1]]))
+    for block in (7, 4096):
+        got = [r.decoded for r in regimes.viterbi(df, 3, ("a", "b"), block=block).orderBy("ts").collect()]
+        assert got == path[::-1]
+
+
+def test_regimes_are_learnt_from_the_fit_alone(spark):
+    rng = np.random.default_rng(8)
+    def level(seed_rows, swing):
+        steps = np.concatenate([rng.normal(0, swing * k, seed_rows) for k in (1, 3, 9)])
+        return spark.createDataFrame([(OPEN + timedelta(minutes=5 * i), float(c)) for i, c in enumerate(np.cumprod(1 + steps))], "ts timestamp_ntz, close double")
+    fit, traded = level(80, 1e-3), level(50, 1e-3)
+    got = regimes.market_regimes(traded, fit, window=8)
+    rows = got.orderBy("ts").collect()
+    assert len(rows) == 150 and {r.regime for r in rows} <= set(regimes.POLICIES)
+    assert rows[-1].regime == "volatile" and rows[20].regime != "volatile"
+
+
+def test_policies_change_signals(spark):
+    rows = [(i, r, 0.8 if i % 2 else 0.6) for i, r in enumerate(("trending", "mean_reverting", "volatile", "volatile", None))]
+    df = spark.createDataFrame(rows, "row_id long, regime string, p_up double").withColumns({"p_down": 1 - F.col("p_up"), "mu": F.lit(0.0), "sigma": F.lit(0.001)})
+    rules = backtest.Rules(policies=regimes.POLICIES | {"volatile": "high_confidence"})
+    assert [r.signal for r in backtest.with_signal(df, rules).orderBy("row_id").collect()] == [1, -1, 0, 1, 1]
+
+
+def test_event_grid_of_a_small_panel(spark):
+    later = OPEN + timedelta(minutes=5)
+    bars = bars_at(spark, [OPEN, later, OPEN + timedelta(days=1)]).unionAll(bars_at(spark, [later], "xyz")).withColumn("sector", F.when(F.col("ticker") == "xyz", 2.0))
+    macro = spark.createDataFrame([(OPEN, "employment_situation"), (later, "fomc"), (later, "fomc_press_conference")], "event_ts timestamp_ntz, event_type string")
+    filings = spark.createDataFrame(
+        [("abc", OPEN, "202", None), ("xyz", OPEN, "5.02", None), ("XYZ", later, None, "results"), ("", later, "2.02", None), (None, later, "2.02", None), ("NEW", later, "2.02", None)],
+        "ticker string, event_ts timestamp_ntz, item string, event_type string",
+    )
+    scheduled = spark.createDataFrame([("abc", OPEN + timedelta(days=1))], "ticker string, event_ts timestamp_ntz")
+    rows = {(r.ticker, r.ts): r for r in event_grid.event_grid(bars, macro, filings, scheduled, "sector").collect()}
+    assert len(rows) == 4
+    first, second, day2, other = rows["ABC", OPEN], rows["ABC", later], rows["ABC", OPEN + timedelta(days=1)], rows["XYZ", later]
+    assert (first.nfp_day, first.fomc_statement_bar, second.fomc_statement_bar, second.fomc_press_bar, day2.nfp_day) == (1, 0, 1, 1, 0)
+    assert (first.earnings_event_bar, second.earnings_event_bar, second.post_earnings_1bars, other.earnings_event_bar) == (1, 0, 1, 1)
+    assert (day2.post_earnings_1bars, day2.post_earnings_3bars) == (0, 1)
+    assert second.sec_8k_item202_recent == pytest.approx(np.exp(-1 / 12)) and other.sec_8k_item502_recent == pytest.approx(np.exp(-1 / 12))
+    assert (first.earnings_density_same_day_market, second.earnings_density_same_day_market) == (3.0, 1.5)
+    assert (second.earnings_density_same_day_sector, other.earnings_density_same_day_sector) == (2.0, 1.0)  # the unknown ticker counts in sector 0
+    assert (first.pre_earnings_1d, second.pre_earnings_1d, day2.pre_earnings_1d, other.pre_earnings_1d) == (1, 1, 0, 0)
+    none = event_grid.event_grid(bars, macro.limit(0), filings.limit(0))
+    assert "pre_earnings_1d" not in none.columns
+    assert all(sum(v for k, v in r.asDict().items() if k not in ("ticker", "ts")) == 0 for r in none.collect())
