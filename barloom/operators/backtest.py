@@ -1,7 +1,7 @@
 """Cost-aware backtests over a prediction set in row_id order.
 
-row_id is dense and total: rows are numbered with per-timestamp offsets, lags are equi-joins on it, and running products
-and extremes are two-level scans (within blocks of row_id, then over blocks), so that no task holds the whole order.
+row_id is dense and total: rows are numbered with per-timestamp offsets, lags are read within blocks of it, and running
+products and extremes are two-level scans (within blocks of row_id, then over blocks), so that no task holds the whole order.
 """
 
 from __future__ import annotations
@@ -98,11 +98,19 @@ def with_signal(df: DataFrame, rules: Rules) -> DataFrame:
 
 
 def shifted(df: DataFrame, column: str, lag: int, name: str) -> DataFrame:
-    """`column` of the row `lag` places before, 0 at the head: an equi-join on row_id, no global window."""
+    """`column` of the row `lag` places before, 0 at the head: a lag within blocks of row_id.
+
+    The last `lag` rows of a block go to the next block as well, so that its first rows see them; df is read once.
+    """
+    if not 0 <= lag < BLOCK:
+        raise ValueError(f"the lag must be from 0 to {BLOCK - 1}")
     if lag == 0:
         return df.withColumn(name, F.col(column))
-    other = df.select((F.col("row_id") + lag).alias("row_id"), F.col(column).alias(name))
-    return df.join(other, "row_id", "left").fillna(0, subset=[name])
+    own = F.floor(F.col("row_id") / BLOCK)
+    seen = F.when(F.col("row_id") % BLOCK >= BLOCK - lag, F.array(own, own + 1)).otherwise(F.array(own))
+    df = df.withColumn("in_block", F.explode(seen))
+    before = F.lag(column, lag).over(Window.partitionBy("in_block").orderBy("row_id"))
+    return df.withColumn(name, F.coalesce(before, F.lit(0))).where(F.col("in_block") == own).drop("in_block")
 
 
 def executed(df: DataFrame, rules: Rules) -> DataFrame:
@@ -130,8 +138,8 @@ def equity_curve(rows: DataFrame) -> DataFrame:
     return df.select("row_id", "equity", ((F.col("equity") - peak) / peak).alias("drawdown"))
 
 
-def summary(rows: DataFrame, periods: int = PERIODS) -> DataFrame:
-    """One row of backtest figures."""
+def summary(rows: DataFrame, periods: int = PERIODS, *more: Column) -> DataFrame:
+    """One row of backtest figures; `more` are further aggregates of the rows."""
     std = F.stddev_pop("net")
     active = F.col("position") != 0
     figures = rows.agg(
@@ -139,7 +147,7 @@ def summary(rows: DataFrame, periods: int = PERIODS) -> DataFrame:
         F.when(std > 0, F.avg("net") / F.when(std > 0, std) * math.sqrt(periods)).otherwise(0.0).alias("sharpe"),
         F.count_if(F.col("turnover") > 0).alias("trades"), F.count_if(F.col("position") > 0).alias("long_bars"),
         F.count_if(F.col("position") < 0).alias("short_bars"), F.count_if(~active).alias("flat_bars"),
-        F.coalesce(F.avg(F.when(active, (F.col("net") > 0).cast("double"))), F.lit(0.0)).alias("hit_rate"),
+        F.coalesce(F.avg(F.when(active, (F.col("net") > 0).cast("double"))), F.lit(0.0)).alias("hit_rate"), *more,
     )
     curve = equity_curve(rows)
     return figures.crossJoin(curve.agg(F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"), F.max_by("equity", "row_id").alias("final_equity")))
@@ -271,10 +279,10 @@ def executed_with_costs(df: DataFrame, rules: Rules, model: Execution = Executio
 
 
 def cost_report(rows: DataFrame, periods: int = PERIODS) -> DataFrame:
-    """summary() of executed_with_costs() with the rejected moves and the mean modelled cost of the asked ones, in bps."""
+    """summary() of executed_with_costs() with n, the rejected moves and the mean modelled cost of the asked ones, in bps."""
     asked = F.abs(F.col("wanted") - F.col("previous")) > 0
-    extra = rows.agg(F.sum("rejected").alias("rejected"), F.coalesce(F.avg(F.when(asked, F.col("total_bps"))), F.lit(0.0)).alias("mean_cost_bps"))
-    return summary(rows, periods).crossJoin(extra)  # one row each
+    mean = F.coalesce(F.avg(F.when(asked, F.col("total_bps"))), F.lit(0.0))
+    return summary(rows, periods, F.count(F.lit(1)).alias("n"), F.sum("rejected").alias("rejected"), mean.alias("mean_cost_bps"))
 
 
 def audited(report: DataFrame, n: int | Column) -> DataFrame:

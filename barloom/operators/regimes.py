@@ -173,11 +173,12 @@ def viterbi(df: DataFrame, states: int = 3, features: Sequence[str] = FEATURES,
 def market_regimes(level: DataFrame, fit: DataFrame, states: int = 3, window: int = 32) -> DataFrame:
     """(ts, regime) of the series `level` (ts, close), by a model of the series `fit` alone, so that nothing is learnt from the traded rows.
 
-    States come from the fit's rolling spread, their regimes from the fit's decoded path.
+    States come from the fit's rolling spread, their regimes from the fit's decoded path. Both series, a narrow row per
+    timestamp, are persisted, as several steps read them.
     """
-    learnt = volatility_states(regime_features(fit, window), states)
+    learnt = volatility_states(regime_features(fit, window), states).persist()
     named = state_stats(viterbi(learnt, states).withColumn("state", F.col("decoded"))).select(F.col("state").alias("decoded"), "regime")
-    found = viterbi(regime_features(level, window), states, fit=learnt)
+    found = viterbi(regime_features(level, window).persist(), states, fit=learnt)
     return found.join(F.broadcast(named), "decoded", "left").select("ts", F.coalesce("regime", F.lit("trending")).alias("regime"))  # one row per state
 
 

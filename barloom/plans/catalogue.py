@@ -544,8 +544,7 @@ def backtest_executed_costs(spark, d):
 @query
 def backtest_cost_report(spark, d):
     rows = backtest.executed_with_costs(predictions(spark, d), backtest.Rules(), backtest.Execution(reject=True))
-    n = rows.agg(F.count(F.lit(1)).alias("n"))
-    return shown(backtest.audited(backtest.cost_report(rows).crossJoin(n), F.col("n")))  # one row each
+    return shown(backtest.audited(backtest.cost_report(rows), F.col("n")))
 
 
 def regime_trades(spark, d):
@@ -553,7 +552,7 @@ def regime_trades(spark, d):
     rows = splits.split_global_time(predictions(spark, d).drop("row_id"))
     traded = rows.where("split <> 'train'")
     found = regimes.market_regimes(backtest.market_level(traded), backtest.market_level(rows.where("split = 'train'")))
-    return backtest.numbered(traded.join(found, "ts", "left"))
+    return backtest.numbered(traded.join(found, "ts", "left")).persist()  # as the predictions
 
 
 @query

@@ -146,6 +146,16 @@ def test_fills_in_stretches_equal_one_fold(spark, monkeypatch):
         assert np.allclose(got, wanted)
 
 
+def test_lags_cross_blocks(spark, monkeypatch):
+    monkeypatch.setattr(backtest, "BLOCK", 8)
+    df = spark.range(50).select(F.col("id").alias("row_id"), (F.col("id") * 3 + 1).alias("x")).repartition(4)
+    for lag in (0, 1, 3, 7):
+        got = backtest.shifted(df, "x", lag, "y").orderBy("row_id").collect()
+        assert [r.y for r in got] == [3 * (i - lag) + 1 if i >= lag else 0 for i in range(50)]
+    with pytest.raises(ValueError):
+        backtest.shifted(df, "x", 8, "y")
+
+
 def test_viterbi_in_blocks_equals_one_recursion(spark):
     rng = np.random.default_rng(5)
     x = np.concatenate([rng.normal(m, 1.0, (40, 2)) for m in (0, 3, -2, 3)])
