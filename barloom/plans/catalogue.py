@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.columns import sigmoid
-from barloom.operators import backtest, calendar, event_grid, features, labels, losses, market, metrics, quality, regimes, sequences, splits, stats
+from barloom.operators import backtest, baselines, calendar, event_grid, features, labels, losses, market, metrics, quality, regimes, sequences, splits, stats
 from barloom.sources import bars as source
 
 HOUR = "'1' HOUR"
@@ -523,6 +523,14 @@ def dataset_assembly(spark, d):
     return shown(splits.dataset_info(splits.assembled(df, ["log_return", "relative_volume", "close_position"])))
 
 
+@query
+def ladder_baselines(spark, d):
+    rows, names = split_h(spark, d), ("log_return", "relative_volume", "close_position", "rolling_volatility")
+    train, test = rows.where("split = 'train'"), rows.where("split = 'test'")
+    df = baselines.classified(train, test, names, models=("prior", "logistic"))
+    return shown(baselines.regressed(train, df, names, "next_log_return", models=("mean", "ridge")), "ticker", "ts", "label", "p_prior", "p_logistic", "mu_mean", "mu_ridge")
+
+
 @query
 def execution_costs(spark, d):
     df = predictions(spark, d)

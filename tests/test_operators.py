@@ -10,7 +10,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, calendar, event_grid, market, metrics, quality, regimes, sequences, splits, stats
+from barloom.operators import backtest, baselines, calendar, event_grid, market, metrics, quality, regimes, sequences, splits, stats
 from barloom.sources import bars as source
 from barloom.sources import reference_data
 
@@ -224,3 +224,22 @@ def test_event_grid_of_a_small_panel(spark):
     none = event_grid.event_grid(bars, macro.limit(0), filings.limit(0))
     assert "pre_earnings_1d" not in none.columns
     assert all(sum(v for k, v in r.asDict().items() if k not in ("ticker", "ts")) == 0 for r in none.collect())
+
+
+def test_baselines_learn_what_there_is_to_learn(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(600, 2))
+    y = (x[:, 0] + 0.3 * rng.normal(size=600) > 0.8).astype(int)
+    rows = [(i, float(a), float(b), int(t), float(2 * a - b)) for i, ((a, b), t) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame([*rows, (600, None, 0.0, 1, 0.0), (601, float("nan"), 0.0, 0, 0.0)], "i long, a double, b double, label int, ret double")
+    train, test = df.where("i % 3 <> 0"), df.where("i % 3 = 0")
+    got = baselines.classified(train, test, ("a", "b"), trees=3, hidden=4).toPandas()
+    assert len(got) == 200 and set(got["i"]) == set(range(0, 600, 3))
+    seen = [t for i, t in enumerate(y) if i % 3]
+    assert np.allclose(got["p_prior"], np.mean(seen))
+    for name in ("logistic", "trees", "perceptron"):
+        p = got[f"p_{name}"]
+        assert p.between(0, 1).all() and p[got["label"] == 1].mean() > p[got["label"] == 0].mean() + 0.2
+    fits = baselines.regressed(train, test, ("a", "b"), "ret", trees=3).toPandas()
+    assert len(fits) == 200 and np.allclose(fits["mu_ridge"], fits["ret"], atol=0.05) and fits["mu_mean"].nunique() == 1
+    assert np.corrcoef(fits["mu_trees"], fits["ret"])[0, 1] > 0.6
