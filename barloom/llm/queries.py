@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from barloom.llm import (
+    conversations,
     decontaminate,
     exact_dedup,
     html_extract,
@@ -61,6 +62,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(read(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_html_extraction": op2_html_extraction,
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -81,4 +87,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": decontaminate.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op13_conversation_repair": conversations.ORACLE,
 }
