@@ -15,6 +15,7 @@ from barloom.llm import (
     mixing,
     ngram_join,
     quality,
+    quality_rules,
     secrets_scan,
     substring_dedup,
     token_output,
@@ -62,6 +63,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(read(spark, sf_dir, "documents"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.report(read(spark, sf_dir, "documents"))
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.report(read(spark, sf_dir, "conversations"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontamination": op8_decontamination,
     "op9_license_scan": op9_license_scan,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_quality_rules": op11_quality_rules,
     "op13_conversation_repair": op13_conversation_repair,
 }
 
@@ -87,5 +93,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_decontamination": decontaminate.ORACLE,
     "op9_license_scan": license_scan.ORACLE,
     "op10_substring_dedup": substring_dedup.ORACLE,
+    "op11_quality_rules": quality_rules.ORACLE,
     "op13_conversation_repair": conversations.ORACLE,
 }
