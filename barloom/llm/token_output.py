@@ -57,11 +57,15 @@ class Encoder:
     library turns into that token's id, and one with white space or separators that aren't plain ASCII.
     """
 
-    def __init__(self, path: str) -> None:
+    #: Bytes that a piece begins with.
+    space = SPACE
+
+    def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = special_as_text
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         own = json.loads(self.tokenizer.to_str())
         split, model = own["pre_tokenizer"] or {}, own["model"]
@@ -89,7 +93,7 @@ class Encoder:
     def _ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the pieces, one after the other, and how many each has. Many pieces are tokenised in one string."""
         # white space at a text's end is told by what isn't there, and a text's first word may have none before it
-        alone = np.flatnonzero(SPACE[data[ends - 1]] | ~SPACE[data[starts]])
+        alone = np.flatnonzero(self.space[data[ends - 1]] | ~self.space[data[starts]])
         joined = np.ones(len(starts), bool)
         joined[alone] = False
         size = (ends - starts)[joined]
@@ -149,7 +153,7 @@ class Encoder:
         data, offsets = column_bytes(texts)
         rows = len(offsets) - 1
         odd = self._odd(data, offsets)
-        blank = SPACE[data]
+        blank = self.space[data]
         start = blank.copy()
         start[1:] &= ~blank[:-1]
         start[offsets[:-1][np.diff(offsets) > 0]] = True
