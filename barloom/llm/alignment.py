@@ -26,7 +26,9 @@ from barloom.llm.hashing import by_bytes, column_bytes
 from barloom.llm.token_output import Encoder, tokenizer_path
 
 #: Text bytes that are aligned at once, and bytes and distinct pairs at which a block ends.
-BATCH_BYTES, BLOCK_BYTES, BLOCK_PAIRS = 2 << 20, 12 << 20, 1 << 16
+BATCH_BYTES, BLOCK_BYTES, BLOCK_PAIRS = 1 << 20, 6 << 20, 1 << 16
+#: Pieces and their ids that an encoder remembers: some 40 MB, as a worker has two of them.
+REMEMBERED, POOL = 1_000_000, 1 << 22
 #: Links of a group up to which they are written out; larger groups count their ids first.
 FEW = 256
 SPACE_PIECE = "▁"
@@ -40,6 +42,7 @@ class PieceEncoder(Encoder):
     """
 
     space = np.arange(256) == 32
+    remembered, pooled = REMEMBERED, POOL
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -73,6 +76,8 @@ class PieceEncoder(Encoder):
 class ByteEncoder(Encoder):
     """A byte-level tokenizer's ids; strings of special tokens are text."""
 
+    remembered, pooled = REMEMBERED, POOL
+
     def __init__(self, path: str) -> None:
         super().__init__(path, special_as_text=True)
         kept = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256
@@ -256,7 +261,7 @@ def _aligned_blocks(a: str, b: str):
                     yield flush()
                     grown = distinct
                 known = grown
-                rows.append(row + held), pairs.append(pair), times.append(often)
+                rows.append((row + held).astype(np.int32)), pairs.append(pair), times.append(often)
                 columns = [some.column("id").to_pylist(), *(c.tolist() for c in found.counts), found.n_groups.tolist(), found.n_links.tolist(), found.digests(one, two)]
                 for into, values in zip(meta, columns, strict=True):
                     into += values

@@ -59,6 +59,7 @@ class Encoder:
 
     #: Bytes that a piece begins with.
     space = SPACE
+    remembered, pooled = REMEMBERED, POOL
 
     def __init__(self, path: str, special_as_text: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -112,7 +113,7 @@ class Encoder:
 
     def _known(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place in the pool and number of ids of each key (sorted, distinct; first: a piece that has it)."""
-        if self.used > POOL or len(self.keys) > REMEMBERED:
+        if self.used > self.pooled or len(self.keys) > self.remembered:
             self._forget()
         place = np.searchsorted(self.keys, keys)
         there = np.zeros(len(keys), bool)
