@@ -192,10 +192,32 @@ def spliced(flat: np.ndarray, counts: np.ndarray, places: np.ndarray, rows: list
 _ENCODERS: dict[str, Encoder] = {}
 
 
+#: What Hadoop calls a store, and how pyarrow calls it; dbfs is mounted on each node.
+SCHEMES = {"s3a://": "s3://", "s3n://": "s3://", "gcs://": "gs://", "dbfs:/": "file:///dbfs/"}
+
+
+def known_uri(uri: str) -> str:
+    """A Hadoop URI by pyarrow's name of its store."""
+    for ours, theirs in SCHEMES.items():
+        if uri.startswith(ours):
+            return theirs + uri[len(ours) :].lstrip("/")
+    return uri
+
+
 def _filesystem(uri: str):
+    """(pyarrow file system, path in it) of a Hadoop URI; what pyarrow doesn't know is asked of fsspec, if that is installed."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    uri = known_uri(uri)
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except pa.ArrowInvalid:
+        try:
+            from fsspec.core import url_to_fs
+        except ImportError:
+            raise ValueError(f"no file system is known here for {uri}") from None
+        other, path = url_to_fs(uri)
+        return fs.PyFileSystem(fs.FSSpecHandler(other)), path
 
 
 def shard_bytes(ids: np.ndarray, keys: list[int | None], lengths: list[int], size: int) -> bytes:
@@ -282,15 +304,16 @@ def write_tokens(
 ) -> DataFrame:
     """Write shard files into `folder` (a URI all executors reach) and return the manifest, with each shard's first id.
 
-    Documents are in ascending identifier order, null identifiers first; a null text counts as empty and has only the
-    end id. Repeated rows are written each; an empty table has no files. Other columns are ignored. Files: part (range
+    Documents are in ascending identifier order, null identifiers first, those of one identifier by a hash of their
+    text, so that reruns agree and the rows of a hot identifier spread over the files; a null text counts as empty and
+    has only the end id. Repeated rows are written each; an empty table has no files. Other columns are ignored. Files: part (range
     partition), seq within it. Each attempt of a task writes files of its own name and nothing is renamed: the manifest,
     which Spark commits, names those of the attempt that counts, on any file system.
     """
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    rows = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         path = tokenizer or tokenizer_path()
@@ -339,10 +362,12 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        path, shard = None, None
+        path, shard, file = None, None, None
         for batch in batches:
             for row in batch.to_pylist():
                 if row["path"] != path:
+                    if file is not None:
+                        file.close()
                     path = row["path"]
                     fs, place = _filesystem(path)
                     file = fs.open_input_file(place)
@@ -351,6 +376,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 raw, ends = ids.astype("<u4").tobytes(), np.cumsum(lengths)
                 crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(starts + row["start"]), pa.array(lengths), pa.array(crc, pa.int64())], schema=out)
+        if file is not None:
+            file.close()
 
     # a row stands for a whole block: with a stated count the few bytes aren't merged into one task
     blocks = manifest.select("path", "start", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
@@ -361,7 +388,8 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
 def report(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text), read back from the files: doc_id, start, n_tokens, ids_crc32.
 
-    Null and empty texts have the end id alone, repeated rows follow each other, null identifiers come first, an empty
-    table gives no rows, and other columns are ignored.
+    Null and empty texts have the end id alone, rows of one identifier follow each other by a hash of their text, null
+    identifiers come first, an empty table gives no rows, and other columns are ignored. Long texts are cut into batches
+    with others, not within: a task holds a text and some ten times its bytes.
     """
     return read_tokens(write_tokens(docs))
