@@ -76,13 +76,16 @@ def mix(
     size counts words (null text: 0). A source's target is taken in whole epochs and a last part: documents in key
     order until the budget's exact word, so that a source's taken words add up to its target rounded down. Repeated
     rows are separate documents of the mix. Documents without words take nothing; a source without words has target 0.
-    Null sources form one source. Columns of `keep` (named expressions) are passed on; other columns are ignored. The same input and seed give the same result.
+    Null sources form one source. Rows of one identifier have keys by their texts, null identifiers too; long texts are
+    counted whole. Columns of `keep` (named expressions) are passed on; other columns are ignored. The same input and seed give the same result.
     """
     n = ranges or 4 * partitions(docs.sparkSession)
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_of(text_col)).alias("size"), F.struct(F.lit(0).alias("none"), *keep).alias("kept")
-    )
-    salted = F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit("")))
+        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), words(text_of(text_col)).alias("size"), F.md5(text_of(text_col)).alias("hash"),
+        F.struct(F.lit(0).alias("none"), *keep).alias("kept"),
+    )
+    # the text's hash spreads the rows of a null or repeated identifier
+    salted = F.concat(F.lit(seed + ":"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), "hash")
     rows = rows.withColumn("key", F.conv(F.substring(F.sha2(salted, 256), 1, 15), 16, 10).cast("long"))
     # keys have 60 bits; the leading 30 choose the range
     rows = rows.withColumn("range", F.shiftright(F.shiftright("key", 30) * F.lit(n).cast("long"), 30).cast("int"))
@@ -97,7 +100,7 @@ def mix(
     ).select(
         F.col("source").isNotNull().alias("named"), F.coalesce("source", F.lit("")).alias("source"), "source_size", "target"
     )
-    within = Window.partitionBy(*group).orderBy("key", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*group).orderBy("key", "id", "size", "hash").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("ahead", F.coalesce(F.sum("size").over(within), F.lit(0)))
     rows = rows.join(starts.join(targets, ["named", "source"]), group)
     budget = F.floor("target").cast("long")
@@ -111,7 +114,7 @@ def mix(
 
 ORACLE = f"""
 WITH sized AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size FROM documents),
+    SELECT doc_id, source, md5(coalesce(text, '')) AS hash, len(regexp_extract_all(coalesce(text, ''), '[^ \\t-\\r]+'))::BIGINT AS size FROM documents),
 sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source),
 weighed AS (
     SELECT source, source_size, 2.0::DOUBLE * source_size AS cap,
@@ -129,7 +132,7 @@ targets AS (
 cut AS (
     SELECT s.doc_id, s.size, t.source_size, t.target,
            CASE WHEN t.source_size > 0 THEN t.budget // t.source_size ELSE 0 END AS epochs, t.budget,
-           coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY substr(sha256('{SEED}:' || s.doc_id::VARCHAR), 1, 15), s.doc_id, s.size
+           coalesce(sum(s.size) OVER (PARTITION BY s.source ORDER BY substr(sha256('{SEED}:' || coalesce(s.doc_id::VARCHAR, '') || ':' || s.hash), 1, 15), s.doc_id, s.size
                                       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
     FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target,
