@@ -22,8 +22,8 @@ from barloom.llm.common import partitions, stage, text_of
 from barloom.llm.hashing import U64, column_bytes, hash_windows, hash_words, pack_sorted, split_words, unpack_sorted
 
 WINDOW = 13
-#: Words of the first level's windows.
-FIRST = 7
+#: Words of the first level's windows: levels of 4, 8 and the contract's 13 words.
+FIRST = 4
 #: Of the filter level: bits over the logarithm of the corpus's windows, so that 1 in 2 ** SPARE survives by chance.
 SPARE = 8
 #: Text bytes of a block of documents, and text bytes whose windows meet in one hash range: what a task holds at once.
@@ -213,14 +213,16 @@ def _finish(block: Block, back: pa.Table, schema: pa.Schema) -> pa.Table:
 class Corpus:
     """The blocks of a corpus and the levels found so far."""
 
-    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks: int | None, buckets: int | None) -> None:
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str, blocks: int | None, buckets: int | None, by_id: bool = False) -> None:
+        """Rows are dealt by identifier and text, so that a hot identifier spreads; `by_id` keeps an identifier's rows in one block."""
         parts = partitions(docs.sparkSession)
         rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
         size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
         self.bits = min(64, max(24, math.ceil(math.log2(size / 2 + 2)) + SPARE))
         blocks = blocks or max(parts, -(-size // BLOCK_BYTES))
         self.buckets = buckets or max(-(-parts // 2), -(-size // BUCKET_BYTES))
-        self.rows = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(blocks)).cast("int")).repartition(parts, "block")
+        dealt = F.when(F.col("id").isNotNull(), F.xxhash64("id", F.lit(3))).otherwise(F.xxhash64("text")) if by_id else F.xxhash64("id", "text")
+        self.rows = rows.withColumn("block", F.pmod(dealt, F.lit(blocks)).cast("int")).repartition(parts, "block")
         self.levels: tuple[int, ...] = ()
         self.back: DataFrame | None = None
 
@@ -303,7 +305,7 @@ def longest_repeats(docs: DataFrame, first: int = FIRST, id_col: str = "doc_id",
     The doubling goes on until no window of a length repeats. Nulls, repeats and other columns as in remove_repeats;
     hashes have as many bits as the corpus needs, so that one window in 2 ** SPARE may count by chance at the first level.
     """
-    corpus, words = Corpus(docs, id_col, text_col, blocks, buckets), first
+    corpus, words = Corpus(docs, id_col, text_col, blocks, buckets, by_id=True), first
     while corpus.extend(words, False):
         words *= 2
     corpus.levels += (words + 1,)  # the place of a last level, which isn't asked for
@@ -311,7 +313,7 @@ def longest_repeats(docs: DataFrame, first: int = FIRST, id_col: str = "doc_id",
 
 
 def report(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per document: id_col, n_words, n_removed, kept_sha256."""
+    """One row per document: id_col, n_words, n_removed, kept_sha256; odd rows as in remove_repeats."""
     done = remove_repeats(docs, id_col=id_col)
     return done.select(id_col, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
