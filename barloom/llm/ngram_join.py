@@ -35,8 +35,8 @@ PERCENT = 75
 SPARE = 10
 #: Text bytes of a block of documents and of a hash range, at most: what a task holds at once, some ten times over.
 BLOCK_BYTES = 32 << 20
-#: Shingles of a cell; a tile holds two cells at most (8 bytes each).
-CELL = 1_500_000
+#: Shingles of a cell, and what a document weighs beside its own; a tile holds two cells at most (8 bytes a shingle).
+CELL, WEIGHT = 1_500_000, 64
 
 _UP = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())])
 _BACK = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("counts", pa.binary())])
@@ -137,12 +137,20 @@ def _bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return np.packbits(flat, axis=1).view(np.uint64)
 
 
+def _grouped(labels: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The distinct labels and the places of each."""
+    order = np.argsort(labels, kind="stable")
+    found, first = np.unique(labels[order], return_index=True)
+    return found, np.split(order, first[1:])
+
+
 def links_in_tile(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
     """Links that connect, within the tile, all documents over the threshold; equal labels are connected already."""
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     ids, labels, sets = ids[order], labels[order], [sets[i] for i in order]
     sizes = np.array([len(s) for s in sets])
     root = np.unique(labels, return_inverse=True)[1].astype(np.int64)
+    members = {int(r): m for r, m in zip(*_grouped(root), strict=True)}
     links: list[tuple[int, int]] = []
     at = 0
     while at < len(ids):  # bands: bitmaps as wide as the band's sets
@@ -166,7 +174,9 @@ def links_in_tile(ids: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], p
                 common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
                 if 100 * common >= percent * (sizes[i] + sizes[j] - common):
                     links.append((int(ids[i]), int(ids[j])))
-                    root[root == root[j]] = root[i]
+                    few, many = sorted((int(root[i]), int(root[j])), key=lambda r: len(members[r]))
+                    root[members[few]] = many  # the smaller class moves: a document moves as often as its class doubles
+                    members[many] = np.concatenate([members[many], members.pop(few)])
         at = top
     return links
 
@@ -220,13 +230,23 @@ def _candidate_groups(found: DataFrame) -> DataFrame:
     return connected_components(edges)
 
 
-def _all_links(found: DataFrame, percent: int, cell: int) -> DataFrame | None:
+def _all_links(found: DataFrame, percent: int, cell: int) -> DataFrame:
     """Links that connect all pairs over the threshold."""
+    # texts with equal sets, as variants of a line in case or spacing, are linked at once; only one of them goes on
+    held = found.where(F.col("shingles").isNotNull()).select("id", F.md5("shingles").alias("digest"))
+    firsts = held.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("digest", "low")
+    same = stage(held.join(firsts, "digest").where("id <> low").select(F.col("id").alias("u"), F.col("low").alias("v")), "same-sets")
+    return same.unionAll(_links_of(found.join(same.select(F.col("u").alias("id")), "id", "left_anti"), percent, cell))
+
+
+def _links_of(found: DataFrame, percent: int, cell: int) -> DataFrame:
+    """Links that connect all pairs over the threshold among texts of different sets."""
     groups = stage(_candidate_groups(found), "groups")
     held = found.where(F.col("shingles").isNotNull()).select("id", "n", "shingles")
     # a band spans the sizes that one factor of 100 / percent covers: only neighbouring bands can link
     band = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(100 / percent))).cast("int")
-    docs = found.where(F.size("keys") > 0).select("id", "n", band.alias("band")).join(groups, "id")
+    # a document weighs its shingles and some more, so that a tile is bounded by documents too
+    docs = found.where(F.size("keys") > 0).select("id", (F.col("n") + WEIGHT).alias("n"), band.alias("band")).join(groups, "id")
     totals = docs.groupBy("root").agg(F.sum("n").alias("whole"))
     docs = docs.join(totals, "root")
     small = docs.where(F.col("whole") <= cell)
