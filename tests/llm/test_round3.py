@@ -316,3 +316,107 @@ def test_piece_encoder_is_the_library(seed):
     ids, counts = two.encoder.encode(pa.array([" " + t for t in texts]))
     edge = np.concatenate([[0], np.cumsum(counts)])
     assert [ids[a:b].tolist() for a, b in itertools.pairwise(edge)] == two.encoder.model.encode(texts)
+
+
+def hot_rows() -> list[tuple]:
+    """Half the identifiers null, a third of the rest repeated."""
+    r = random.Random(6)
+    say = lambda k: " ".join(r.choice("alpha beta gamma delta eps zeta eta theta".split()) for _ in range(k))
+    return [(None if k % 2 else (7 if k % 3 else k), say(r.randrange(1, 60)), 1, "w", 2, "n", 3, "p") for k in range(400)]
+
+
+def test_tokens_of_hot_identifiers_have_one_order(spark):
+    from barloom.llm import token_output
+
+    rows = hot_rows()
+    docs = spark.createDataFrame(rows, DOCS)
+    runs = [sorted(token_output.report(docs.repartition(n)).collect(), key=lambda r: r.start) for n in (2, 5)]
+    assert runs[0] == runs[1] and len(runs[0]) == len(rows)
+    assert [r.start for r in runs[0]] == [0, *itertools.accumulate(r.n_tokens for r in runs[0])][:-1]
+    assert [r.doc_id is None for r in runs[0]] == sorted([r.doc_id is None for r in runs[0]], reverse=True)
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(tokenizer_path())
+    crc = lambda t: zlib.crc32(np.array([*plain.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes())
+    assert Counter((r.doc_id, r.ids_crc32) for r in runs[0]) == Counter((r[0], crc(r[1])) for r in rows)
+
+
+def test_stores_are_known_by_hadoops_names():
+    from barloom.llm import token_output
+
+    named = [token_output.known_uri(u) for u in ("s3a://bucket/x", "s3n://bucket/x", "dbfs:/mnt/x", "dbfs:///mnt/x", "file:///tmp/x", "hdfs://host/x")]
+    assert named == ["s3://bucket/x", "s3://bucket/x", "file:///dbfs/mnt/x", "file:///dbfs/mnt/x", "file:///tmp/x", "hdfs://host/x"]
+    assert token_output._filesystem("file:///tmp/x")[1] == "/tmp/x"
+    with pytest.raises(ValueError, match="no file system"):
+        token_output._filesystem("nowhere://x/y")
+
+
+def test_mix_of_hot_identifiers_spreads_and_agrees(spark):
+    from barloom.llm import mixing
+
+    rows = hot_rows()
+    docs = spark.createDataFrame(rows, DOCS).selectExpr("doc_id", "text", "id", "words AS source")
+    runs = [Counter(map(tuple, mixing.mix(docs.repartition(n)).collect())) for n in (2, 5)]
+    assert runs[0] == runs[1] and sum(runs[0].values()) == len(rows)
+    size = sum(len(WORD.findall(r[1])) for r in rows)
+    assert sum(t * n for (*_, t), n in runs[0].items()) == int(1.5 * size)
+    assert all(taken <= 2 * own for _, own, _, _, taken in runs[0])
+
+
+def test_repeats_of_hot_identifiers(spark):
+    from barloom.llm import substring_dedup
+
+    rows = hot_rows() + [(3, "one two three four five six seven eight nine ten eleven twelve thirteen fourteen", 1, "w", 2, "n", 3, "p")]
+    rows += [(None, "x " + rows[-1][1] + " y", 1, "w", 2, "n", 3, "p"), (5, "z " + rows[-1][1], 1, "w", 2, "n", 3, "p")]
+    got = Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in substring_dedup.report(spark.createDataFrame(rows, DOCS).repartition(4)).collect())
+    key = lambda i: 2**63 if i is None else i
+    least: dict[tuple, int] = {}
+    for i, text, *_ in rows:
+        words = text.split()
+        for k in range(len(words) - 12):
+            w = tuple(words[k : k + 13])
+            least[w] = min(least.get(w, 2**64), key(i))
+    wanted = Counter()
+    for i, text, *_ in rows:
+        words = text.split()
+        gone = {k + j for k in range(len(words) - 12) if least[tuple(words[k : k + 13])] < key(i) for j in range(13)}
+        kept = " ".join(w for k, w in enumerate(words) if k not in gone)
+        wanted[i, len(words), len(gone), hashlib.sha256(kept.encode()).hexdigest()] += 1
+    assert got == wanted and sum(n * c for (_, _, n, _), c in got.items()) > 20
+    assert substring_dedup.doubled(substring_dedup.FIRST, substring_dedup.WINDOW) == [4, 8, 13]
+
+
+def test_variants_of_a_line_are_one_set(spark):
+    """Thousands of case and spacing variants of one short line: equal sets are linked without meeting in tiles."""
+    from barloom.llm import ngram_join
+
+    line = "the quick brown fox jumps over the lazy dog again"
+    rows = [(k, "".join(c.upper() if (k >> j) & 1 else c for j, c in enumerate(line)) + " " * (k >> 12), 1, "w", 2, "n", 3, "p") for k in range(5000)]
+    rows += [(9000, line + " and then it slept", 1, "w", 2, "n", 3, "p"), (9001, "another line that says something else entirely here", 1, "w", 2, "n", 3, "p")]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(spark.createDataFrame(rows, DOCS).repartition(4)).collect()}
+    assert len(got) == len(rows) and all(got[k] == 0 for k in range(5000)) and got[9000] == 9000 and got[9001] == 9001
+
+
+def test_tiles_join_classes_in_any_order():
+    from barloom.llm import ngram_join
+
+    r = random.Random(1)
+    base = [np.unique(np.array([r.getrandbits(64) for _ in range(20)], np.uint64)) for _ in range(6)]
+    sets = []
+    for k in range(120):
+        s = base[k % 6].copy()
+        s[r.randrange(len(s))] = r.getrandbits(64)
+        sets.append(np.unique(s))
+    ids = np.arange(120)
+    links = ngram_join.links_in_tile(ids, ids, sets)
+    label = list(range(120))
+    for a, b in links:
+        low, high = sorted((label[a], label[b]))
+        label = [low if x == high else x for x in label]
+    wanted = list(range(120))
+    for a, b in itertools.combinations(range(120), 2):
+        both = len(np.intersect1d(sets[a], sets[b]))
+        if 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            low, high = sorted((wanted[a], wanted[b]))
+            wanted = [low if x == high else x for x in wanted]
+    assert label == wanted and len(links) == 120 - len(set(label))
