@@ -7,30 +7,31 @@ products and extremes are two-level scans (within blocks of row_id, then over bl
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.columns import finite
-from barloom.operators.metrics import top_share
+from barloom.operators.metrics import BLOCK, meet, top_share
 from barloom.operators.regimes import adapted
+from barloom.staging import settled
 
 PERIODS = 19_656
-BLOCK = 1 << 16
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """row_id from 0 in (ts, ticker) order: offsets by timestamp, then places within it."""
-    stamps = df.groupBy("ts").agg(F.count(F.lit(1)).alias("k"))
-    before = Window.orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
-    stamps = stamps.select("ts", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("at"))
-    place = F.row_number().over(Window.partitionBy("ts").orderBy("ticker")) - 1
-    return df.withColumn("place", place).join(stamps, "ts").withColumn("row_id", (F.col("at") + F.col("place")).cast("long")).drop("at", "place")
+def numbered(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """row_id from 0 in (ts, ticker) order, in each group of `by`: offsets by timestamp, then places within it."""
+    stamps = df.groupBy(*by, "ts").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy(*by).orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    stamps = stamps.select(*by, "ts", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("at"))
+    place = F.row_number().over(Window.partitionBy(*by, "ts").orderBy("ticker")) - 1
+    return df.withColumn("place", place).join(stamps, [*by, "ts"]).withColumn("row_id", (F.col("at") + F.col("place")).cast("long")).drop("at", "place")
 
 
 @dataclass(frozen=True)
@@ -39,9 +40,9 @@ class Rules:
     mu_weight: float = 0.5
     sigma_floor: float = 1e-6
     selection: str = "global_abs"
-    top: float | None = None
+    top: float | Column | None = None
     long_short: float | None = None
-    confidence: float | None = None
+    confidence: float | Column | None = None
     long_threshold: float = 0.55
     short_threshold: float = 0.55
     agree: bool = False
@@ -65,14 +66,14 @@ def with_score(df: DataFrame, rules: Rules) -> DataFrame:
     return df.withColumns({"bad_score": (~finite(F.col("raw"))).cast("int"), "score": F.when(finite(F.col("raw")), F.col("raw")).otherwise(0.0)}).drop("raw")
 
 
-def with_signal(df: DataFrame, rules: Rules) -> DataFrame:
-    """signal in {-1, 0, 1} for every row; with policies, after that of the row's regime (a column of df, null: trending)."""
+def with_signal(df: DataFrame, rules: Rules, by: Sequence[str] = ()) -> DataFrame:
+    """signal in {-1, 0, 1} for every row, shares being those of its group; with policies, after that of the row's regime (a column of df, null: trending)."""
     df = with_score(df, rules)
     up, down, score = F.col("p_up"), F.col("p_down"), F.col("score")
     if rules.selection == "separate_long_short" and rules.long_short is not None:
-        longs = top_share(df, rules.long_short, score).select("row_id", F.lit(1).alias("is_long"))
-        shorts = top_share(df, rules.long_short, -score).select("row_id", F.lit(1).alias("is_short"))
-        df = df.join(longs, "row_id", "left").join(shorts, "row_id", "left")
+        longs = top_share(df, rules.long_short, score, by).select(*by, "row_id", F.lit(1).alias("is_long"))
+        shorts = top_share(df, rules.long_short, -score, by).select(*by, "row_id", F.lit(1).alias("is_short"))
+        df = df.join(longs, [*by, "row_id"], "left").join(shorts, [*by, "row_id"], "left")
         both = F.col("is_long").isNotNull() & F.col("is_short").isNotNull()
         signal = F.when(both, F.when(score >= 0, 1).otherwise(-1)).when(F.col("is_long").isNotNull(), 1).when(F.col("is_short").isNotNull(), -1).otherwise(0)
         df = df.withColumn("signal", signal).drop("is_long", "is_short")
@@ -88,8 +89,8 @@ def with_signal(df: DataFrame, rules: Rules) -> DataFrame:
         df = df.withColumn("signal", signal)
         if rules.top is not None:
             key = F.abs(score) if rules.selection == "global_abs" else F.greatest(up, down)
-            chosen = top_share(df, rules.top, key).select("row_id", F.lit(1).alias("chosen"))
-            df = df.join(chosen, "row_id", "left").withColumn("signal", F.when(F.col("chosen") == 1, F.col("signal")).otherwise(0)).drop("chosen")
+            chosen = top_share(df, rules.top, key, by).select(*by, "row_id", F.lit(1).alias("chosen"))
+            df = df.join(chosen, [*by, "row_id"], "left").withColumn("signal", F.when(F.col("chosen") == 1, F.col("signal")).otherwise(0)).drop("chosen")
     df = df.withColumn("signal", F.when(finite(up) & finite(down), F.col("signal")).otherwise(0))
     if rules.policies is not None:
         regime = F.coalesce("regime", F.lit("trending"))
@@ -97,8 +98,8 @@ def with_signal(df: DataFrame, rules: Rules) -> DataFrame:
     return df.withColumn("signal", -F.col("signal")) if rules.flip else df
 
 
-def shifted(df: DataFrame, column: str, lag: int, name: str) -> DataFrame:
-    """`column` of the row `lag` places before, 0 at the head: a lag within blocks of row_id.
+def shifted(df: DataFrame, column: str, lag: int, name: str, by: Sequence[str] = ()) -> DataFrame:
+    """`column` of the row `lag` places before in its group, 0 at the head: a lag within blocks of row_id.
 
     The last `lag` rows of a block go to the next block as well, so that its first rows see them; df is read once.
     """
@@ -109,14 +110,14 @@ def shifted(df: DataFrame, column: str, lag: int, name: str) -> DataFrame:
     own = F.floor(F.col("row_id") / BLOCK)
     seen = F.when(F.col("row_id") % BLOCK >= BLOCK - lag, F.array(own, own + 1)).otherwise(F.array(own))
     df = df.withColumn("in_block", F.explode(seen))
-    before = F.lag(column, lag).over(Window.partitionBy("in_block").orderBy("row_id"))
+    before = F.lag(column, lag).over(Window.partitionBy(*by, "in_block").orderBy("row_id"))
     return df.withColumn(name, F.coalesce(before, F.lit(0))).where(F.col("in_block") == own).drop("in_block")
 
 
-def executed(df: DataFrame, rules: Rules) -> DataFrame:
-    """Positions after the execution lag, turnover, costs and returns of every row."""
-    df = shifted(with_signal(df, rules), "signal", rules.lag, "position")
-    df = shifted(df, "position", 1, "previous")
+def executed(df: DataFrame, rules: Rules, by: Sequence[str] = ()) -> DataFrame:
+    """Positions after the execution lag, turnover, costs and returns of every row; each group of `by` is a backtest of its own."""
+    df = shifted(with_signal(df, rules, by), "signal", rules.lag, "position", by)
+    df = shifted(df, "position", 1, "previous", by)
     raw = F.when((F.col("close") > 0) & finite(F.col("close")) & finite(F.col("next_close")), (F.col("next_close") - F.col("close")) / F.when(F.col("close") > 0, F.col("close"))).otherwise(0.0)
     df = df.withColumns({"turnover": F.abs(F.col("position") - F.col("previous")).cast("double"), "gross": F.col("position") * raw})
     return df.withColumns(
@@ -124,55 +125,59 @@ def executed(df: DataFrame, rules: Rules) -> DataFrame:
     ).withColumn("net", F.col("gross") - (rules.cost_bps + rules.slippage_bps) / 1e4 * F.col("turnover"))
 
 
-def equity_curve(rows: DataFrame) -> DataFrame:
-    """(row_id, equity, drawdown): compounded net returns from 1.0; drawdown against the running peak, at least the start."""
-    df = rows.select("row_id", "net", F.floor(F.col("row_id") / BLOCK).alias("block"))
-    inner = Window.partitionBy("block").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
+def equity_curve(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, row_id, equity, drawdown): compounded net returns from 1.0; drawdown against the running peak, at least the start."""
+    df = rows.select(*by, "row_id", "net", F.floor(F.col("row_id") / BLOCK).alias("block"))
+    inner = Window.partitionBy(*by, "block").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("grown", F.product(1 + F.col("net")).over(inner))
-    blocks = df.groupBy("block").agg(F.max_by("grown", "row_id").alias("whole"), F.max("grown").alias("top"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.groupBy(*by, "block").agg(F.max_by("grown", "row_id").alias("whole"), F.max("grown").alias("top"))
+    before = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("start", F.coalesce(F.product("whole").over(before), F.lit(1.0)))
     blocks = blocks.withColumn("peak", F.greatest(F.lit(1.0), F.max(F.col("start") * F.col("top")).over(before)))
-    df = df.join(blocks.select("block", "start", "peak"), "block").withColumn("equity", F.col("start") * F.col("grown"))
+    df = df.join(blocks.select(*by, "block", "start", "peak"), [*by, "block"]).withColumn("equity", F.col("start") * F.col("grown"))
     peak = F.greatest("peak", F.max("equity").over(inner))
-    return df.select("row_id", "equity", ((F.col("equity") - peak) / peak).alias("drawdown"))
+    return df.select(*by, "row_id", "equity", ((F.col("equity") - peak) / peak).alias("drawdown"))
 
 
-def summary(rows: DataFrame, periods: int = PERIODS, *more: Column) -> DataFrame:
-    """One row of backtest figures; `more` are further aggregates of the rows."""
+def summary(rows: DataFrame, periods: int = PERIODS, *more: Column, by: Sequence[str] = ()) -> DataFrame:
+    """One row of backtest figures for each group of `by`; `more` are further aggregates of the rows."""
     std = F.stddev_pop("net")
     active = F.col("position") != 0
-    figures = rows.agg(
+    figures = rows.groupBy(*by).agg(
         F.sum("net").alias("net_pnl"), F.sum("gross").alias("gross_pnl"), F.sum("cost").alias("cost_pnl"), F.sum("slippage").alias("slippage_pnl"),
         F.when(std > 0, F.avg("net") / F.when(std > 0, std) * math.sqrt(periods)).otherwise(0.0).alias("sharpe"),
         F.count_if(F.col("turnover") > 0).alias("trades"), F.count_if(F.col("position") > 0).alias("long_bars"),
         F.count_if(F.col("position") < 0).alias("short_bars"), F.count_if(~active).alias("flat_bars"),
         F.coalesce(F.avg(F.when(active, (F.col("net") > 0).cast("double"))), F.lit(0.0)).alias("hit_rate"), *more,
     )
-    curve = equity_curve(rows)
-    return figures.crossJoin(curve.agg(F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"), F.max_by("equity", "row_id").alias("final_equity")))
+    curve = equity_curve(rows, by).groupBy(*by)
+    return meet(figures, curve.agg(F.least(F.min("drawdown"), F.lit(0.0)).alias("max_drawdown"), F.max_by("equity", "row_id").alias("final_equity")), by)
 
 
 def threshold_sweep(df: DataFrame, thresholds: tuple[float, ...] = (0.55, 0.60, 0.65, 0.70)) -> DataFrame:
-    """One row per confidence threshold: the summary's figures."""
-    out = None
-    for t in thresholds:
-        part = summary(executed(df, Rules(confidence=t))).withColumn("threshold", F.lit(t))
-        out = part if out is None else out.unionAll(part)
-    return out
+    """One row per confidence threshold: the summary's figures. The threshold is a key: one pass runs all backtests."""
+    df = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
+    return summary(settled(executed(df, Rules(confidence=F.col("threshold")), ["threshold"])), by=["threshold"])
 
 
 def share_sweep(df: DataFrame, shares: tuple[float, ...] = (0.1, 0.2, 0.4)) -> DataFrame:
-    """One row per share of the strongest signals: the summary's figures."""
-    parts = [summary(executed(df, Rules(top=s))).withColumn("share", F.lit(s)) for s in shares]
-    return reduce(DataFrame.unionAll, parts)
+    """One row per share of the strongest signals: the summary's figures, in one pass."""
+    df = df.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
+    return summary(settled(executed(df, Rules(top=F.col("share")), ["share"])), by=["share"])
 
 
-def equity_returns(curve: DataFrame) -> DataFrame:
-    """(row_id, ret) from the second row on: the step of the equity, 0 where the one before isn't positive or finite."""
-    before = curve.select((F.col("row_id") + 1).alias("row_id"), F.col("equity").alias("before"))
+def bucket_backtests(df: DataFrame, shares: tuple[float, ...] = (0.05, 0.10, 0.20), rules: Rules = Rules()) -> DataFrame:
+    """One row per share of the most confident rows: n and the figures of a backtest of those rows alone, numbered anew."""
+    df = df.withColumn("share", F.explode(F.array(*map(F.lit, shares))))
+    chosen = top_share(df, F.col("share"), F.greatest(F.col("p"), 1 - F.col("p")), ["share"]).drop("row_id")
+    return summary(settled(executed(numbered(settled(chosen), ["share"]), rules, ["share"])), PERIODS, F.count(F.lit(1)).alias("n"), by=["share"])
+
+
+def equity_returns(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by, row_id, ret) from the second row on: the step of the equity, 0 where the one before isn't positive or finite."""
+    before = curve.select(*by, (F.col("row_id") + 1).alias("row_id"), F.col("equity").alias("before"))
     known = (F.col("before") > 0) & finite(F.col("before")) & finite(F.col("equity"))
-    return curve.join(before, "row_id").select("row_id", F.when(known, F.col("equity") / F.when(known, F.col("before")) - 1).otherwise(0.0).alias("ret"))
+    return curve.join(before, [*by, "row_id"]).select(*by, "row_id", F.when(known, F.col("equity") / F.when(known, F.col("before")) - 1).otherwise(0.0).alias("ret"))
 
 
 def market_level(df: DataFrame) -> DataFrame:
@@ -232,31 +237,71 @@ def _fill(want: float, held: float, cap: float, model: Execution) -> float:
     return want if share <= cap else held if model.reject else held + (want - held) * (cap / share)
 
 
-def carried_fills(df: DataFrame, model: Execution = Execution()) -> DataFrame:
-    """filled: the position held after each row, all rows in row_id order being one instrument; needs position and max_pov.
+def _composed(xs: list[float], ys: list[float], want: float, move: float) -> tuple[list[float], list[float]]:
+    """The map x to y, followed by a fill: y goes towards `want` by `move` at most.
 
-    A fill depends on the position before it, which is never beyond 1. A row whose cap allows every move to its position
-    needs no past, so each stretch from such a row to the next is a fold of its own; stretches that begin in the same block
-    of row_id share a task. With a cap so small that no row is free of the past the whole order is one stretch.
+    A fill is flat around `want` and has slope 1 elsewhere; so has what fills are composed to, between nodes.
     """
-    free = model.notional * (1 + F.abs("position")) <= F.col("max_pov")
-    df = df.withColumns({"block": F.floor(F.col("row_id") / BLOCK), "free": F.when(free, F.col("row_id"))})
-    blocks = df.groupBy("block").agg(F.max("free").alias("latest"))
-    blocks = blocks.select("block", F.max("latest").over(Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
-    inner = Window.partitionBy("block").orderBy("row_id").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("start", F.max("free").over(inner)).join(blocks, "block")
-    df = df.withColumn("stretch", F.floor(F.coalesce("start", "before", F.lit(0)) / BLOCK))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    for v in (want - move, want + move):
+        for i in range(1, len(ys)):
+            if ys[i - 1] < v < ys[i]:
+                xs, ys = [*xs[:i], xs[i - 1] + (v - ys[i - 1]), *xs[i:]], [*ys[:i], v, *ys[i:]]
+                break
+    ys = [min(max(want, y - move), y + move) for y in ys]
+    kept = [i for i in range(len(ys)) if not 0 < i < len(ys) - 1 or not ys[i - 1] == ys[i] == ys[i + 1]]
+    return [xs[i] for i in kept], [ys[i] for i in kept]
+
+
+def _block_map(wants: list[float], caps: list[float], model: Execution) -> tuple[list[float], list[float]]:
+    """What a block's rows make of each position held before it: nodes of a piecewise linear map, or a table of -1, 0 and 1."""
+    xs = [-1.0, 0.0, 1.0] if model.reject else [-1.0, 1.0]
+    ys = list(xs)
+    for want, cap in zip(wants, caps, strict=True):
+        if model.reject or ys[0] == ys[-1] or model.notional <= 0:
+            ys = [_fill(want, y, cap, model) for y in ys]
+        else:
+            xs, ys = _composed(xs, ys, want, cap / model.notional)
+        if not model.reject and ys[0] == ys[-1]:
+            xs, ys = [-1.0, 1.0], [ys[0]] * 2  # whatever was held before doesn't matter any more
+    return xs, ys
+
+
+def carried_fills(df: DataFrame, model: Execution = Execution(), by: Sequence[str] = ()) -> DataFrame:
+    """filled: the position held after each row, the rows of a group in row_id order being one instrument; needs position and max_pov.
+
+    A fill depends on the position before it, which is never beyond 1. Each block of row_id is first composed to one
+    map from the position before to the position after it; a fold over one small row per block gives the position that
+    each block begins with, and then blocks are filled each for itself: no task holds more than a block's rows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
+    keys = "".join(f"`{c}` {kinds[c]}, " for c in by)
+    rows = df.select(*by, "row_id", F.col("position").cast("double").alias("position"), "max_pov", F.floor(F.col("row_id") / BLOCK).alias("block"))
+
+    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("row_id")
+        xs, ys = _block_map(pdf["position"].tolist(), pdf["max_pov"].tolist(), model)
+        return pd.DataFrame({**{c: pdf[c].iloc[:1].tolist() for c in by}, "block": [int(pdf["block"].iloc[0])], "xs": [xs], "ys": [ys]})
+
+    def enter(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("block")
         held, out = 0.0, []
+        for xs, ys in zip(pdf["xs"], pdf["ys"], strict=True):
+            out.append(held)
+            held = float(ys[int(np.abs(np.array(xs) - held).argmin())]) if model.reject else float(np.interp(held, xs, ys))
+        return pdf[[*by, "block"]].assign(entry=out)
+
+    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("row_id")
+        held, out = float(pdf["entry"].iloc[0]), []
         for want, cap in zip(pdf["position"].tolist(), pdf["max_pov"].tolist(), strict=True):
-            held = _fill(float(want), held, cap, model)
+            held = _fill(want, held, cap, model)
             out.append(held)
-        return pd.DataFrame({"row_id": pdf["row_id"], "filled": out})
+        return pdf[[*by, "row_id"]].assign(filled=out)
 
-    fills = df.select("stretch", "row_id", F.col("position").cast("double"), "max_pov").groupBy("stretch").applyInPandas(run, "row_id long, filled double")
-    return df.drop("block", "free", "before", "start", "stretch").join(fills, "row_id")
+    maps = rows.groupBy(*by, "block").applyInPandas(compose, f"{keys}block long, xs array<double>, ys array<double>")
+    entries = maps.groupBy(*by).applyInPandas(enter, f"{keys}block long, entry double")
+    fills = rows.join(entries, [*by, "block"]).groupBy(*by, "block").applyInPandas(fill, f"{keys}row_id long, filled double")
+    return df.join(fills, [*by, "row_id"])
 
 
 def executed_with_costs(df: DataFrame, rules: Rules, model: Execution = Execution()) -> DataFrame:
@@ -293,21 +338,5 @@ def audited(report: DataFrame, n: int | Column) -> DataFrame:
 
 
 def partial_fills(df: DataFrame, by: list[str], cap: float = 0.03, notional: float = 0.02, reject: bool = False) -> DataFrame:
-    """filled: the position after partial fills, per group of `by` in row order.
-
-    Each fill depends on the position before it, so a group is one ordered fold; groups (tickers, folds or sweep values)
-    run in parallel, and a group is streamed to the fold by its own task.
-    """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("row_id")
-        held, out = 0.0, []
-        for want in pdf["position"]:
-            share = max(0.0, notional * abs(want - held))
-            part = 0.0 if share <= 1e-12 else 1.0 if share <= cap else 0.0 if reject else cap / share
-            held = want if part == 1.0 else held + (want - held) * part
-            out.append(held)
-        return pdf.assign(filled=out)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", filled double"
-    return df.groupBy(*by).applyInPandas(run, schema)
+    """filled: the position after partial fills under one cap, each group of `by` being an instrument in row order."""
+    return carried_fills(df.withColumn("max_pov", F.lit(cap)), Execution(notional=notional, reject=reject), by).drop("max_pov")

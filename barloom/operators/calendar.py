@@ -22,8 +22,7 @@ def snap_events(events: DataFrame, bars: DataFrame, session: bool = True) -> Dat
     """Each event with bar_ts, the first bar at or after it; events after the last bar go.
 
     With sessions, an event before the open waits for 09:30 of its day or the next day that has bars, and one from the
-    close on for the next such day. Events and timestamps form one ordered line and the next timestamp is read off it:
-    no range join.
+    close on for the next such day. Events join their day's bar times by equality: no range join, and no event is sorted.
     """
     stamps = bars.select(F.col("ts").alias("bar_ts")).distinct()
     anchor = F.col("event_ts")
@@ -33,19 +32,19 @@ def snap_events(events: DataFrame, bars: DataFrame, session: bool = True) -> Dat
         s = second_of_day("event_ts")
         anchor = F.when(s < OPEN_SECOND, day + opening).when(s >= CLOSE_SECOND, day + F.expr("INTERVAL 1 DAY") + opening).otherwise(F.col("event_ts"))
         stamps = stamps.where(second_of_day("bar_ts") >= OPEN_SECOND)
-    events = events.withColumn("at", anchor)
-    carry = F.struct(*[c for c in events.columns if c != "at"])
-    line = events.select("at", carry.alias("event"), F.lit(0).alias("kind"), F.lit(None).cast("timestamp_ntz").alias("bar_ts"))
-    line = line.unionByName(stamps.select(F.col("bar_ts").alias("at"), F.lit(1).alias("kind"), "bar_ts"), allowMissingColumns=True)
-    # the next timestamp lies on the event's day or is the first of a later day that has any: two lookups by day
-    line = line.withColumn("day", F.to_date("at"))
-    within = Window.partitionBy("day").orderBy("at", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    line = line.withColumn("same_day", F.first("bar_ts", ignorenulls=True).over(within))
-    days = line.groupBy("day").agg(F.min("bar_ts").alias("opens"))
+    # a day's bar times are an array (a few hundred at most), so that an event finds its own without being sorted
+    days = stamps.groupBy(F.to_date("bar_ts").alias("day")).agg(F.sort_array(F.collect_list("bar_ts")).alias("times"))
+    span = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
     later = Window.orderBy("day").rowsBetween(1, Window.unboundedFollowing)
-    days = days.withColumn("next_open", F.first("opens", ignorenulls=True).over(later)).drop("opens")
-    found = line.where("kind = 0").join(days, "day").withColumn("bar_ts", F.coalesce("same_day", "next_open"))
-    return found.where("bar_ts is not null").select("event.*", "bar_ts")
+    first_time = F.element_at("times", 1)
+    days = span.join(days, "day", "left").withColumn("next_open", F.first(first_time, ignorenulls=True).over(later))  # one row per day
+    start = stamps.agg(F.min("bar_ts").alias("first_ts"))
+    names = events.columns
+    found = events.withColumn("at", anchor).withColumn("day", F.to_date("at")).join(days, "day", "left").crossJoin(F.broadcast(start))  # one row
+    same_day = F.get(F.filter("times", lambda t: t >= F.col("at")), F.lit(0))
+    before_all = F.when(F.col("at") < F.col("first_ts"), F.col("first_ts"))
+    found = found.withColumn("bar_ts", F.coalesce(same_day, "next_open", before_all))
+    return found.where("bar_ts is not null").select(*names, "bar_ts")
 
 
 def macro_flags(bars: DataFrame, events: DataFrame) -> DataFrame:
@@ -89,17 +88,21 @@ def post_event_flags(bars: DataFrame, snapped: DataFrame, horizons: tuple[int, .
     return df.withColumns(flags).drop("since")
 
 
-def item_decay(bars: DataFrame, snapped: DataFrame, name: str, reach: int = 78, scale: float = 12.0) -> DataFrame:
-    """sec_8k_{name}_recent: exp(-bars since / scale) up to `reach` bars after the latest filing."""
-    df = since_event(bars, snapped)
-    decay = F.when(F.col("since") <= reach, F.exp(-F.col("since") / scale)).otherwise(0.0)
-    return df.withColumn(f"sec_8k_{name}_recent", decay).drop("since")
-
+def all_item_decays(bars: DataFrame, snapped: DataFrame, reach: int = 78, scale: float = 12.0) -> DataFrame:
+    """sec_8k_{name}_recent for each item: exp(-bars since / scale) up to `reach` bars after the ticker's latest filing of it.
 
-def all_item_decays(bars: DataFrame, snapped: DataFrame) -> DataFrame:
+    Filings of all items join the ticker's line as rows, before the bar of the same time: one pass for all of them.
+    """
+    index = bar_index(bars)
+    line = bars.join(index, "ts").withColumn("kind", F.lit(1))
+    acts = snapped.where(F.col("item").isin(*ITEMS)).join(index, snapped["bar_ts"] == index["ts"]).select("ticker", "ts", "bar", "item").distinct().withColumn("kind", F.lit(0))
+    line = line.withColumn("item", F.lit(None).cast("string")).unionByName(acts, allowMissingColumns=True)
+    w = Window.partitionBy("ticker").orderBy("bar", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    decays = {}
     for item, name in ITEMS.items():
-        bars = item_decay(bars, snapped.where(F.col("item") == item), name)
-    return bars
+        since = F.col("bar") - F.last(F.when(F.col("item") == item, F.col("bar")), ignorenulls=True).over(w)
+        decays[f"sec_8k_{name}_recent"] = F.when(since <= reach, F.exp(-since / scale)).otherwise(0.0)
+    return line.withColumns(decays).where("kind = 1").drop("kind", "item", "bar")
 
 
 def pre_event_day(bars: DataFrame, snapped: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
 from barloom.functions.columns import last_rows
+from barloom.staging import settled
 
 
 def TS() -> WindowSpec:
@@ -43,6 +44,32 @@ def volatility_states(features: DataFrame, states: int = 3) -> DataFrame:
     return features.withColumn("state", F.least(F.floor(rank * states / n), F.lit(states - 1)).cast("int"))
 
 
+def kmeans_states(features: DataFrame, states: int = 3, rounds: int = 20, names: Sequence[str] = FEATURES) -> DataFrame:
+    """state: the nearest of `states` centres (the first of equal ones) after `rounds` of k-means over the features.
+
+    Centres start as the means of the parts that volatility_states cuts, so that nothing is drawn by chance; a centre
+    without rows stays where it is. A round is one aggregate of a narrow row per timestamp; the driver holds the centres
+    alone and stops when they don't move.
+    """
+    names = list(names)
+    rows = settled(volatility_states(features, states))
+    means = [F.avg(c).alias(c) for c in names]
+
+    def nearest(at: list[list[float]]) -> Column:
+        away = [sum((F.pow(F.col(c) - x, F.lit(2)) for c, x in zip(names, centre, strict=True)), F.lit(0.0)) for centre in at]
+        return F.array_min(F.array(*[F.struct(a.alias("away"), F.lit(k).alias("state")) for k, a in enumerate(away)])).state
+
+    found = {r["state"]: [r[c] for c in names] for r in rows.groupBy("state").agg(*means).collect()}
+    centres = [found.get(k, [0.0] * len(names)) for k in range(states)]
+    for _ in range(rounds):
+        found = {r["nearest"]: [r[c] for c in names] for r in rows.groupBy(nearest(centres).alias("nearest")).agg(*means).collect()}
+        moved = [found.get(k, centre) for k, centre in enumerate(centres)]
+        if moved == centres:
+            break
+        centres = moved
+    return features.withColumn("state", nearest(centres).cast("int"))
+
+
 def transition_matrix(df: DataFrame, states: int = 3, smoothing: float = 1.0) -> DataFrame:
     """(prev_state, state, p): Laplace-smoothed shares of the next state."""
     pairs = df.select(F.lag("state").over(TS()).alias("prev_state"), "state").where("prev_state is not null").groupBy("prev_state", "state").count()
@@ -174,11 +201,11 @@ def market_regimes(level: DataFrame, fit: DataFrame, states: int = 3, window: in
     """(ts, regime) of the series `level` (ts, close), by a model of the series `fit` alone, so that nothing is learnt from the traded rows.
 
     States come from the fit's rolling spread, their regimes from the fit's decoded path. Both series, a narrow row per
-    timestamp, are persisted, as several steps read them.
+    timestamp, are settled, as several steps read them.
     """
-    learnt = volatility_states(regime_features(fit, window), states).persist()
+    learnt = settled(volatility_states(regime_features(fit, window), states))
     named = state_stats(viterbi(learnt, states).withColumn("state", F.col("decoded"))).select(F.col("state").alias("decoded"), "regime")
-    found = viterbi(regime_features(level, window).persist(), states, fit=learnt)
+    found = viterbi(settled(regime_features(level, window)), states, fit=learnt)
     return found.join(F.broadcast(named), "decoded", "left").select("ts", F.coalesce("regime", F.lit("trending")).alias("regime"))  # one row per state
 
 

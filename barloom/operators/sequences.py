@@ -75,3 +75,14 @@ def split_adjusted(bars: DataFrame, actions: DataFrame) -> DataFrame:
     w = Window.partitionBy("ticker").orderBy(F.col("ts").desc(), F.col("kind").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     both = line.unionByName(acts).withColumn("factor", F.exp(F.sum("log_factor").over(w))).where("kind = 1")
     return both.select("ticker", "ts", *[(F.col(c) / F.col("factor")).alias(c) for c in ("open", "high", "low", "close")], (F.col("volume") * F.col("factor")).alias("volume"))
+
+
+def ticker_subset(df: DataFrame, most: int, seed: int = 42) -> DataFrame:
+    """The rows of `most` tickers (all, if there are no more or most is 0 or less), picked by a seeded hash of the ticker.
+
+    The same tickers whatever the order of rows. Each task keeps its `most` smallest hashes; no more leave it.
+    """
+    if most <= 0:
+        return df
+    names = df.select("ticker").distinct().orderBy(F.md5(F.concat(F.lit(f"{seed}:"), "ticker")), "ticker").limit(most)
+    return df.join(names, "ticker", "left_semi")

@@ -109,9 +109,16 @@ def embargo_last(rows: DataFrame, bars: int) -> DataFrame:
 
 
 def embargo_first(rows: DataFrame, bars: int) -> DataFrame:
-    """Drops the first `bars` rows of each fold's test slice, all tickers pooled."""
-    w = Window.partitionBy("fold").orderBy("ts", "ticker")
-    return rows.where(F.col("split") == "test").withColumn("rn", F.row_number().over(w)).where(F.col("rn") > bars).drop("rn")
+    """Drops the first `bars` rows of each fold's test slice, all tickers pooled, by (ts, ticker).
+
+    A row's place is the number of rows at earlier timestamps (one narrow row each) and its place within its own.
+    """
+    rows = rows.where(F.col("split") == "test")
+    stamps = rows.groupBy("fold", "ts").agg(F.count(F.lit(1)).alias("k"))
+    before = Window.partitionBy("fold").orderBy("ts").rowsBetween(Window.unboundedPreceding, -1)
+    stamps = stamps.select("fold", "ts", F.coalesce(F.sum("k").over(before), F.lit(0)).alias("ahead"))
+    place = F.row_number().over(Window.partitionBy("fold", "ts").orderBy("ticker"))
+    return rows.withColumn("place", place).join(stamps, ["fold", "ts"]).where(F.col("ahead") + F.col("place") > bars).drop("ahead", "place")
 
 
 def assembled(df: DataFrame, features: list[str], target: str = "label") -> DataFrame:

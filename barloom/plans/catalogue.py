@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from barloom.functions.columns import sigmoid
-from barloom.operators import backtest, baselines, calendar, event_grid, features, labels, losses, market, metrics, quality, regimes, sequences, splits, stats
+from barloom.operators import backtest, baselines, calendar, event_grid, features, labels, losses, market, metrics, quality, regimes, sequences, splits, stats, walk_forward
 from barloom.sources import bars as source
+from barloom.staging import settled
 
 HOUR = "'1' HOUR"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,7 +75,7 @@ def predictions(spark, d):
         "label", F.col("next_log_return").alias("ret"), F.round(p, 9).alias("p"),
         F.round(1e-3 * F.col("cs_log_return_zscore"), 9).alias("mu"), F.round(F.greatest("rolling_volatility", F.lit(1e-4)), 9).alias("sigma"),
     ).withColumns({"p_up": F.col("p"), "p_down": 1 - F.col("p"), "log_scale": F.ln(F.expm1("sigma")), "score": F.col("mu") / F.col("sigma")})
-    return backtest.numbered(df).persist()  # the backtests read it several times
+    return settled(backtest.numbered(df))  # the backtests read it several times
 
 
 @query
@@ -534,7 +535,8 @@ def ladder_baselines(spark, d):
 @query
 def execution_costs(spark, d):
     df = predictions(spark, d)
-    return shown(backtest.execution_costs(df, F.abs("score") * 0.02, df.count()), "row_id", "bar_type", "max_pov", "penalty", "filled", "spread_bps", "impact_bps", "total_bps")
+    df = df.crossJoin(F.broadcast(df.agg(F.count(F.lit(1)).alias("total"))))  # exactly one row
+    return shown(backtest.execution_costs(df, F.abs("score") * 0.02, F.col("total")), "row_id", "bar_type", "max_pov", "penalty", "filled", "spread_bps", "impact_bps", "total_bps")
 
 
 @query
@@ -560,7 +562,7 @@ def regime_trades(spark, d):
     rows = splits.split_global_time(predictions(spark, d).drop("row_id"))
     traded = rows.where("split <> 'train'")
     found = regimes.market_regimes(backtest.market_level(traded), backtest.market_level(rows.where("split = 'train'")))
-    return backtest.numbered(traded.join(found, "ts", "left")).persist()  # as the predictions
+    return settled(backtest.numbered(traded.join(found, "ts", "left")))  # as the predictions
 
 
 @query
@@ -633,7 +635,7 @@ def strategies(spark, d):
     for name, rules in (("all", backtest.Rules()), ("top", backtest.Rules(top=0.4)), ("flip", backtest.Rules(flip=True))):
         part = backtest.executed(df, rules).select(F.lit(name).alias("strategy"), F.col("row_id").alias("t"), F.col("net").alias("ret"))
         out = part if out is None else out.unionAll(part)
-    return out
+    return settled(out)  # the bootstraps read it several times
 
 
 @query
@@ -644,3 +646,85 @@ def bootstrap_rc(spark, d):
 @query
 def bootstrap_spa(spark, d):
     return shown(stats.spa_test(strategies(spark, d), 500))
+
+
+WALK_FEATURES = ("log_return", "close_position", "relative_volume", "rolling_volatility")
+
+
+def walk_forward_scores(spark, d):
+    scores = walk_forward.fold_scores(labelled_h(spark, d), folds(spark, d), WALK_FEATURES, embargo=2)
+    return scores.withColumn("p", F.round("p", 9))
+
+
+@query
+def walk_forward_evaluation(spark, d):
+    return shown(
+        walk_forward.fold_reports(walk_forward_scores(spark, d)),
+        "fold", "test_rows", "first_ts", "last_ts", "accuracy", "balanced_accuracy", "brier", "auc", "ece", "net_pnl", "sharpe", "trades", "long_bars", "short_bars", "hit_rate", "max_drawdown",
+    )
+
+
+@query
+def walk_forward_summary(spark, d):
+    return shown(walk_forward.evaluation_summary(walk_forward.fold_reports(walk_forward_scores(spark, d))))
+
+
+#: Feature families in the order in which the ablation adds them.
+FAMILIES = (
+    ("base_price_only", features.BASE), ("plus_volume", features.VOLUME), ("plus_market", features.MARKET), ("plus_time", features.TIME),
+    ("plus_cross_sectional", ("cs_log_return_rank", "cs_log_return_zscore")),
+)
+
+
+@query
+def ablation_ridge(spark, d):
+    rows = market.cross_section(split_h(spark, d), ["log_return"])
+    found = walk_forward.ablation(rows.where("split = 'train'"), rows.where("split = 'test'"), FAMILIES, "next_log_return")
+    return shown(found, "stage", "n_features", "n", "mae", "rmse", "corr")
+
+
+@query
+def calibrated_scores(spark, d):
+    df = predictions(spark, d).withColumn("bucket", F.col("ticker"))
+    found = metrics.calibrated_scores(df, metrics.isotonic_steps(df), metrics.temperature_scaling(df, ["bucket"], 50))
+    return shown(found, "row_id", "p", "p_temperature", "p_isotonic")
+
+
+@query
+def metric_bundle(spark, d):
+    return shown(metrics.metric_bundle(predictions(spark, d)))
+
+
+@query
+def bucket_backtests(spark, d):
+    return shown(backtest.bucket_backtests(predictions(spark, d)), "share", "n", "net_pnl", "sharpe", "trades", "long_bars", "short_bars", "hit_rate", "max_drawdown")
+
+
+@query
+def selection_bias_controls(spark, d):
+    df, thresholds = predictions(spark, d), (0.55, 0.60, 0.65, 0.70)
+    by = ["strategy"]
+    main = df.withColumn("strategy", F.lit("primary"))
+    swept = df.select("*", F.explode(F.array(*map(F.lit, thresholds))).alias("threshold")).withColumn("strategy", F.col("threshold").cast("string"))
+    rows = backtest.executed(main, backtest.Rules(top=0.4), by).select("strategy", "row_id", "net", "gross", "cost", "slippage", "turnover", "position")
+    rows = settled(rows.unionByName(backtest.executed(swept, backtest.Rules(confidence=F.col("threshold")), by).select(*rows.columns)))
+    returns = backtest.equity_returns(backtest.equity_curve(rows, by), by).select("strategy", F.col("row_id").alias("t"), "ret")
+    return shown(stats.selection_bias(returns, backtest.summary(rows, by=by).select("sharpe"), "primary"))
+
+
+@query
+def ticker_subset(spark, d):
+    panel = bars_h(spark, d).withColumn("ticker", F.concat_ws("-", "ticker", F.hour("ts")))
+    return shown(sequences.ticker_subset(panel, 7, 42), "ticker", "ts", "close")
+
+
+@query
+def regime_kmeans(spark, d):
+    return shown(regimes.kmeans_states(regimes.regime_features(proxy(spark, d))), "ts", "state")
+
+
+@query
+def event_composition(spark, d):
+    df = predictions(spark, d).withColumns({"p_event": F.least(F.lit(1.0), F.abs("ret") * 20), "p_direction": F.col("p"), "label3": F.when(F.abs("ret") < 0.02, 1).when(F.col("ret") > 0, 2).otherwise(0)})
+    rows = metrics.directional_rows(metrics.event_composition(df))
+    return shown(rows, "row_id", "label", "p_up", "p_down", "p_neutral", "confidence", "p")

@@ -5,6 +5,9 @@ from __future__ import annotations
 import math
 import re
 
+from barloom.operators import features
+from barloom.operators.stats import EULER, NEAR, NORMAL, POISSON, PRIME, TAIL, A, B, C
+
 SEQ = "PARTITION BY ticker, seq_id ORDER BY ts"
 TICKER = "PARTITION BY ticker ORDER BY ts"
 
@@ -172,9 +175,9 @@ STEPS = {
     "sta": "SELECT *, least(floor((row_number() OVER (ORDER BY round(vol, 12), ts) - 1) * 3 / count(*) OVER ()), 2)::INT AS state FROM reg",
     "pv": "SELECT ticker || '-' || h AS test_id, round(1 / (1 + abs(m) * 100), 9) AS p_value FROM (SELECT ticker, hour(ts) AS h, avg(ret) AS m FROM pred GROUP BY ALL)",
     "strat": "SELECT 'all' AS strategy, row_id AS t, net AS ret FROM ex_all UNION ALL SELECT 'top', row_id, net FROM ex_top UNION ALL SELECT 'flip', row_id, net FROM ex_flip",
-    "draws": """SELECT s.strategy, rep, o.x FROM (SELECT strategy, t, rep, ((t * 48271 + rep * 69621 + 16807) % 2147483647 * 48271) % 2147483647 % n AS k
-        FROM (SELECT *, count(*) OVER (PARTITION BY strategy) AS n FROM strat), range(500) r(rep)) s
-        JOIN (SELECT strategy, t, ret - avg(ret) OVER (PARTITION BY strategy) AS x FROM strat) o ON o.strategy = s.strategy AND o.t = s.k""",
+    "draws": f"""SELECT strategy, rep, sum(c)::DOUBLE AS n, sum(c * x) AS s1, sum(c * x * x) AS s2 FROM (SELECT strategy, rep, x, {' + '.join(f"(z / {PRIME}::DOUBLE >= {c!r}::DOUBLE)::INT" for c in POISSON)} AS c
+        FROM (SELECT strategy, rep, x, (z * z + {A}) % {PRIME} AS z FROM (SELECT strategy, rep, x, (z * z + rep * {B}) % {PRIME} AS z FROM (SELECT strategy, rep, ret - avg(ret) OVER (PARTITION BY strategy) AS x, (t * {A} + rep * {B} + {C}) % {PRIME} AS z
+        FROM strat, range(500) r(rep))))) WHERE c > 0 GROUP BY strategy, rep""",
 }
 
 
@@ -196,11 +199,14 @@ def with_steps(sql: str, recursive: bool = False) -> str:
     return f"WITH {'RECURSIVE ' if recursive else ''}{steps}\n{sql}" if steps else sql
 
 
-def out(source: str, columns: str, where: str = "") -> str:
-    """A projection: d: doubles rounded, t: times as text, i: integers as BIGINT."""
+def picked(columns: str) -> str:
+    """Expressions of a projection: d: doubles rounded, t: times as text, i: integers as BIGINT."""
     kinds = {"d": "round({}, 6) + 0.0::DOUBLE AS {}", "t": "{}::VARCHAR AS {}", "i": "({})::BIGINT AS {}", "s": "{} AS {}"}
-    picked = [kinds[c[0]].format(c[2:], c[2:]) if c[1:2] == ":" else c for c in columns.split()]
-    return with_steps(f"SELECT {', '.join(picked)} FROM {source}{' WHERE ' + where if where else ''}")
+    return ", ".join(kinds[c[0]].format(c[2:], c[2:]) if c[1:2] == ":" else c for c in columns.split())
+
+
+def out(source: str, columns: str, where: str = "") -> str:
+    return with_steps(f"SELECT {picked(columns)} FROM {source}{' WHERE ' + where if where else ''}")
 
 
 def doubles(names) -> str:
@@ -444,6 +450,93 @@ ORACLE_SQL: dict[str, str] = {
     "regime_policy": with_steps("SELECT row_id::BIGINT AS row_id, CASE row_id % 3 WHEN 0 THEN pos WHEN 1 THEN -pos ELSE CASE WHEN greatest(p_up, p_down) >= 0.7 THEN pos ELSE 0 END END::BIGINT AS position FROM (SELECT *, CASE WHEN p_up > p_down THEN 1 ELSE -1 END AS pos FROM pred)"),
     "bh_fdr": out("""(SELECT test_id, p_value, rank, rank <= l AS rejected, l / m * 0.9::DOUBLE AS threshold FROM (SELECT *, coalesce(max(rank) FILTER (p_value <= rank / m * 0.9::DOUBLE) OVER (), 0) AS l FROM (SELECT *, row_number() OVER (ORDER BY p_value, test_id) AS rank, count(*) OVER () AS m FROM pv)))""", "test_id d:p_value i:rank rejected d:threshold"),
     "return_moments": out("""(SELECT n, m AS mean, sd AS std, m / sd AS sharpe, m3 / pow(sd, 3) AS skew, m4 / pow(sd, 4) AS kurt FROM (SELECT count(*) AS n, any_value(m) AS m, any_value(sd) AS sd, avg(pow(net - m, 3)) AS m3, avg(pow(net - m, 4)) AS m4 FROM ex_top, (SELECT avg(net) AS m, stddev_pop(net) AS sd FROM ex_top)))""", "i:n " + doubles("mean std sharpe skew kurt".split())),
-    "bootstrap_rc": out("(SELECT observed, avg((m >= observed)::INT::DOUBLE) AS p_value FROM (SELECT rep, max(m) AS m FROM (SELECT strategy, rep, avg(x) AS m FROM draws GROUP BY ALL) GROUP BY rep), (SELECT max(m) AS observed FROM (SELECT avg(ret) AS m FROM strat GROUP BY strategy)) GROUP BY observed)", "d:observed d:p_value"),
-    "bootstrap_spa": out("(SELECT observed, avg((s >= observed)::INT::DOUBLE) AS p_value FROM (SELECT rep, greatest(0, max(s)) AS s FROM (SELECT strategy, rep, avg(x) / greatest(stddev_pop(x), 1e-8) * sqrt(count(*)) AS s FROM draws GROUP BY ALL) GROUP BY rep), (SELECT greatest(0, max(s)) AS observed FROM (SELECT avg(ret) / greatest(stddev_pop(ret), 1e-8) * sqrt(count(*)) AS s FROM strat GROUP BY strategy)) GROUP BY observed)", "d:observed d:p_value"),
+    "bootstrap_rc": out("(SELECT observed, avg((m >= observed)::INT::DOUBLE) AS p_value FROM (SELECT rep, max(m) AS m FROM (SELECT strategy, rep, s1 / n AS m FROM draws) GROUP BY rep), (SELECT max(m) AS observed FROM (SELECT avg(ret) AS m FROM strat GROUP BY strategy)) GROUP BY observed)", "d:observed d:p_value"),
+    "bootstrap_spa": out("(SELECT observed, avg((s >= observed)::INT::DOUBLE) AS p_value FROM (SELECT rep, greatest(0, max(s)) AS s FROM (SELECT strategy, rep, s1 / n / greatest(sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0)), 1e-8) * sqrt(n) AS s FROM draws) GROUP BY rep), (SELECT greatest(0, max(s)) AS observed FROM (SELECT avg(ret) / greatest(stddev_pop(ret), 1e-8) * sqrt(count(*)) AS s FROM strat GROUP BY strategy)) GROUP BY observed)", "d:observed d:p_value"),
 }
+
+
+def ridge_steps(rows: str, names: list[str], target: str, by: str, sizes: list[int]) -> str:
+    """Steps fit(by, size, w, b): ridge fits on the first `size` of the features, by elimination on their standardised co-moments."""
+    b = f"{by}, " if by else ""
+    m = len(names)
+    pairs = ", ".join("[" + ", ".join(f"covar_pop({x}, {y})" for y in (*names, target)) + "]" for x in names)
+    return f"""mom AS (SELECT {b}n, mean, cov, list_transform(range(1, {m + 1}), lambda i: greatest(sqrt(cov[i][i]), 1e-8::DOUBLE)) AS sd
+            FROM (SELECT {b}count(*) AS n, [{', '.join(f'avg({c})' for c in (*names, target))}] AS mean, [{pairs}] AS cov FROM {rows}{f' GROUP BY {by}' if by else ''})),
+        elim AS (SELECT {b}size, 0 AS k, list_transform(range(1, size + 1), lambda i: list_append(list_transform(range(1, size + 1), lambda j: cov[i][j] / (sd[i] * sd[j]) * n + CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0 END), cov[i][{m + 1}] / sd[i] * n)) AS a
+            FROM mom, (SELECT unnest({sizes}) AS size)
+            UNION ALL SELECT {b}size, k + 1, list_transform(range(1, size + 1), lambda i: list_transform(range(1, size + 2), lambda j: CASE WHEN i = k + 1 THEN a[i][j] / a[i][i] ELSE a[i][j] - a[i][k + 1] / a[k + 1][k + 1] * a[k + 1][j] END)) FROM elim WHERE k < size),
+        fit AS (SELECT {b}size, w, mean[{m + 1}] - list_sum(list_transform(range(1, size + 1), lambda i: w[i] * mean[i])) AS b FROM (
+            SELECT {b}size, mean, list_transform(range(1, size + 1), lambda i: a[i][size + 1] / sd[i]) AS w FROM elim JOIN mom {f'USING ({by})' if by else 'ON true'} WHERE k = size))"""
+
+
+WALK = ["log_return", "close_position", "relative_volume", "rolling_volatility"]
+_WALK_STEPS = f"""wrow AS (SELECT fold, split, lab.*, row_number() OVER (PARTITION BY fold, split, ticker ORDER BY ts DESC) AS back FROM lab JOIN fold ON ts::DATE BETWEEN first_day AND last_day),
+        wtrain AS (SELECT * FROM wrow WHERE split = 'train' AND back > 2), {ridge_steps('wtrain', WALK, 'label', 'fold', [len(WALK)])},
+        scored AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY ts, ticker) - 1 AS row_id FROM (SELECT r.fold, ticker, ts, label, close, next_close, round(least(greatest(b + {' + '.join(f'w[{i + 1}] * {c}' for i, c in enumerate(WALK))}, 1e-6), 1 - 1e-6), 9) AS p
+            FROM wrow r JOIN fit USING (fold) WHERE split = 'test')),
+        traded AS (SELECT *, position * (next_close - close) / close - 1.5 / 1e4 * turnover AS net FROM (SELECT *, abs(position - lag(position, 1, 0) OVER (PARTITION BY fold ORDER BY row_id))::DOUBLE AS turnover
+            FROM (SELECT *, lag(sign(2 * p - 1), 1, 0) OVER (PARTITION BY fold ORDER BY row_id) AS position FROM scored))),
+        grown AS (SELECT fold, row_id, product(1 + net) OVER (PARTITION BY fold ORDER BY row_id ROWS UNBOUNDED PRECEDING) AS equity FROM traded),
+        drawn AS (SELECT fold, least(min((equity - peak) / peak), 0) AS max_drawdown FROM (SELECT *, greatest(1.0, max(equity) OVER (PARTITION BY fold ORDER BY row_id ROWS UNBOUNDED PRECEDING)) AS peak FROM grown) GROUP BY fold),
+        ranked AS (SELECT fold, (sum(rk) FILTER (label = 1) - npos * (npos + 1) / 2) / (npos * (n - npos)) AS auc FROM (SELECT *, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2 AS rk,
+            sum(label) OVER (PARTITION BY fold)::DOUBLE AS npos, count(*) OVER (PARTITION BY fold) AS n FROM scored) GROUP BY fold, npos, n),
+        cells AS (SELECT fold, sum(n * abs(acc - conf)) / sum(n) AS ece FROM (SELECT fold, least(floor(p * 10), 9) AS bin, count(*) AS n, avg(label) AS acc, avg(p) AS conf FROM scored GROUP BY ALL) GROUP BY fold),
+        reports AS (SELECT fold, test_rows, first_ts, last_ts, accuracy, (tp / nullif(tp + fn, 0) + tn / nullif(tn + fp, 0)) / 2 AS balanced_accuracy, brier, auc, ece, net_pnl, sharpe, trades, long_bars, short_bars, hit_rate, max_drawdown
+            FROM (SELECT fold, count(*) AS test_rows, min(ts) AS first_ts, max(ts) AS last_ts, avg({HIT}) AS accuracy, avg(pow(p - label, 2)) AS brier, count(*) FILTER (p >= 0.5 AND label = 1) AS tp, count(*) FILTER (p >= 0.5 AND label = 0) AS fp,
+                count(*) FILTER (p < 0.5 AND label = 0) AS tn, count(*) FILTER (p < 0.5 AND label = 1) AS fn FROM scored GROUP BY fold)
+            JOIN (SELECT fold, sum(net) AS net_pnl, avg(net) / stddev_pop(net) * sqrt(19656) AS sharpe, count(*) FILTER (turnover > 0) AS trades, count(*) FILTER (position > 0) AS long_bars, count(*) FILTER (position < 0) AS short_bars,
+                coalesce(avg((net > 0)::INT::DOUBLE) FILTER (position <> 0), 0) AS hit_rate FROM traded GROUP BY fold) USING (fold) JOIN drawn USING (fold) JOIN ranked USING (fold) JOIN cells USING (fold))"""
+
+
+ORACLE_SQL["walk_forward_evaluation"] = recursive(_WALK_STEPS, "SELECT " + picked("i:fold i:test_rows t:first_ts t:last_ts " + doubles("accuracy balanced_accuracy brier auc ece net_pnl sharpe".split()) + " i:trades i:long_bars i:short_bars d:hit_rate d:max_drawdown") + " FROM reports")
+ORACLE_SQL["walk_forward_summary"] = recursive(_WALK_STEPS, "SELECT " + picked("i:fold_count i:test_total_rows " + doubles("test_mean_rows auc_mean auc_std accuracy_mean accuracy_std sharpe_mean".split())) + """ FROM (
+    SELECT count(*) AS fold_count, sum(test_rows) AS test_total_rows, avg(test_rows) AS test_mean_rows, avg(auc) AS auc_mean, stddev_pop(auc) AS auc_std, avg(accuracy) AS accuracy_mean, stddev_pop(accuracy) AS accuracy_std, avg(sharpe) AS sharpe_mean FROM reports)""")
+
+_STAGES = (("base_price_only", features.BASE), ("plus_volume", features.VOLUME), ("plus_market", features.MARKET), ("plus_time", features.TIME), ("plus_cross_sectional", ("cs_rank", "cs_z")))
+_NAMES = [c for _, family in _STAGES for c in family]
+_SIZES = [sum(len(f) for _, f in _STAGES[: k + 1]) for k in range(len(_STAGES))]
+ORACLE_SQL["ablation_ridge"] = recursive(
+    f"""crow AS (SELECT *, {rank01('log_return')} AS cs_rank, {zscore('log_return')} AS cs_z FROM spl), ctrain AS (SELECT * FROM crow WHERE split = 'train'), {ridge_steps('ctrain', _NAMES, 'r', '', _SIZES)},
+        guessed AS (SELECT size, r, b + list_sum(list_transform(range(1, size + 1), lambda i: w[i] * f[i])) AS guess FROM (SELECT r, [{', '.join(_NAMES)}] AS f FROM crow WHERE split = 'test'), fit)""",
+    f"""SELECT {picked('stage i:n_features i:n d:mae d:rmse d:corr')} FROM (SELECT CASE size {' '.join(f"WHEN {n} THEN '{s}'" for n, (s, _) in zip(_SIZES, _STAGES, strict=True))} END AS stage,
+        size AS n_features, count(*) AS n, avg(abs(guess - r)) AS mae, sqrt(avg(pow(guess - r, 2))) AS rmse, corr(guess, r) AS corr FROM guessed GROUP BY size)""",
+)
+ORACLE_SQL["calibrated_scores"] = f"""SELECT row_id::BIGINT AS row_id, round(p, 6) + 0.0::DOUBLE AS p, round(1 / (1 + exp(-ln(q / (1 - q)) / temperature)), 6) + 0.0::DOUBLE AS p_temperature,
+    round(coalesce(reached, top), 6) + 0.0::DOUBLE AS p_isotonic FROM (SELECT x.*, {P_SAFE} AS q, t.temperature, (SELECT arg_min(value, step) FROM ({ORACLE_SQL['isotonic_bucket'].replace('round(upper, 6) + 0.0::DOUBLE', 'upper').replace('round(value, 6) + 0.0::DOUBLE', 'value')}) s WHERE s.bucket = x.ticker AND s.upper >= x.p) AS reached,
+    (SELECT arg_max(value, step) FROM ({ORACLE_SQL['isotonic_bucket'].replace('round(upper, 6) + 0.0::DOUBLE', 'upper').replace('round(value, 6) + 0.0::DOUBLE', 'value')}) s WHERE s.bucket = x.ticker) AS top
+    FROM ({with_steps('SELECT * FROM pred')}) x JOIN ({ORACLE_SQL['bucket_temperature'].replace('round(temperature, 6) + 0.0::DOUBLE', 'temperature')}) t ON t.bucket = x.ticker)"""
+ORACLE_SQL["metric_bundle"] = "SELECT * FROM " + ", ".join(f"({ORACLE_SQL[f'metrics_{n}']})" for n in ("confusion", "auc", "ap", "ece", "returns"))
+ORACLE_SQL["bucket_backtests"] = " UNION ALL ".join(
+    "SELECT * FROM (" + with_steps(f"""SELECT {q}::DOUBLE AS share, count(*) AS n, round(sum(net), 6) + 0.0::DOUBLE AS net_pnl, round(avg(net) / stddev_pop(net) * sqrt(19656), 6) + 0.0::DOUBLE AS sharpe, count(*) FILTER (turnover > 0) AS trades,
+        count(*) FILTER (position > 0) AS long_bars, count(*) FILTER (position < 0) AS short_bars, round(coalesce(avg((net > 0)::INT::DOUBLE) FILTER (position <> 0), 0), 6) + 0.0::DOUBLE AS hit_rate, round(least(min(dd), 0), 6) + 0.0::DOUBLE AS max_drawdown
+        FROM (SELECT *, equity / greatest(1.0, max(equity) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM (SELECT *, product(1 + net) OVER (ORDER BY row_id ROWS UNBOUNDED PRECEDING) AS equity
+        FROM (SELECT *, position * (next_close - close) / close - 1.5 / 1e4 * turnover AS net FROM (SELECT *, abs(position - lag(position, 1, 0) OVER (ORDER BY row_id))::DOUBLE AS turnover FROM (
+        SELECT *, lag({by_sign(EDGE)}, 1, 0) OVER (ORDER BY row_id) AS position FROM (SELECT *, {in_top(q, 'greatest(p, 1 - p)')} AS chosen FROM pred) WHERE chosen)))))""") + ")"
+    for q in (0.05, 0.1, 0.2)
+)
+_TAIL_SQL = lambda z: f"(exp(-({z}) * ({z}) / 2) / sqrt({TWO_PI}::DOUBLE) * (" + " + ".join(f"({c})::DOUBLE * pow(1 / (1 + {NEAR}::DOUBLE * abs({z})), {i + 1})" for i, c in enumerate(TAIL)) + "))"
+_UPPER = lambda z: f"CASE WHEN ({z}) >= 0 THEN {_TAIL_SQL(z)} ELSE 1 - {_TAIL_SQL(z)} END"
+_LUCK = (1 - EULER) * NORMAL.inv_cdf(1 - 1 / 5) + EULER * NORMAL.inv_cdf(1 - 1 / (5 * math.e))
+_TRIALS = " UNION ALL ".join(f"SELECT '{n}' AS strategy, row_id, net FROM {ex}" for n, ex in [("primary", "ex_top"), *[(f"{c}", f"ex_{int(c * 100)}") for c in (0.55, 0.6, 0.65, 0.7)]])
+_OWN = STEPS["draws"].replace("FROM strat, range(500) r(rep)", "FROM own, range(500) r(rep)")
+ORACLE_SQL["selection_bias_controls"] = "WITH " + ",\n".join([*[f"{n} AS ({STEPS[n]})" for n in needed(_TRIALS)], f"trial AS ({_TRIALS})", "own AS (SELECT strategy, row_id AS t, net AS ret FROM trial WHERE row_id > 0)", f"drawn AS ({_OWN})"]) + f"""
+SELECT round(sr, 6) + 0.0::DOUBLE AS observed_sharpe, round(benchmark, 6) + 0.0::DOUBLE AS benchmark_sharpe, round(z, 6) + 0.0::DOUBLE AS z, round({_UPPER('z')}, 6) + 0.0::DOUBLE AS p_value, trials, n AS sample_length,
+    round(rc, 6) + 0.0::DOUBLE AS reality_check_p, round(spa, 6) + 0.0::DOUBLE AS spa_p, candidates, discoveries
+FROM (SELECT *, (sr - benchmark) * sqrt(greatest(2, n) - 1) / sqrt(greatest(1e-8, 1 - skew * sr + (kurt - 1) * sr * sr / 4)) AS z FROM
+    (SELECT count(*) AS n, any_value(m) / any_value(sd) AS sr, avg(pow(ret - m, 3)) / pow(any_value(sd), 3) AS skew, avg(pow(ret - m, 4)) / pow(any_value(sd), 4) AS kurt FROM own, (SELECT avg(ret) AS m, stddev_pop(ret) AS sd FROM own WHERE strategy = 'primary') WHERE strategy = 'primary'),
+    (SELECT avg(s) + greatest(stddev_pop(s), 1e-8) * {_LUCK!r}::DOUBLE AS benchmark, count(*) AS trials FROM (SELECT avg(net) / stddev_pop(net) * sqrt(19656) AS s FROM trial GROUP BY strategy)),
+    (SELECT avg((m >= o)::INT::DOUBLE) AS rc FROM (SELECT rep, max(s1 / n) AS m FROM drawn GROUP BY rep), (SELECT max(m) AS o FROM (SELECT avg(ret) AS m FROM own GROUP BY strategy))),
+    (SELECT avg((s >= o)::INT::DOUBLE) AS spa FROM (SELECT rep, greatest(0, max(s1 / n / greatest(sqrt(greatest(s2 / n - (s1 / n) * (s1 / n), 0)), 1e-8) * sqrt(n))) AS s FROM drawn GROUP BY rep), (SELECT greatest(0, max(m)) AS o FROM (SELECT avg(ret) / greatest(stddev_pop(ret), 1e-8) * sqrt(count(*)) AS m FROM own GROUP BY strategy))),
+    (SELECT count(*) AS candidates, coalesce(max(rank) FILTER (p <= rank / 5.0::DOUBLE * 0.1), 0)::BIGINT AS discoveries FROM (SELECT p, row_number() OVER (ORDER BY p, strategy) AS rank FROM (SELECT strategy, {_UPPER('m')} AS p FROM (SELECT strategy, avg(ret) / sqrt(greatest(1e-12, var_samp(ret)) / count(*)) AS m FROM own GROUP BY strategy)))))"""
+ORACLE_SQL["ticker_subset"] = out("(SELECT * FROM (SELECT ticker || '-' || hour(ts) AS ticker, ts, close FROM bars) WHERE ticker IN (SELECT ticker FROM (SELECT DISTINCT ticker || '-' || hour(ts) AS ticker FROM bars) ORDER BY md5('42:' || ticker), ticker LIMIT 7))", "ticker t:ts d:close")
+_AWAY = [" + ".join(f"pow({c} - c{k}_{c}, 2)" for c in ("z_return", "z_vol", "z_lag")) for k in range(3)]
+_NEAREST = f"CASE WHEN {_AWAY[0]} <= {_AWAY[1]} AND {_AWAY[0]} <= {_AWAY[2]} THEN 0 WHEN {_AWAY[1]} <= {_AWAY[2]} THEN 1 ELSE 2 END"
+_CENTRES = [(k, c) for k in range(3) for c in ("z_return", "z_vol", "z_lag")]
+ORACLE_SQL["regime_kmeans"] = recursive(
+    f"""km AS (SELECT 0 AS it, {', '.join(f'avg({c}) FILTER (state = {k}) AS c{k}_{c}' for k, c in _CENTRES)} FROM sta
+        UNION ALL SELECT it + 1, {', '.join(f'coalesce(avg({c}) FILTER (a = {k}), any_value(c{k}_{c}))' for k, c in _CENTRES)} FROM (SELECT *, {_NEAREST} AS a FROM km, reg WHERE it < 20) GROUP BY it)""",
+    f"SELECT ts::VARCHAR AS ts, ({_NEAREST})::BIGINT AS state FROM km, reg WHERE it = 20",
+)
+ORACLE_SQL["event_composition"] = out("""(SELECT row_id, (r > 0)::INT AS label, p_up, p_down, p_neutral, greatest(p_up, p_down) AS confidence, CASE WHEN p_up + p_down > 1e-8 THEN p_up / (p_up + p_down) ELSE 0.5 END AS p
+    FROM (SELECT row_id, ret AS r, least(greatest(e * p, 0), 1) AS p_up, least(greatest(e * (1 - p), 0), 1) AS p_down, least(greatest(1 - e, 0), 1) AS p_neutral FROM (SELECT *, least(1.0::DOUBLE, abs(ret) * 20) AS e FROM pred)) WHERE abs(r) >= 0.02)""",
+    "i:row_id i:label d:p_up d:p_down d:p_neutral d:confidence d:p")

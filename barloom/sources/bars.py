@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.operators import quality
+
 PRICES = ("open", "high", "low", "close")
 #: The header of a ticker's file: fixed names.
 CSV_SCHEMA = "`<DATE>` string, `<TIME>` string, `<OPEN>` double, `<HIGH>` double, `<LOW>` double, `<CLOSE>` double, `<VOL>` double"
@@ -82,3 +84,25 @@ def read_csv_bars(spark: SparkSession, paths: str | list[str]) -> DataFrame:
         *[F.col(f"`<{n.upper()}>`").alias(n) for n in PRICES],
         F.col("`<VOL>`").alias("volume"),
     )
+
+
+def benchmark_path(spark: SparkSession, root: str, ticker: str) -> str | None:
+    """The path of a benchmark's file under a root: the file's name is the ticker up to its first dot, in any case.
+
+    Of several the least path is taken, so that the choice doesn't hang on the listing's order; None without any.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.where(F.lower(F.split(name, r"\.")[0]) == ticker.strip().lower()).agg(F.min("path")).first()[0]
+
+
+def benchmark_bars(spark: SparkSession, root: str, ticker: str, source_zone: str = "UTC", market_zone: str = "America/New_York") -> DataFrame:
+    """Clean bars of one benchmark in market time, within sessions: only its own file is read. Without a file: no rows.
+
+    Rows with a fault go.
+    """
+    path = benchmark_path(spark, root, ticker)
+    if path is None:
+        return spark.createDataFrame([], "ticker string, ts timestamp_ntz, open double, high double, low double, close double, volume double")
+    clean = quality.valid_bars(read_csv_bars(spark, path))
+    return quality.to_market_time(clean, source_zone, market_zone).where(quality.in_session())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,12 +68,26 @@ def membership(raw: DataFrame) -> DataFrame:
     return rows.where("ticker <> '' and coalesce(active, '1') not in ('0', 'false', 'no')").select("ticker").distinct()
 
 
+def row_place(raw: DataFrame) -> Column:
+    """A row's place in the order of its files: path, where its split of the file begins, and its place in the split.
+
+    Splits of a file may be read in any order and packed with those of other files, so their numbers say nothing. A
+    table that isn't read from files has the order of its partitions.
+    """
+    within = F.monotonically_increasing_id()
+    try:
+        raw.select("_metadata.file_path", "_metadata.file_block_start")
+    except AnalysisException:
+        return F.struct(within)
+    return F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), within)
+
+
 def sector_map(raw: DataFrame) -> DataFrame:
-    """(ticker, sector); of several rows for a ticker the one later in the file wins."""
+    """(ticker, sector); of several rows for a ticker the one later in the file wins, of several files the later by path."""
     rows = raw.select(
         F.upper(F.trim(first_of(raw, ("ticker", "symbol")))).alias("ticker"),
         F.trim(first_of(raw, ("sector", "gics_sector"))).alias("sector"),
-        F.monotonically_increasing_id().alias("at"),
+        row_place(raw).alias("at"),
     )
     return rows.where("ticker <> '' and sector <> ''").groupBy("ticker").agg(F.max_by("sector", "at").alias("sector"))
 
