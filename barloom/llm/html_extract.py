@@ -39,7 +39,9 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)",
     re.S,
 )
-NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: An attribute with its value; attributes are read one after the other, so that a name inside a value isn't one.
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NAMING = frozenset(("class", "id", "role"))
 RAW = frozenset("script style noscript template textarea title iframe svg head".split())
 SIGNS = np.zeros(256, bool)
 SIGNS[[ord(c) for c in ".,;:!?"]] = True
@@ -131,7 +133,9 @@ class Blocks:
                         break
             if tag not in VOID and not m[3].endswith("/"):
                 names = [tag]
-                for n in NAMES.finditer(m[3]):
+                for n in ATTRIBUTE.finditer(m[3]) if "=" in m[3] else ():
+                    if n[1].lower() not in NAMING:
+                        continue
                     names += [f".{x}" for x in re.split(r"[\s_-]+", (n[2] or n[3] or n[4] or "").lower()) if x]
                 push(tag, names)
         close()
@@ -252,8 +256,8 @@ class Labeller:
             grads |= {f"{d}h": gh, f"{d}x": np.einsum("tbd,tbg->dg", xs, dz_all), f"{d}c": dz_all.sum(axis=(0, 1))}
         return grads
 
-    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 12, batch: int = 24, rate: float = 0.01, seed: int = 3) -> Labeller:
-        """Adam on the mean log loss of each batch's blocks; pages of similar length share a batch."""
+    def fit(self, pages: list[tuple[np.ndarray, np.ndarray]], epochs: int = 14, batch: int = 24, rate: float = 0.012, seed: int = 3) -> Labeller:
+        """Adam on the mean log loss of each batch's blocks, at a falling rate; pages of similar length share a batch."""
         pages = sorted((p for p in pages if len(p[0])), key=lambda p: len(p[0]))
         groups = [pages[k : k + batch] for k in range(0, len(pages), batch)]
         r = random.Random(seed)
@@ -268,10 +272,11 @@ class Labeller:
                 y = np.zeros(mask.shape, np.float32)
                 for b, (_, labels) in enumerate(g):
                     y[: len(labels), b] = labels
+                now = rate * max(0.05, 1 - step / (epochs * len(groups) + 1))
                 for k, d in self._gradients(x, mask, y).items():
                     m[k] = 0.9 * m[k] + 0.1 * d
                     v[k] = 0.99 * v[k] + 0.01 * d * d
-                    self.p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+                    self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
         return self
 
 
@@ -288,8 +293,13 @@ def padded(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 MARK = "\uf8f0"
 
 
-def made_page(r: random.Random, telling: bool = True) -> str:
-    """A page of a random layout, for training, with its main blocks marked; not telling: tags and names say nothing."""
+def made_page(r: random.Random, telling: bool = True, main_told: bool | None = None) -> str:
+    """A page of a random layout, for training, with its main blocks marked.
+
+    telling: the tags and names around other blocks say what they are; main_told (as telling, if not given): those of
+    the main container do. What says nothing is a div with a random name, or several in one another.
+    """
+    main_told = telling if main_told is None else main_told
     word = lambda: "".join(r.choice(("ka", "lo", "mi", "ren", "to", "shi", "ba", "den", "or")) for _ in range(r.randint(1, 4)))
     say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize()
     own = lambda a, b: MARK + say(a, b)
@@ -309,18 +319,31 @@ def made_page(r: random.Random, telling: bool = True) -> str:
         f"<{r.choice(('section', 'div'))} {r.choice(('id', 'class'))}='comments'><h3>{say(1, 3)}</h3>" + "".join(f"<div class='comment'><p>{say(5, 40)}.</p></div>" for _ in range(r.randint(1, 4))) + "</section>",
         f"<div class='{r.choice(('newsletter', 'subscribe', 'share'))}'>{say(3, 10)}</div>",
     ]
-    open_, shut = r.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>"), ("<div id='main'><article>", "</article></div>"), ("<main><div class='post'>", "</div></main>")))
+    if not main_told:
+        depth = r.randint(1, 4)
+        open_, shut = "".join(f"<div class='{word()}'>" if r.random() < 0.7 else "<div>" for _ in range(depth)), "</div>" * depth
+    else:
+        open_, shut = r.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>"), ("<div id='main'><article>", "</article></div>"), ("<main><div class='post'>", "</div></main>")))
     inner = [para() for _ in range(r.randint(0, 14))]
     for k in range(len(inner)):
-        if r.random() < 0.1:
-            inner[k] += r.choice((f"<h2>{own(2, 6)}</h2>", f"<ul><li>{own(3, 12)}</li><li>{own(3, 12)}</li></ul>", f"<blockquote>{own(6, 20)}.</blockquote>", f"<div class='ad'>{say(3, 9)}.</div>", f"<table><tr><td>{own(1, 4)}</td></tr></table>"))
+        if r.random() < 0.2:
+            item = lambda a, b: f"<li>{own(a, b)}</li>" if r.random() < 0.7 else f"<li>{MARK}<a href='/{word()}'>{say(a, b)}</a></li>"
+            cells = "".join(f"<tr><td>{own(1, 3)}</td><td>{own(1, 4)}</td></tr>" for _ in range(r.randint(1, 4)))
+            inner[k] += r.choice((
+                f"<h2>{own(2, 6)}</h2>", f"<ul>{item(3, 12)}{item(3, 12)}</ul>", f"<ul>{''.join(item(1, 3) for _ in range(r.randint(2, 6)))}</ul>", f"<blockquote>{own(6, 20)}.</blockquote>",
+                f"<div class='ad'>{say(3, 9)}.</div>", f"<table>{cells}</table>", f"<div>{own(4, 30)}.</div>",
+            ))
     chosen, after = [x for x in outer if r.random() < 0.5], [x for x in tail if r.random() < 0.4]
     r.shuffle(after)
-    foot = f"<footer>&copy; {word()}.example &middot; {say(3, 12)}.</footer>" if r.random() < 0.8 else ""
+    claim = r.choice(("&copy;", f"Copyright {r.randint(1995, 2030)}", "Copyright &copy;"))
+    foot = f"<footer>{r.choice(('', '<p>'))}{claim} {word()}{r.choice(('.example &middot;', '. All rights reserved.', '|'))} {say(3, 12)}.</footer>" if r.random() < 0.8 else ""
     page = f"<html><head><title>{say(2, 6)}</title></head><body>{''.join(chosen)}{open_}<h1>{own(2, 9)}</h1>{''.join(inner)}{shut}{''.join(after)}{foot}</body></html>"
     if not telling:
-        page = re.sub(r"</?(?:nav|header|aside|article|main|footer|section)\b", lambda m: "</div" if m[0][1] == "/" else "<div", page)
-        page = re.sub(r"(class|id)='[^']*'", lambda m: f"class='{word()}'", page)
+        start = page.index(open_ + "<h1>")
+        end = page.index(shut, page.rindex(MARK)) if MARK in page else len(page)
+        blank = lambda part: re.sub(r"(class|id)='[^']*'", lambda m: f"class='{word()}'", re.sub(r"</?(?:nav|header|aside|footer|section)\b", lambda m: "</div" if m[0][1] == "/" else "<div", part))
+        body = page[start:end].replace("class='ad'", f"class='{word()}'")
+        page = blank(page[:start]) + body + blank(page[end:])
     return page[: r.randint(len(page) // 2, len(page))] if r.random() < 0.1 else page
 
 
@@ -334,10 +357,10 @@ def truth(blocks: Blocks) -> np.ndarray:
     return labels
 
 
-def made(n: int, seed: int, telling: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+def made(n: int, seed: int, telling: bool, main_told: bool | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
     r, out = random.Random(seed), []
     for _ in range(n):
-        blocks = Blocks(made_page(r, telling))
+        blocks = Blocks(made_page(r, telling, main_told))
         labels = truth(blocks)
         out.append((features(blocks), labels))
     return out
@@ -346,7 +369,8 @@ def made(n: int, seed: int, telling: bool) -> list[tuple[np.ndarray, np.ndarray]
 def trained(pages: DataFrame | None = None, html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Labeller:
     """A labeller fitted to generated pages and a bounded sample of the table's: those of at most sample_chars characters
     with the smallest hashes, whatever the order of the rows. The same table gives the same model."""
-    examples = made(MADE_PAGES, 5, True) + made(MADE_PAGES // 2, 6, False)
+    half = MADE_PAGES // 2
+    examples = made(half, 5, True) + made(MADE_PAGES, 6, False) + made(half, 7, True, False) + made(half // 2, 8, False, True)
     if pages is not None:
         few = pages.select(F.col(html_col).cast("string").alias("h")).where(F.col("h").isNotNull() & (F.length("h") <= sample_chars))
         few = few.select("h", F.xxhash64("h").alias("k"))
