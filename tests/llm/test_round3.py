@@ -420,3 +420,67 @@ def test_tiles_join_classes_in_any_order():
             low, high = sorted((wanted[a], wanted[b]))
             wanted = [low if x == high else x for x in wanted]
     assert label == wanted and len(links) == 120 - len(set(label))
+
+
+ENGLISH = (
+    "time people way water words day part number sound place year work name home small end house mother world school food study night light idea "
+    "mountain price market city garden music letter river winter summer paper engine bridge doctor student"
+).split()
+
+
+def english_page(r: random.Random, mark: str) -> str:
+    """A page made apart from the labeller's own: English words, nested divs whose names say nothing or mislead, short lists, tables."""
+    say = lambda a, b: " ".join(r.choice(ENGLISH) for _ in range(r.randint(a, b))).capitalize()
+    names = lambda: r.choice(["", f" class='sc-{r.getrandbits(20):x}'", f" class='css-{r.getrandbits(20):x} x{r.randrange(9)}'", f" data-id='comment-{r.randrange(99)}'", " data-class='sidebar'"])
+    wrap = lambda s, k: "".join(f"<div{names()}>" for _ in range(k)) + s + "</div>" * k
+    links = lambda n: "<ul>" + "".join(f"<li><a href='#'>{say(1, 3)}</a></li>" for _ in range(n)) + "</ul>"
+    top = [wrap(links(r.randint(3, 7)), r.randint(1, 3)), wrap("<p>We use cookies to improve this site. Accept all cookies?</p><button>Accept</button>", r.randint(1, 2)), wrap(f"<a href='/'>{say(1, 2)}</a>", 1)]
+    end = [wrap(f"<p>Copyright 2024 {say(1, 2)}. All rights reserved.</p>", r.randint(1, 2)), wrap("<h3>Related</h3>" + links(r.randint(2, 5)), r.randint(1, 3)), wrap("<form><label>Subscribe to our newsletter</label></form>", 1)]
+    body = [f"<h1>{mark}{say(3, 8)}</h1>"]
+    for _ in range(r.randint(3, 12)):
+        body.append(
+            r.choice(
+                [lambda: f"<p>{mark}{say(12, 60)}. {say(8, 30)}.</p>"] * 7
+                + [
+                    lambda: "<ul>" + "".join(f"<li>{mark}{say(1, 4)}</li>" for _ in range(r.randint(2, 5))) + "</ul>",
+                    lambda: f"<h2>{mark}{say(2, 5)}</h2><p>{mark}{say(15, 40)}.</p>",
+                    lambda: "<table>" + "".join(f"<tr><td>{mark}{say(1, 2)}</td><td>{mark}{say(1, 3)}</td></tr>" for _ in range(r.randint(2, 4))) + "</table>",
+                ]
+            )()
+        )
+    r.shuffle(top), r.shuffle(end)
+    return "<html><body>" + "".join(x for x in top if r.random() < 0.8) + wrap("".join(body), r.randint(1, 4)) + "".join(x for x in end if r.random() < 0.8) + "</body></html>"
+
+
+def test_articles_without_telling_names():
+    from barloom.llm import html_extract
+
+    model, r = html_extract.trained(), random.Random(1)
+    right = wrong = 0
+    for _ in range(200):
+        blocks = html_extract.Blocks(english_page(r, html_extract.MARK))
+        main = html_extract.truth(blocks) > 0
+        got = html_extract.label(model, [blocks])[0] >= 0.5
+        right, wrong = right + 2 * int((got & main).sum()), wrong + int((got != main).sum())
+    assert right / (right + wrong) > 0.95  # F1
+
+    def kept(page: str) -> list[str]:
+        blocks = html_extract.Blocks(page)
+        return [t for t, s in zip(blocks.texts, html_extract.label(model, [blocks])[0], strict=True) if s >= 0.5]
+
+    article = ["The long winter of the north", "The snow came early that year and nobody in the valley had stored enough wood for the months ahead of them.",
+               "By the middle of the season the road was closed, and the letters that people sent came back unopened.", "When spring arrived at last they counted what was left and began again."]
+    body = f"<h1>{article[0]}</h1>" + "".join(f"<p>{t}</p>" for t in article[1:])
+    around = "<div class='ck'><p>We use cookies on this site. Accept?</p></div><div class='mn'><ul><li><a href='/'>Home</a></li><li><a href='/a'>About</a></li></ul></div>"
+    assert kept(f"<body>{around}<div class='sc-a'>{body}</div><div class='ft'><p>Copyright 2024 Example. All rights reserved.</p></div></body>") == article
+    assert kept(f"<article data-id='comment-ad' data-class='sidebar'>{body}</article>") == kept(f"<article data-id='17'>{body}</article>") == article
+    soup = ["Soup", "Take a large pot and fill it with water, then wait until it boils.", "salt", "flour", "two onions", "Cook it for an hour and serve it hot to all of your friends."]
+    assert kept(f"<article><h1>{soup[0]}</h1><p>{soup[1]}</p><ul><li>salt</li><li><a href='/f'>flour</a></li><li>two onions</li></ul><p>{soup[5]}</p></article>") == soup
+
+
+def test_only_own_attributes_name_a_tag():
+    from barloom.llm.html_extract import Blocks
+
+    told = lambda tag: Blocks(f"<{tag}>x</div>").told[0]
+    assert told("div class=sidebar") == told('div  CLASS = "a sidebar"') == told("div title='x' id='sidebar'") != 0
+    assert told("div data-class='sidebar'") == told("div title=\"class='sidebar'\"") == told("div xid=sidebar") == told("div") == 0
