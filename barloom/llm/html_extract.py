@@ -28,7 +28,7 @@ SAMPLE_PAGES = 200
 #: Characters of a page of the sample, at most: what the driver holds is bounded. Such pages are labelled like any other.
 SAMPLE_CHARS = 50_000
 MADE_PAGES = 500
-PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 96, 24, 8
+PATH_DIMS, WORD_DIMS, SHAPE_DIMS = 256, 24, 8
 DIMS = PATH_DIMS + WORD_DIMS + SHAPE_DIMS
 HIDDEN = 16
 #: Bytes of pages that are labelled at once; a longer page is labelled alone, in some ten times its bytes of memory.
@@ -324,7 +324,7 @@ def made_page(r: random.Random, telling: bool = True, main_told: bool | None = N
         open_, shut = "".join(f"<div class='{word()}'>" if r.random() < 0.7 else "<div>" for _ in range(depth)), "</div>" * depth
     else:
         open_, shut = r.choice((("<article>", "</article>"), ("<article>", "</article>"), ("<main>", "</main>"), ("<div class='content'>", "</div>"), ("<div id='main'><article>", "</article></div>"), ("<main><div class='post'>", "</div></main>")))
-    inner = [para() for _ in range(r.randint(0, 14))]
+    inner = [para() for _ in range(r.randint(0, 14) if r.random() < 0.95 else r.randint(30, 90))]
     for k in range(len(inner)):
         if r.random() < 0.2:
             item = lambda a, b: f"<li>{own(a, b)}</li>" if r.random() < 0.7 else f"<li>{MARK}<a href='/{word()}'>{say(a, b)}</a></li>"
@@ -333,10 +333,11 @@ def made_page(r: random.Random, telling: bool = True, main_told: bool | None = N
                 f"<h2>{own(2, 6)}</h2>", f"<ul>{item(3, 12)}{item(3, 12)}</ul>", f"<ul>{''.join(item(1, 3) for _ in range(r.randint(2, 6)))}</ul>", f"<blockquote>{own(6, 20)}.</blockquote>",
                 f"<div class='ad'>{say(3, 9)}.</div>", f"<table>{cells}</table>", f"<div>{own(4, 30)}.</div>",
             ))
-    chosen, after = [x for x in outer if r.random() < 0.5], [x for x in tail if r.random() < 0.4]
+    bare = r.random() < 0.1  # nothing follows the main blocks
+    chosen, after = [x for x in outer if r.random() < 0.5], [x for x in tail if r.random() < 0.4 and not bare]
     r.shuffle(after)
     claim = r.choice(("&copy;", f"Copyright {r.randint(1995, 2030)}", "Copyright &copy;"))
-    foot = f"<footer>{r.choice(('', '<p>'))}{claim} {word()}{r.choice(('.example &middot;', '. All rights reserved.', '|'))} {say(3, 12)}.</footer>" if r.random() < 0.8 else ""
+    foot = f"<footer>{r.choice(('', '<p>'))}{claim} {word()}{r.choice(('.example &middot;', '. All rights reserved.', '|'))} {say(3, 12)}.</footer>" if r.random() < 0.85 and not bare else ""
     page = f"<html><head><title>{say(2, 6)}</title></head><body>{''.join(chosen)}{open_}<h1>{own(2, 9)}</h1>{''.join(inner)}{shut}{''.join(after)}{foot}</body></html>"
     if not telling:
         start = page.index(open_ + "<h1>")
