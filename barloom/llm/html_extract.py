@@ -303,7 +303,7 @@ def made_page(r: random.Random, telling: bool = True, main_told: bool | None = N
     word = lambda: "".join(r.choice(("ka", "lo", "mi", "ren", "to", "shi", "ba", "den", "or")) for _ in range(r.randint(1, 4)))
     say = lambda a, b: " ".join(word() for _ in range(r.randint(a, b))).capitalize()
     own = lambda a, b: MARK + say(a, b)
-    para = lambda: f"<p>{'<b>' if r.random() < 0.2 else ''}{own(8, 60)}.{'' if r.random() < 0.2 else '</p>'}"
+    para = lambda: f"<p>{'<b>' if r.random() < 0.2 else ''}{own(8, 60) if not main_told or r.random() < 0.94 else own(1, 4)}.{'' if r.random() < 0.2 else '</p>'}"
     links = lambda n: "".join(f"<li><a href='/{word()}'>{say(1, 3)}</a></li>" for _ in range(n))
     outer = [
         f"<nav><ul>{links(r.randint(2, 8))}</ul></nav>",
