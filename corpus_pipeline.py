@@ -76,7 +76,8 @@ STAGES = [
     ("token-ID / binary output", tokens),
 ]
 
-#: A trained classifier and a tokenizer have no SQL: tests/llm compares the stages with brute-force versions.
+#: A trained classifier and a tokenizer have no SQL. tests/llm compares the join, decontamination, mixing and tokens with
+#: brute-force versions, and the first stage with the classifier's own scores.
 ORACLE_SQL = None
 
 

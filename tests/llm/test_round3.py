@@ -486,3 +486,48 @@ def test_only_own_attributes_name_a_tag():
     told = lambda tag: Blocks(f"<{tag}>x</div>").told[0]
     assert told("div class=sidebar") == told('div  CLASS = "a sidebar"') == told("div title='x' id='sidebar'") != 0
     assert told("div data-class='sidebar'") == told("div title=\"class='sidebar'\"") == told("div xid=sidebar") == told("div") == 0
+
+
+def brute_mix(rows: list[tuple]) -> dict:
+    """taken by identifier: targets by water-filling, documents in the order of their keys, counted word by word."""
+    size = {i: len(WORD.findall(t or "")) for i, t, _ in rows}
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(sources)}
+    own = {s: sum(size[i] for i, _, x in rows if x == s) for s in sources}
+    left, open_, target = 1.5 * sum(own.values()), list(sources), {}
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        full = [s for s in open_ if level * weight[s] > 2 * own[s]]
+        for s in full or open_:
+            target[s] = 2.0 * own[s] if full else level * weight[s]
+            left -= target[s]
+            open_ = [x for x in open_ if x != s]
+    taken = {}
+    for s in sources:
+        mine = [(hashlib.sha256(f"mix-1:{i}:{hashlib.md5((t or '').encode()).hexdigest()}".encode()).hexdigest()[:15], i) for i, t, x in rows if x == s]
+        budget = int(target[s] + 1e-6)
+        whole, rest = divmod(budget, own[s]) if own[s] else (0, 0)
+        for _, i in sorted(mine):
+            part = min(size[i], rest)
+            taken[i], rest = whole * size[i] + part, rest - part
+    return taken
+
+
+def test_last_stages_by_brute_force(spark):
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    from barloom.llm.common import read, stage
+
+    docs = read(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    mixed = stage(corpus_pipeline.mixed(spark, docs, ""), "t")
+    taken = brute_mix(rows)
+    wanted = Counter({i: -(-taken[i] // n) if (n := len(WORD.findall(t or ""))) else 1 for i, t, _ in rows})
+    assert Counter(r.doc_id for r in mixed.collect()) == +wanted
+    plain = Tokenizer.from_file(tokenizer_path())
+    text, start = {i: t or "" for i, t, _ in rows}, 0
+    for r in sorted(corpus_pipeline.tokens(spark, mixed, "").collect(), key=lambda r: r.start):
+        ids = [*plain.encode(text[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
