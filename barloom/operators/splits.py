@@ -7,6 +7,7 @@ from operator import or_
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 from pyspark.sql.window import Window
 
 from barloom.functions.columns import sequence_window, truncated
@@ -46,6 +47,21 @@ def split_overlap(df: DataFrame) -> DataFrame:
     return overlap.crossJoin(ordered)  # one row each
 
 
+def contamination(df: DataFrame) -> DataFrame:
+    """Per split: n, and shared, its rows at timestamps that another split has too; risky where there are any.
+
+    Cross-sectional features of such a timestamp are taken over rows of several splits.
+    """
+    stamps = df.groupBy("ts").agg((F.count_distinct("split") > 1).alias("mixed"))
+    rows = df.join(stamps, "ts").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.count_if("mixed").alias("shared"))
+    return rows.withColumn("risky", F.col("shared") > 0)
+
+
+def feature_columns(df: DataFrame, reserved: tuple[str, ...] = ("ticker", "ts", "close", "next_close", "label", "split")) -> list[str]:
+    """The numeric columns in order of their names, without the reserved ones: what datasets take where none are named."""
+    return sorted(f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in reserved)
+
+
 def normalised(df: DataFrame, columns: list[str]) -> DataFrame:
     """z-scores by the train split's mean and population std (at least 1e-8); statistics are one broadcast row."""
     train = df.where(F.col("split") == "train")

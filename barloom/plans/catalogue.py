@@ -728,3 +728,21 @@ def event_composition(spark, d):
     df = predictions(spark, d).withColumns({"p_event": F.least(F.lit(1.0), F.abs("ret") * 20), "p_direction": F.col("p"), "label3": F.when(F.abs("ret") < 0.02, 1).when(F.col("ret") > 0, 2).otherwise(0)})
     rows = metrics.directional_rows(metrics.event_composition(df))
     return shown(rows, "row_id", "label", "p_up", "p_down", "p_neutral", "confidence", "p")
+
+
+@query
+def loss_multitask(spark, d):
+    third = F.col("row_id") % 3 == 0
+    df = predictions(spark, d).withColumns(
+        {
+            "label": F.when(F.col("row_id") % 5 != 0, F.col("label")), "p_event": F.least(F.lit(0.9), F.abs("mu") * 200 + 0.05), "p_direction": 0.2 + 0.6 * F.col("p"),
+            "event_label": F.when(~third, (F.abs("ret") > 0.02).cast("int")), "event_magnitude": F.abs("ret") * 30, "threshold_label": F.when(third, F.lit(1)),
+            "p3": F.array(0.8 * (1 - F.col("p")), F.lit(0.2), 0.8 * F.col("p")), "ret": F.when(F.col("row_id") % 7 != 0, F.col("ret")),
+        }
+    )
+    return shown(losses.multitask_loss(df))
+
+
+@query
+def split_contamination(spark, d):
+    return shown(splits.contamination(splits.split_per_ticker(sequences_h(spark, d))))

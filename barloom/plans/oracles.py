@@ -540,3 +540,22 @@ ORACLE_SQL["regime_kmeans"] = recursive(
 ORACLE_SQL["event_composition"] = out("""(SELECT row_id, (r > 0)::INT AS label, p_up, p_down, p_neutral, greatest(p_up, p_down) AS confidence, CASE WHEN p_up + p_down > 1e-8 THEN p_up / (p_up + p_down) ELSE 0.5 END AS p
     FROM (SELECT row_id, ret AS r, least(greatest(e * p, 0), 1) AS p_up, least(greatest(e * (1 - p), 0), 1) AS p_down, least(greatest(1 - e, 0), 1) AS p_neutral FROM (SELECT *, least(1.0::DOUBLE, abs(ret) * 20) AS e FROM pred)) WHERE abs(r) >= 0.02)""",
     "i:row_id i:label d:p_up d:p_down d:p_neutral d:confidence d:p")
+_CE = lambda p, y: f"CASE WHEN {y} >= 0.5 THEN -ln(least(greatest({p}, 1e-7), 1 - 1e-7)) WHEN {y} < 0.5 THEN -ln(1 - least(greatest({p}, 1e-7), 1 - 1e-7)) END"
+_SIG = lambda x: f"(1 / (1 + exp(-({x}))))"
+_LOSSES = {
+    "direction": (1.0, f"avg({_CE('p', 'y')})"), "event": (0.5, f"avg({_CE('pe', 'e')} * pow(1 - CASE WHEN e >= 0.5 THEN pe ELSE 1 - pe END, 2) * least(greatest(m, 0), 2))"),
+    "event_direction": (0.5, f"avg(CASE WHEN e >= 0.5 THEN ({_CE('pd', 'y')}) * least(greatest(m, 0), 2) END)"),
+    "regression": (1.0, "avg(CASE WHEN abs(mu - g) < 1 THEN pow(mu - g, 2) / 2 ELSE abs(mu - g) - 0.5 END)"),
+    "score_alignment": (0.1, "avg(CASE WHEN g <> 0 THEN ln(1 + exp(-mu / greatest(s, 0.1) * CASE WHEN l < 0 THEN -1 ELSE 1 END * sign(g))) END)"), "volatility": (0.1, "avg(pow(greatest(abs(mu) / s - 2.5, 0), 2))"),
+    "cross_section": (0.1, "avg(pow(greatest(abs(mu - mm) - 2.5, 0), 2))"), "calibration": (0.1, f"avg(CASE WHEN y IS NOT NULL THEN pow({_SIG('abs(l)')} - {_SIG('l * sign(mu)')}, 2) END)"),
+    "threshold": (0.25, "avg(-ln(greatest(CASE coalesce(tl, CASE WHEN g < -0.0005 THEN 0 WHEN g > 0.0005 THEN 2 WHEN g IS NOT NULL THEN 1 END) WHEN 0 THEN 0.8::DOUBLE * (1 - p) WHEN 1 THEN 0.2 WHEN 2 THEN 0.8::DOUBLE * p END, 1e-7)))"),
+}
+ORACLE_SQL["loss_multitask"] = with_steps(f"""SELECT {', '.join(f'round({n}, 6) + 0.0::DOUBLE AS {n}_loss' for n in _LOSSES)}, round(rank, 6) + 0.0::DOUBLE AS rank_loss, round(smoothness, 6) + 0.0::DOUBLE AS smoothness_loss,
+    round({' + '.join(f'{w}::DOUBLE * {n}' for n, (w, _) in _LOSSES.items())} + 0.1::DOUBLE * rank + 0.1::DOUBLE * smoothness, 6) + 0.0::DOUBLE AS total FROM
+    (SELECT {', '.join(f'coalesce({c}, 0) AS {n}' for n, (_, c) in _LOSSES.items())} FROM (SELECT p, mu, ln(1 + exp(log_scale)) + 1e-6 AS s, ln({P_SAFE.replace('1e-6', '1e-7')} / (1 - {P_SAFE.replace('1e-6', '1e-7')})) AS l, avg(mu) OVER () AS mm, CASE WHEN row_id % 5 <> 0 THEN label END AS y,
+        CASE WHEN row_id % 7 <> 0 THEN ret END AS g, least(0.9::DOUBLE, abs(mu) * 200 + 0.05::DOUBLE) AS pe, 0.2::DOUBLE + 0.6::DOUBLE * p AS pd, CASE WHEN row_id % 3 <> 0 THEN (abs(ret) > 0.02)::INT END AS e, abs(ret) * 30 AS m, CASE WHEN row_id % 3 = 0 THEN 1 END AS tl FROM pred)),
+    (SELECT coalesce(avg(ln(1 + exp(-(a.mu - b.mu)))), 0) AS rank FROM pred a JOIN pred b USING (ts) WHERE a.ret > b.ret AND a.row_id % 7 <> 0 AND b.row_id % 7 <> 0),
+    (SELECT coalesce(avg(pow(mu - b, 2)), 0) AS smoothness FROM (SELECT mu, lag(mu) OVER ({TICKER}) AS b, date_diff('second', lag(ts) OVER ({TICKER}), ts) AS gap FROM pred) WHERE gap BETWEEN 0 AND 3600)""")
+ORACLE_SQL["split_contamination"] = with_steps("""SELECT split, count(*) AS n, count(*) FILTER (k > 1) AS shared, count(*) FILTER (k > 1) > 0 AS risky FROM (SELECT split, count(DISTINCT split) OVER (PARTITION BY ts) AS k FROM (SELECT s.ts, p.split FROM seq s JOIN
+    (SELECT ticker, seq_id, CASE WHEN b < floor(n * 0.7::DOUBLE) THEN 'train' WHEN b < floor(n * (0.7::DOUBLE + 0.15::DOUBLE)) THEN 'val' ELSE 'test' END AS split
+    FROM (SELECT *, coalesce(sum(k) OVER (PARTITION BY ticker ORDER BY f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b, sum(k) OVER (PARTITION BY ticker) AS n FROM (SELECT ticker, seq_id, count(*) AS k, min(ts) AS f FROM seq GROUP BY ALL))) p USING (ticker, seq_id))) GROUP BY split""")
