@@ -113,7 +113,7 @@ def multitask_loss(df: DataFrame, weights: Weights = Weights()) -> DataFrame:
         "volatility": F.pow(F.greatest(F.abs("mu") / scale - w.limit, F.lit(0.0)), F.lit(2)),
         "cross_section": F.pow(F.greatest(F.abs(F.col("mu") - F.col("mean_mu")) - w.limit, F.lit(0.0)), F.lit(2)),
         "calibration": F.when(F.col("label").isNotNull(), F.pow(sigmoid(F.abs(logit)) - sigmoid(logit * F.signum("mu")), F.lit(2))),
-        "threshold": -F.ln(F.greatest(F.get("p3", target), F.lit(1e-7))),
+        "threshold": F.when(target.isNotNull(), -F.ln(F.greatest(F.get("p3", target), F.lit(1e-7)))),
     }
     row = rows.agg(*[F.coalesce(F.avg(c), F.lit(0.0)).alias(f"{name}_loss") for name, c in parts.items()])
     ranks = pairwise_rank_loss(df.where("ret is not null")).select(F.coalesce("pairwise_rank_loss", F.lit(0.0)).alias("rank_loss"))

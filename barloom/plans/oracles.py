@@ -548,7 +548,7 @@ _LOSSES = {
     "regression": (1.0, "avg(CASE WHEN abs(mu - g) < 1 THEN pow(mu - g, 2) / 2 ELSE abs(mu - g) - 0.5 END)"),
     "score_alignment": (0.1, "avg(CASE WHEN g <> 0 THEN ln(1 + exp(-mu / greatest(s, 0.1) * CASE WHEN l < 0 THEN -1 ELSE 1 END * sign(g))) END)"), "volatility": (0.1, "avg(pow(greatest(abs(mu) / s - 2.5, 0), 2))"),
     "cross_section": (0.1, "avg(pow(greatest(abs(mu - mm) - 2.5, 0), 2))"), "calibration": (0.1, f"avg(CASE WHEN y IS NOT NULL THEN pow({_SIG('abs(l)')} - {_SIG('l * sign(mu)')}, 2) END)"),
-    "threshold": (0.25, "avg(-ln(greatest(CASE coalesce(tl, CASE WHEN g < -0.0005 THEN 0 WHEN g > 0.0005 THEN 2 WHEN g IS NOT NULL THEN 1 END) WHEN 0 THEN 0.8::DOUBLE * (1 - p) WHEN 1 THEN 0.2 WHEN 2 THEN 0.8::DOUBLE * p END, 1e-7)))"),
+    "threshold": (0.25, "avg(CASE WHEN tl IS NOT NULL OR g IS NOT NULL THEN -ln(greatest(CASE coalesce(tl, CASE WHEN g < -0.0005 THEN 0 WHEN g > 0.0005 THEN 2 WHEN g IS NOT NULL THEN 1 END) WHEN 0 THEN 0.8::DOUBLE * (1 - p) WHEN 1 THEN 0.2 WHEN 2 THEN 0.8::DOUBLE * p END, 1e-7)) END)"),
 }
 ORACLE_SQL["loss_multitask"] = with_steps(f"""SELECT {', '.join(f'round({n}, 6) + 0.0::DOUBLE AS {n}_loss' for n in _LOSSES)}, round(rank, 6) + 0.0::DOUBLE AS rank_loss, round(smoothness, 6) + 0.0::DOUBLE AS smoothness_loss,
     round({' + '.join(f'{w}::DOUBLE * {n}' for n, (w, _) in _LOSSES.items())} + 0.1::DOUBLE * rank + 0.1::DOUBLE * smoothness, 6) + 0.0::DOUBLE AS total FROM

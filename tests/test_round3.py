@@ -264,3 +264,32 @@ def test_settled_tables_are_cut_and_cleaned_up(spark):
     staging.clean_up(spark)
     with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist|FileNotFound"):
         df.collect()
+
+
+def test_losses_mask_null_targets(spark):
+    from barloom.operators import losses
+
+    schema = "ts timestamp_ntz, ticker string, p double, mu double, log_scale double, p_event double, p_direction double, p3 array<double>, label int, ret double, event_label int, event_magnitude double, threshold_label int"
+    t = [OPEN + timedelta(minutes=5 * k) for k in range(3)]
+    full = [(t[0], "A", 0.8, 0.2, 0.0, 0.7, 0.6, [0.1, 0.2, 0.7], 1, 0.5, 1, 5.0, 2), (t[1], "A", 0.4, -1.5, 0.0, 0.2, 0.5, [0.5, 0.3, 0.2], 0, -2.0, 0, None, None)]
+    masked = (t[2], "B", 0.9, 9.0, 0.0, 0.9, 0.9, [0.3, 0.3, 0.4], None, None, None, None, None)
+    row = losses.multitask_loss(spark.createDataFrame(full, schema)).first()
+    ln = np.log
+    assert row.direction_loss == pytest.approx((-ln(0.8) - ln(0.6)) / 2)
+    assert row.event_loss == pytest.approx((-ln(0.7) * 0.3**2 * 2 - ln(0.8) * 0.2**2) / 2)
+    assert row.event_direction_loss == pytest.approx(-ln(0.6) * 2)
+    assert row.regression_loss == pytest.approx((0.3**2 / 2 + 0.5**2 / 2) / 2)
+    assert row.threshold_loss == pytest.approx((-ln(0.7) - ln(0.5)) / 2)  # the second return lies below the neutral band
+    more = losses.multitask_loss(spark.createDataFrame([*full, masked], schema)).first()
+    for name in ("direction", "event", "event_direction", "regression", "score_alignment", "threshold", "calibration", "rank", "smoothness"):
+        assert more[f"{name}_loss"] == pytest.approx(row[f"{name}_loss"]), name
+    assert more.volatility_loss > row.volatility_loss
+    none = losses.multitask_loss(spark.createDataFrame([], schema)).first()
+    assert none.total == 0.0
+
+
+def test_contaminated_splits_and_feature_columns(spark):
+    rows = [("A", OPEN, "train", 1.0), ("B", OPEN, "test", 2.0), ("A", OPEN + timedelta(minutes=5), "train", 3.0), ("B", OPEN + timedelta(minutes=10), "val", 4.0)]
+    df = spark.createDataFrame(rows, "ticker string, ts timestamp_ntz, split string, z_feature double").withColumn("a_feature", F.lit(1)).withColumn("close", F.lit(2.0)).withColumn("note", F.lit("x"))
+    assert {r.split: (r.n, r.shared, r.risky) for r in splits.contamination(df).collect()} == {"train": (2, 1, True), "test": (1, 1, True), "val": (1, 0, False)}
+    assert splits.feature_columns(df) == ["a_feature", "z_feature"]
