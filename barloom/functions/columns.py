@@ -38,6 +38,12 @@ def upto(spec: WindowSpec) -> WindowSpec:
     return spec.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
+def ln(c: Column | str) -> Column:
+    """Natural logarithm by IEEE rules: minus infinity of 0, NaN of less, where Spark's own gives null; null of null."""
+    c = col(c)
+    return F.when(c == 0, F.lit(-math.inf)).when(c < 0, F.lit(math.nan)).otherwise(F.ln(c))
+
+
 def sigmoid(x: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-x))
 

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import clamp, last_rows, ratio, sequence_window, upto
+from barloom.functions.columns import EPS, clamp, last_rows, ln, ratio, sequence_window, upto
 
 W = sequence_window
 BASE = ("log_return", "candle_range", "candle_body", "upper_wick", "lower_wick", "short_term_momentum", "rolling_volatility", "relative_volume")
@@ -71,9 +71,12 @@ def time_features(df: DataFrame) -> DataFrame:
     return df.withColumns({"session_pos_sin": F.sin(place), "session_pos_cos": F.cos(place), "day_of_week_sin": F.sin(day), "day_of_week_cos": F.cos(day)})
 
 
-def volatility_features(df: DataFrame, window: int = 20) -> DataFrame:
-    """Close-to-close, Parkinson and Garman-Klass volatility; a sequence's first bar counts as 0."""
-    safe = lambda c: F.ln(F.greatest(F.col(c), F.lit(1e-8)))
+def volatility_features(df: DataFrame, window: int = 20, floor: float | None = EPS) -> DataFrame:
+    """Close-to-close, Parkinson and Garman-Klass volatility; a sequence's first bar counts as 0.
+
+    Prices are raised to `floor` before logarithms; without one, a price of 0 makes its windows infinite or NaN.
+    """
+    safe = lambda c: ln(c if floor is None else F.greatest(F.col(c), F.lit(floor)))
     first = F.col("idx") == 0
     hl, co = F.when(first, 0.0).otherwise(safe("high") - safe("low")), F.when(first, 0.0).otherwise(safe("close") - safe("open"))
     cc = F.when(first, 0.0).otherwise(safe("close") - F.lag(safe("close")).over(W()))
