@@ -51,9 +51,9 @@ def bar_summary(bars: DataFrame, order: str = "row_no") -> DataFrame:
 
 
 def valid_tickers(bars: DataFrame, order: str = "row_no") -> DataFrame:
-    """Bars of the tickers whose summary is valid: a bad row drops its whole ticker."""
+    """Bars of the tickers whose summary is valid: a bad row drops its whole ticker. Bars without a ticker go."""
     bad = bar_summary(bars, order).where("not valid").select("ticker")
-    return bars.join(bad, "ticker", "left_anti")
+    return bars.where("ticker is not null").join(bad, "ticker", "left_anti")
 
 
 def feature_faults(df: DataFrame, columns: list[str]) -> DataFrame:

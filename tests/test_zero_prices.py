@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import ln
-from barloom.operators import features
+from barloom.operators import features, quality
 from barloom.plans import catalogue, oracles
 
 
@@ -63,3 +63,23 @@ def test_volatility_with_a_floor_stays_finite(spark, made):
 def test_logarithms_of_no_positive_numbers(spark):
     df = spark.createDataFrame([(v,) for v in (0.0, -0.0, -3.0, math.nan, math.inf, None, 1.0)], "v double")
     assert [str(r[0]) for r in df.select(F.round(ln("v"), 6)).collect()] == ["-inf", "-inf", "nan", "nan", "inf", "None", "0.0"]
+
+
+def test_valid_tickers_beside_zero_prices(spark, made):
+    got, wanted = both(spark, made, "valid_tickers")
+    assert got == wanted == [{"ticker": t, "n": "60"} for t in ("click", "signup", "view")]
+
+
+def test_valid_tickers_of_odd_events(spark, tmp_path):
+    """Two bars of `error`, bars without a ticker or a value, an infinite one."""
+    rows = [("error", 1, 5.0), ("error", 2, 6.0), (None, 1, 5.0), (None, 2, 0.0), ("view", 1, None), ("view", 2, 4.0), ("click", 1, math.inf), ("signup", 7, -0.5)]
+    pdf = pd.DataFrame([(i, datetime(2024, 1, 1, h), t, v) for i, (t, h, v) in enumerate(rows)], columns=["event_id", "ts", "event_type", "value"])
+    pdf.astype({"ts": "datetime64[us]"}).to_parquet(tmp_path / "events.parquet")
+    got, wanted = both(spark, str(tmp_path), "valid_tickers")
+    assert got == wanted == [{"ticker": t, "n": n} for t, n in (("click", "1"), ("signup", "1"), ("view", "2"))]
+
+
+def test_a_price_of_zero_drops_its_ticker(spark, made):
+    """The operator mends nothing."""
+    bars = catalogue.bars_h(spark, made).withColumn("row_no", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    assert {r.ticker for r in quality.valid_tickers(bars).select("ticker").distinct().collect()} == {"error"}
