@@ -87,8 +87,8 @@ def volatility_features(df: DataFrame, window: int = 20, floor: float | None = E
     return df.drop("hl2", "co2", "cc2")
 
 
-def all_features(df: DataFrame) -> DataFrame:
-    return volatility_features(time_features(market_features(volume_features(base_features(df)))))
+def all_features(df: DataFrame, floor: float | None = EPS) -> DataFrame:
+    return volatility_features(time_features(market_features(volume_features(base_features(df)))), floor=floor)
 
 
 def benchmark_state(df: DataFrame, horizons: tuple[int, ...] = (1, 3, 6), rv: int = 6, base: int = 12) -> DataFrame:

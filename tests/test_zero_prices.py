@@ -83,3 +83,9 @@ def test_a_price_of_zero_drops_its_ticker(spark, made):
     """The operator mends nothing."""
     bars = catalogue.bars_h(spark, made).withColumn("row_no", F.unix_timestamp(F.col("ts").cast("timestamp")))
     assert {r.ticker for r in quality.valid_tickers(bars).select("ticker").distinct().collect()} == {"error"}
+
+
+def test_warm_rows_sum_zero_prices(spark, made):
+    got, wanted = both(spark, made, "warmup_rows")
+    assert {r["ticker"]: r["rv"] for r in got if r["ticker"] != "error"} == {"click": "inf", "view": "nan", "signup": "nan"}
+    assert got == wanted
